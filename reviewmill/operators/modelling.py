@@ -127,14 +127,19 @@ def with_prediction(df: DataFrame, scores: str = "logits", out: str = "predictio
     return df.withColumn(out, vectors.argmax(F.col(scores)))
 
 
+def stack_columns(
+    df: DataFrame, left: str = "presence", right: str = "probs", out: str = "features"
+) -> DataFrame:
+    """Two array columns of one table side by side."""
+    return df.withColumn(out, F.concat(F.col(left), F.col(right)))
+
+
 def stack_features(
     words: DataFrame, probs: DataFrame, row_id: str = "review_id",
     left: str = "presence", right: str = "probs", out: str = "features",
 ) -> DataFrame:
     """Vocabulary vector and class probabilities side by side, matched by row id."""
-    return words.join(probs.select(row_id, right), row_id).withColumn(
-        out, F.concat(F.col(left), F.col(right))
-    )
+    return stack_columns(words.join(probs.select(row_id, right), row_id), left, right, out)
 
 
 def train_meta(

@@ -82,17 +82,17 @@ def _violations(value: Column, dtype: T.DataType, nullable: bool, path: Column)
 
 
 def validate_records(
-    df: DataFrame, contract: T.StructType, record: str = "record", row_id: str = "record_id"
+    df: DataFrame, contract: str, record: str = "record", row_id: str = "record_id"
 ) -> DataFrame:
     """One row per violation: (record id, path, error).
 
-    `record` holds JSON text.  Fields may be absent and unknown fields are
+    `contract` is a schema in DDL.  `record` holds JSON text.  Fields may be absent and unknown fields are
     allowed; a null is accepted only where the contract says nullable.
     """
     value = F.try_parse_json(F.col(record))
     unreadable = F.array(F.struct(F.lit("$").alias("path"), F.lit("not valid JSON").alias("error")))
     found = F.when(F.col("_value").isNull(), unreadable).otherwise(
-        _violations(F.col("_value"), contract, False, F.lit("$"))
+        _violations(F.col("_value"), T.StructType.fromDDL(contract), False, F.lit("$"))
     )
     return (
         df.select(row_id, value.alias("_value"))

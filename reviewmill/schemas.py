@@ -1,37 +1,28 @@
-"""Explicit schemas; production reads never infer one."""
+"""Explicit schemas as DDL text; production reads never infer one."""
 
-from pyspark.sql import types as T
-
-_JSON = T.VariantType()
-
-
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-RAW_REVIEW = _struct(
+RAW_REVIEW = (
     "review_id bigint, business_name string, author_name string, text string, "
     "rating int, rating_category string"
 )
-SOURCE_REVIEW = _struct("title string, stars int, text string, publishedAtDate string")
-LABELLED_REVIEW = _struct(
+SOURCE_REVIEW = ("title string, stars int, text string, publishedAtDate string")
+LABELLED_REVIEW = (
     "company_name string, review_date date, text string, stars int, category string, label int"
 )
-EXTENDED_REVIEW = _struct(
+EXTENDED_REVIEW = (
     "company_name string, reviewer_name string, review_date date, text string, stars int, "
     "category string, image_urls string, image_captions string, `group` string"
 )
-SYNTHETIC_REVIEW = _struct(
+SYNTHETIC_REVIEW = (
     "company_name string, reviewer_name string, review_date date, text string, stars int, "
     "category string, image_urls string, image_captions string, `group` string, "
     "irrelevant boolean, violation_type string"
 )
-BUSINESS_PAGE = _struct(
+BUSINESS_PAGE = (
     "name string, website string, phone string, address string, logo string, "
     "claim_status string, open_hours map<string,string>"
 )
 # One element of a review-feed response body; the body is an array of these.
-REVIEW_FEED = _struct(
+REVIEW_FEED = (
     """data struct<business: struct<
         reviewCount: bigint,
         reviews: struct<edges: array<struct<node: struct<
@@ -54,11 +45,11 @@ REVIEW_FEED = _struct(
 
 # Record contracts: a field that is NOT NULL here may be absent but not null.
 # Unknown fields are allowed.
-PAGE_CONTRACT = _struct(
+PAGE_CONTRACT = (
     "name string NOT NULL, website string NOT NULL, phone string NOT NULL, "
     "address string NOT NULL"
 )
-REVIEW_CONTRACT = _struct(
+REVIEW_CONTRACT = (
     """encid string NOT NULL,
     text struct<full: string NOT NULL> NOT NULL,
     rating bigint NOT NULL,
@@ -71,7 +62,7 @@ REVIEW_CONTRACT = _struct(
     businessPhotos array<struct<encid: string NOT NULL, photoUrl: string NOT NULL,
         caption: string>> NOT NULL"""
 )
-LISTING_CONTRACT = _struct(
+LISTING_CONTRACT = (
     """bizId string NOT NULL,
     searchResultBusiness struct<
         name: string NOT NULL, rating: double, reviewCount: bigint, phone: string,

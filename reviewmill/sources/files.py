@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType
 
 from reviewmill import fixed
 
@@ -24,7 +24,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
 
-def read_parquet(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
@@ -37,7 +37,7 @@ def null_missing(df: DataFrame) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: StructType, multi_line: bool = True
+    spark: SparkSession, path: str, schema: str, multi_line: bool = True
 ) -> DataFrame:
     """CSV with header; quoted commas, quotes and line breaks; missing cells null.
 
@@ -58,18 +58,18 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     ).csv(path)
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Files that each hold one JSON array (or object); one row per element."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def explode_json_array(df: DataFrame, column: str, schema: StructType) -> DataFrame:
+def explode_json_array(df: DataFrame, column: str, schema: str) -> DataFrame:
     """Array documents held in a column: one row per element, in place of the column."""
-    body = F.from_json(F.col(column), f"array<{schema.simpleString()}>")
+    body = F.from_json(F.col(column), f"array<struct<{schema}>>")
     rest = [c for c in df.columns if c != column]
     return df.select(*rest, F.explode(body).alias("_row")).select(*rest, "_row.*")
 

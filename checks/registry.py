@@ -1,8 +1,38 @@
 """All checks in one place."""
 
-from checks import corpus, spam, synth
+from __future__ import annotations
 
-_CHECKS = {**spam.CHECKS, **corpus.CHECKS, **synth.CHECKS}
+import functools
+import shutil
+import tempfile
+from pathlib import Path
 
-QUERIES = {name: run for name, (run, _) in _CHECKS.items()}
+from pyspark import SparkContext
+
+from checks import corpus, model, pages, spam, synth
+
+_ROOT = Path(__file__).resolve().parent.parent
+
+
+@functools.cache
+def _ship(context: SparkContext) -> None:
+    """Give the Python workers the package, once per Spark context."""
+    folder = Path(tempfile.mkdtemp(prefix="reviewmill-package-"))
+    for package in ("reviewmill", "checks"):
+        shutil.copytree(_ROOT / package, folder / "code" / package,
+                        ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(str(folder / "reviewmill"), "zip", folder / "code"))
+
+
+def _with_package(run):
+    @functools.wraps(run)
+    def shipped(spark, sf_dir):
+        _ship(spark.sparkContext)
+        return run(spark, sf_dir)
+    return shipped
+
+
+_CHECKS = {**spam.CHECKS, **corpus.CHECKS, **synth.CHECKS, **pages.CHECKS, **model.CHECKS}
+
+QUERIES = {name: _with_package(run) for name, (run, _) in _CHECKS.items()}
 SQL = {name: sql for name, (_, sql) in _CHECKS.items() if sql}

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from reviewmill import fixed
+from reviewmill.functions import text
 from reviewmill.operators import features, metrics, modelling, quality
 
 
@@ -17,10 +18,11 @@ def feature_table(reviews: DataFrame, make_predict: Callable) -> DataFrame:
     Both halves come from the same row, so nothing has to be joined; use
     `modelling.stack_features` where the probabilities come as a table.
     """
-    ready = features.with_presence(reviews).drop("features")
-    pairs = features.with_poi(ready)
-    scored = modelling.with_probabilities(modelling.with_logits(pairs, make_predict))
-    return modelling.stack_columns(scored)
+    pairs = features.with_poi(features.with_presence(reviews)).withColumn(
+        "_text", text.strip(F.coalesce("text", F.lit("")))
+    )
+    logits = modelling.with_logits(pairs, make_predict, text="_text").drop("_text")
+    return modelling.stack_columns(modelling.with_probabilities(logits))
 
 
 def train(reviews: DataFrame, make_predict: Callable, exact_split: bool = False):

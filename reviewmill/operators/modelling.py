@@ -16,8 +16,9 @@ from reviewmill.sources import files
 
 # More classes than this are a mistake in the choice of the label column.
 MAX_CLASSES = 1_000
-# Cells of the hash histogram that finds the split point.
-SPLIT_CELLS = 1 << 16
+# Hexadecimal digits of the hash that name a cell of the split histogram: 65,536
+# cells per label.
+CELL_DIGITS = 4
 
 
 def bounded(df: DataFrame, rows: int, what: str) -> DataFrame:
@@ -65,8 +66,7 @@ def stratified_split(
     """
     rows = df.select(F.col(label).alias("_label"), F.col(row_id).alias("_id"),
                      _split_hash(row_id, seed).alias("_hash"))
-    cell = F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int")
-    rows = rows.withColumn("_cell", cell)
+    rows = rows.withColumn("_cell", F.substring("_hash", 1, CELL_DIGITS))
     by_label = Window.partitionBy("_label")
     so_far = by_label.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
     wanted = F.ceil(F.lit(Decimal(str(share))) * F.sum("n").over(by_label)).cast("bigint")

@@ -1,0 +1,176 @@
+import pytest
+from pyspark.sql import functions as F
+
+import row_oracle
+import samples
+from checks import spam
+from reviewmill import fixed
+from reviewmill.operators import duplicates, spam_flags, spam_reasons
+from reviewmill.plans import moderation
+from reviewmill.sources import files
+
+GOLDEN = [
+    (0, "Restaurant A", "John", "Great food and service! Would definitely come back.", 5, "Excellent"),
+    (1, "Restaurant A", "Jane", "Great food and service! Would definitely come back.", 4, "Good"),
+    (2, "Restaurant B", "Bob", "Good", 3, "Average"),
+    (3, "Restaurant C", "Alice",
+     "AMAZING PLACE!!!!!!! CHECK OUT www.promo.com FOR DISCOUNTS!!!", 5, "Excellent"),
+]
+GOLDEN_DDL = ("review_id bigint, business_name string, author_name string, text string, "
+              "rating int, rating_category string")
+RULES = spam_reasons.ReasonRules(min_words=5, min_chars=20)
+
+
+@pytest.fixture(scope="module")
+def golden(spark):
+    return spark.createDataFrame(GOLDEN, GOLDEN_DDL)
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    rows = samples.rows(600)
+    df = spark.createDataFrame(
+        [(i, b, t) for i, (b, t) in enumerate(rows)],
+        "review_id bigint, business_name string, text string")
+    return rows, df.repartition(5, "text").cache()
+
+
+def by_id(df, *columns):
+    return [tuple(r) for r in df.orderBy("review_id").select(*columns).collect()]
+
+
+def test_golden_reasons(golden):
+    got = by_id(spam_reasons.flag_reviews(golden, RULES), "is_spam", "spam_reasons")
+    assert got == [
+        (False, ""), (True, "Duplicate of review #1"),
+        (True, "Too few words (1 < 5); Too few characters (4 < 20)"),
+        (True, "Contains links; Promotional content detected; Excessive punctuation"),
+    ]
+    defaults = by_id(spam_reasons.flag_reviews(golden), "spam_reasons")
+    assert defaults[0] == ("Too few words (8 < 10)",)
+
+
+def test_golden_statistics_and_examples(golden):
+    flagged = spam_reasons.flag_reviews(golden, RULES)
+    assert tuple(spam_reasons.statistics(flagged).first()) == (4, 3, 1, 75.0, 6.0, 41.8)
+    shown = spam_reasons.spam_examples(flagged, rows=2, chars=10).collect()
+    assert [r.review for r in shown] == ["Great food...", "Good"]
+    assert {k: spam_reasons.select_export(flagged, k).count()
+            for k in ("spam", "legitimate", "all", "other")} == {
+        "spam": 3, "legitimate": 1, "all": 4, "other": 4}
+
+
+def test_golden_flags(golden):
+    got = by_id(spam_flags.mark_spam(golden), "spam_regex", "spam_length", "spam_duplicate", "is_spam")
+    assert got == [(False, False, True, True), (False, False, True, True),
+                   (False, True, False, True), (True, False, False, True)]
+
+
+def test_statistics_of_nothing(golden):
+    row = spam_reasons.statistics(spam_reasons.flag_reviews(golden.where("false"))).first()
+    assert (row.total_reviews, row.spam_rate, row.avg_word_count) == (0, 0.0, None)
+
+
+def test_reasons_match_python(mixed):
+    rows, df = mixed
+    got = by_id(spam_reasons.flag_reviews(df), "spam_reasons", "word_count", "char_count")
+    want = row_oracle.reasons(rows)
+    clean = [("nan" if t is None else t).strip() for _, t in rows]
+    assert [g[0] for g in got] == ["; ".join(w) for w in want]
+    assert [(g[1], g[2]) for g in got] == [(len(c.split()), len(c)) for c in clean]
+
+
+def test_flags_match_python(mixed):
+    rows, df = mixed
+    got = by_id(spam_flags.mark_spam(df), "spam_regex", "spam_length", "spam_duplicate")
+    assert got == row_oracle.flags(rows)
+
+
+@pytest.mark.parametrize("hot_copies", [2, 50])
+def test_hot_groups_take_the_broadcast_and_agree(mixed, hot_copies, monkeypatch):
+    rows, df = mixed
+    monkeypatch.setattr(duplicates, "HOT_GROUPS", 2)
+    hot = spam_reasons.ReasonRules(hot_copies=hot_copies)
+    assert by_id(spam_reasons.flag_reviews(df, hot), "spam_reasons") == by_id(
+        spam_reasons.flag_reviews(df), "spam_reasons")
+    flags = spam_flags.FlagRules(hot_copies=hot_copies)
+    assert by_id(spam_flags.mark_spam(df, flags), "spam_duplicate") == by_id(
+        spam_flags.mark_spam(df), "spam_duplicate")
+
+
+def test_hot_rows_are_spread(mixed):
+    """Rows of a hot group leave the broadcast with join keys of their own."""
+    _, df = mixed
+    keyed = df.withColumn("_key", spam_flags.duplicate_key())
+    groups = duplicates.duplicate_groups(keyed, F.col("_key"))
+    out = duplicates.attach_groups(keyed, groups, "_key", hot_copies=100)
+    assert out.count() == df.count()
+    plan = out._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan
+
+
+def test_order_partitions_and_aqe_do_not_matter(spark, mixed):
+    _, df = mixed
+    want = by_id(spam_reasons.flag_reviews(df), "spam_reasons")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        shuffled = df.orderBy(F.desc("review_id")).repartition(3)
+        assert by_id(spam_reasons.flag_reviews(shuffled), "spam_reasons") == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_staged_groups_agree(mixed):
+    _, df = mixed
+    groups = files.stage(spam_reasons.reason_groups(df), "groups")
+    assert by_id(spam_reasons.flag_reviews(df, groups=groups), "spam_reasons") == by_id(
+        spam_reasons.flag_reviews(df), "spam_reasons")
+
+
+def test_missing_columns_read_as_empty(spark):
+    df = spark.createDataFrame([(0,), (1,)], "review_id bigint")
+    got = by_id(spam_reasons.flag_reviews(df, spam_reasons.ReasonRules(min_words=0, min_chars=0)),
+                "spam_reasons")
+    assert got == [("",), ("Duplicate of review #1",)]
+
+
+def test_corrected_pattern(spark):
+    df = spark.createDataFrame([("50% off",)], "text string")
+    flags = [spam_flags.pattern_flag(F.col("text"), p)
+             for p in (fixed.FLAG_PATTERNS, fixed.FLAG_PATTERNS_CORRECTED)]
+    assert tuple(df.select(*flags).first()) == (False, True)
+
+
+def test_rules_stay_in_the_jvm(mixed):
+    _, df = mixed
+    for out in (spam_reasons.flag_reviews(df), spam_flags.mark_spam(df)):
+        plan = out._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Window" not in plan and "Nested" not in plan
+
+
+def test_text_is_not_shuffled_unless_selected(spark):
+    df = spark.createDataFrame(
+        [(0, "b", "t")], "review_id bigint, business_name string, text string")
+    plan = spam_reasons.flag_reviews(df).select("review_id", "is_spam")
+    text_id = str(df._jdf.queryExecution().analyzed().output().apply(2).exprId().id())
+    physical = plan._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in physical.splitlines() if "Exchange hash" in line]
+    assert exchanges and not any(f"text#{text_id}" in line for line in exchanges)
+
+
+def test_moderation_job(spark, golden, tmp_path):
+    source, output = str(tmp_path / "in"), str(tmp_path / "out")
+    files.write_csv(golden, source)
+    row = moderation.moderate_csv(spark, source, output, RULES, "spam").first()
+    assert (row.total_reviews, row.spam_count) == (4, 3)
+    back = files.read_csv(spark, output, GOLDEN_DDL + ", is_spam boolean, spam_reasons string, "
+                          "word_count bigint, char_count bigint")
+    assert sorted(r.review_id for r in back.collect()) == [1, 2, 3]
+
+
+def test_plain_documents_give_the_known_counts(spark):
+    row = spam_reasons.statistics(
+        spam._flagged(spark, "/root/testdata/sf0.01", name="reviews")).first()
+    assert (row.total_reviews, row.spam_count) == (1000, 58)

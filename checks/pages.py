@@ -118,15 +118,15 @@ def _totals(spark, sf_dir):
 
 
 def review_page_plan(spark, sf_dir):
-    return paging.review_page_plan(_totals(spark, sf_dir)).select("doc_id", "offset")
+    return paging.review_page_plan(_totals(spark, sf_dir), "doc_id").select("doc_id", "offset")
 
 
 def review_page_plan_capped(spark, sf_dir):
-    return paging.review_page_plan(_totals(spark, sf_dir), max_reviews=28).select("doc_id", "offset")
+    return paging.review_page_plan(_totals(spark, sf_dir), "doc_id", max_reviews=28).select("doc_id", "offset")
 
 
 def search_page_plan(spark, sf_dir):
-    return paging.search_page_plan(_totals(spark, sf_dir), max_pages=7).select(
+    return paging.search_page_plan(_totals(spark, sf_dir), "doc_id", max_pages=7).select(
         "doc_id", "total_pages", "offset")
 
 
@@ -137,18 +137,21 @@ def search_urls(spark, sf_dir):
 
 
 def page_cursor(spark, sf_dir):
-    plan = paging.review_page_plan(_totals(spark, sf_dir), max_reviews=28)
+    plan = paging.review_page_plan(_totals(spark, sf_dir), "doc_id", max_reviews=28)
     return plan.select("doc_id", "offset", paging.cursor(F.col("offset")).alias("after"))
 
 
 def request_payloads(spark, sf_dir):
     ids = extract.business_ids(view(spark, sf_dir, "business_html"))
-    plan = paging.review_page_plan(ids.withColumn("total_reviews", F.col("page_id")))
+    plan = paging.review_page_plan(
+        ids.withColumn("total_reviews", F.col("page_id")), "page_id")
     return paging.request_payloads(plan).select("page_id", "offset", "payload")
 
 
-_H1 = f"""trim(replace(replace(replace(replace(replace(regexp_extract(html, '<h1[^>]*>([^<]+)', 1),
-    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), {SQL_WS})"""
+# Character references of the pages' headings; a heading may be cut inside one.
+_H1 = f"""trim(regexp_replace(replace(replace(replace(replace(
+    regexp_extract(html, '<h1[^>]*>([^<]+)', 1),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;?', '&', 'g'), {SQL_WS})"""
 _LINES = """WITH l AS (SELECT *, string_split(text, chr(10)) AS lines FROM documents),
     e AS (SELECT *, lines[i + 1] AS line FROM (
         SELECT *, unnest(range(0, len(lines))) AS i FROM l))"""

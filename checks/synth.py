@@ -27,8 +27,8 @@ def company_samples(spark, sf_dir):
     return synthesis.company_samples(view(spark, sf_dir, "messy"))
 
 
-def _work(spark, sf_dir, chunk=synthesis.CHUNK):
-    return synthesis.work_list(synthesis.company_plan(view(spark, sf_dir, "messy")), chunk)
+def _work(spark, sf_dir, **options):
+    return synthesis.work_list(synthesis.company_plan(view(spark, sf_dir, "messy")), **options)
 
 
 def synth_worklist(spark, sf_dir):

@@ -9,11 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from reviewmill import fixed
-from reviewmill.functions import keys, text
-
-# Requests one exploded array may hold; a company with more gets several arrays.
-CHUNK = 10_000
-
+from reviewmill.functions import keys, ranges, text
 
 def _named(df: DataFrame) -> DataFrame:
     return df.where(F.col("company_name").isNotNull())
@@ -83,24 +79,16 @@ def policies(spark: SparkSession) -> DataFrame:
     )
 
 
-def work_list(plan: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def work_list(plan: DataFrame, chunk: int = ranges.CHUNK) -> DataFrame:
     """One row per review to generate: company x policy x 1..quota.
 
-    A hot company's quota is cut into chunks that are dealt out to all tasks
-    before they become rows, so neither an array nor a task grows with it.
+    The requests of a hot company are spread over all tasks.
     """
-    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = F.col("_chunk") * chunk + 1
-    last = F.least((F.col("_chunk") + 1) * chunk, F.col("quota"))
-    return (
-        plan.withColumn("violation_type", F.explode(F.array(*map(F.lit, fixed.POLICIES))))
-        .withColumn("_chunk", F.explode(
-            F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("quota") - 1) / chunk))))
-        .repartition(tasks, "company_name", "violation_type", "_chunk")
-        .withColumn("seq", F.explode(F.sequence(first, last)))
-        .withColumn("request_id", F.md5(F.concat_ws("|", "violation_type", "seq", "company_name")))
-        .drop("_chunk")
-    )
+    asked = plan.withColumn("violation_type", F.explode(F.array(*map(F.lit, fixed.POLICIES))))
+    numbered = ranges.explode_range(
+        asked, "seq", F.col("quota"), 1, 1, ["company_name", "violation_type"], chunk)
+    return numbered.withColumn(
+        "request_id", F.md5(F.concat_ws("|", "violation_type", "seq", "company_name")))
 
 
 def prompt_text(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from reviewmill import fixed
@@ -17,6 +19,13 @@ WS_CHARS = "".join(
 )
 
 
+# The characters of the punctuation class; all lie below U+3000.  Removing them
+# one by one from a table is faster than matching the class.
+PUNCTUATION_CHARS = "".join(re.findall(fixed.PUNCTUATION, "".join(map(chr, range(0x3000)))))
+# Whitespace that is not removed as punctuation first.
+_KEPT_WS = "".join(c for c in WS_CHARS if c not in PUNCTUATION_CHARS)
+
+
 def strip(col: Column) -> Column:
     """Trim Unicode whitespace at both ends."""
     return F.trim(col, F.lit(WS_CHARS))
@@ -55,7 +64,7 @@ def occurrences(col: Column, char: str) -> Column:
 
 
 def remove_punctuation(col: Column) -> Column:
-    return F.regexp_replace(F.coalesce(col, F.lit("")), f"{fixed.PUNCTUATION}+", "")
+    return F.translate(F.coalesce(col, F.lit("")), PUNCTUATION_CHARS, "")
 
 
 def normalize_whitespace(col: Column) -> Column:
@@ -68,9 +77,19 @@ def normalize(col: Column) -> Column:
     return normalize_whitespace(F.lower(remove_punctuation(col)))
 
 
+def raw_tokens(col: Column) -> Column:
+    """Words of the normalised text, repeats and empty strings among them.
+
+    One pass drops the punctuation and turns every whitespace into a space.
+    """
+    spaced = F.translate(
+        F.coalesce(col, F.lit("")), _KEPT_WS + PUNCTUATION_CHARS, " " * len(_KEPT_WS))
+    return F.split(F.lower(spaced), " ")
+
+
 def tokens(col: Column) -> Column:
     """Distinct words of the normalised text, in order of first appearance."""
-    return F.array_distinct(words(F.lower(remove_punctuation(col))))
+    return F.array_distinct(F.array_remove(raw_tokens(col), ""))
 
 
 def preview(col: Column, chars: int, always: bool = False) -> Column:

@@ -15,18 +15,19 @@ def literal_array(values) -> Column:
 
 def vocabulary_hits(col: Column, vocabulary=fixed.VOCABULARY) -> Column:
     """Vocabulary words found in the text, in vocabulary order (one hash pass)."""
-    found = F.split(F.lower(text.remove_punctuation(col)), text.WS_RUN)
-    return F.array_intersect(literal_array(vocabulary), found)
+    return F.array_intersect(literal_array(vocabulary), text.raw_tokens(col))
 
 
 def presence(hits: Column, vocabulary=fixed.VOCABULARY) -> Column:
     """Binary vector over the vocabulary from a `vocabulary_hits` column.
 
-    One expression per word instead of a lambda: it stays in generated code, and
-    the optimiser keeps the hits in their own projection instead of computing
-    them again for every word.
+    `hits` must be a column of its own, not the expression.  It is used twice
+    here, which keeps the optimiser from moving the expression into the lambda,
+    where it would be computed again for every word.
     """
-    return F.array(*(F.array_contains(hits, w).cast("double") for w in vocabulary))
+    found = F.transform(
+        literal_array(vocabulary), lambda w: F.array_contains(hits, w).cast("double"))
+    return F.when(F.size(hits) == 0, F.array_repeat(F.lit(0.0), len(vocabulary))).otherwise(found)
 
 
 def softmax(logits: Column) -> Column:

@@ -22,15 +22,17 @@ HOT_COPIES = 100_000
 def duplicate_groups(df: DataFrame, key: Column, row_id: str = "review_id") -> DataFrame:
     """(dup_key, first_id, copies) for every key held by more than one row.
 
-    The result can be written to a table and passed back to the flagging
-    operators: Spark then knows its size and joins a small one by broadcast,
-    without shuffling the reviews.
+    The groups get a shuffle of their own after the unique keys are dropped, so
+    that adaptive execution sees how many are left before any review is moved.
+    The result can also be written to a table and passed back to the flagging
+    operators: Spark then knows its size beforehand.
     """
     return (
         df.select(key.alias("dup_key"), F.col(row_id).alias("_id"))
         .groupBy("dup_key")
         .agg(F.min("_id").alias("first_id"), F.count("*").alias("copies"))
         .where("copies > 1")
+        .hint("rebalance")
     )
 
 
@@ -45,21 +47,25 @@ def attach_groups(
 
     Rows of a hot group are answered by the bounded broadcast and then join on
     a value derived from their own id, so no task receives the whole group.
+    The hot groups are read from the same shuffle as the second join; reviews
+    move only after it is complete, and not at all if it turns out small.
     """
     hot = (
-        groups.where(F.col("copies") >= hot_copies)
-        .orderBy(F.desc("copies"), "dup_key")
+        groups.orderBy(F.desc("copies"), "dup_key")
         .limit(HOT_GROUPS)
-        .select(F.col("dup_key").alias(key), F.col("first_id").alias("_hot_first"),
-                F.col("copies").alias("_hot_copies"))
+        .where(F.col("copies") >= hot_copies)
+        .toDF(key, "_hot_first", "_hot_copies")
     )
+    is_hot = F.col("_hot_copies").isNotNull()
     spread = keys.fingerprint(F.concat(F.lit("row "), F.col(row_id).cast("string")))
-    answered = df.join(F.broadcast(hot), key, "left").withColumn(
-        "dup_key", F.when(F.col("_hot_first").isNull(), F.col(key)).otherwise(spread)
+    kept = [c for c in df.columns if c != key]
+    answered = df.join(F.broadcast(hot), key, "left").select(
+        *kept, "_hot_first", "_hot_copies",
+        F.when(is_hot, spread).otherwise(F.col(key)).alias("dup_key"),
     )
-    return (
-        answered.join(groups, "dup_key", "left")
-        .withColumn("first_id", F.coalesce("_hot_first", "first_id"))
-        .withColumn("copies", F.coalesce("_hot_copies", "copies"))
-        .drop("dup_key", "_hot_first", "_hot_copies", key)
+    in_group = F.col("copies").isNotNull()
+    return answered.join(groups, "dup_key", "left").select(
+        *kept,
+        F.when(is_hot, F.col("_hot_first")).when(in_group, F.col("first_id")).alias("first_id"),
+        F.coalesce("_hot_copies", "copies").alias("copies"),
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from reviewmill.functions.vectors import literal_array
+
 
 def fingerprint(col: Column) -> Column:
     """256-bit digest as 32 bytes of binary, never null.
@@ -33,4 +35,4 @@ def seeded(key: Column, salt: object) -> Column:
 def pick(options: tuple[str, ...], key: Column, salt: object) -> Column:
     """Reproducible uniform choice from a short literal list."""
     slot = F.pmod(hash_number(seeded(key, salt)), F.lit(len(options)))
-    return F.element_at(F.array(*map(F.lit, options)), (slot + 1).cast("int"))
+    return F.element_at(literal_array(options), (slot + 1).cast("int"))

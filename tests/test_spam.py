@@ -98,15 +98,39 @@ def test_hot_groups_take_the_broadcast_and_agree(mixed, hot_copies, monkeypatch)
         spam_flags.mark_spam(df), "spam_duplicate")
 
 
-def test_hot_rows_are_spread(mixed):
-    """Rows of a hot group leave the broadcast with join keys of their own."""
-    _, df = mixed
-    keyed = df.withColumn("_key", spam_flags.duplicate_key())
-    groups = duplicates.duplicate_groups(keyed, F.col("_key"))
-    out = duplicates.attach_groups(keyed, groups, "_key", hot_copies=100)
-    assert out.count() == df.count()
-    plan = out._jdf.queryExecution().toString()
-    assert "BroadcastHashJoin" in plan
+def test_hot_rows_are_spread(spark):
+    """Half of the rows are copies; the shuffled join still fills its partitions evenly."""
+    df = spark.range(4000).selectExpr(
+        "id AS review_id", "'b' AS business_name",
+        "CASE WHEN id % 2 = 0 THEN 'copy' ELSE CONCAT('text ', id) END AS text")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        def largest(hot_copies):
+            rules = spam_flags.FlagRules(hot_copies=hot_copies)
+            per_task = spam_flags.mark_spam(df, rules).groupBy(F.spark_partition_id()).agg(
+                F.count("*").alias("n"), F.count_if("spam_duplicate").alias("copies")).collect()
+            assert sum(r.copies for r in per_task) == 2000
+            return max(r.n for r in per_task)
+        assert largest(hot_copies=1000) < 1200 < 2000 < largest(hot_copies=10_000)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_few_groups_move_no_review(spark, tmp_path):
+    """With few groups left, adaptive execution joins them by broadcast."""
+    path = str(tmp_path / "reviews")
+    spark.range(2000).selectExpr(
+        "id AS review_id", "'b' AS business_name",
+        "CONCAT('text ', IF(id < 10, 0, id)) AS text").write.parquet(path)
+    out = spam_reasons.flag_reviews(spark.read.parquet(path))
+    assert out.where("spam_reasons LIKE '%Duplicate%'").count() == 9
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 1
 
 
 def test_order_partitions_and_aqe_do_not_matter(spark, mixed):

@@ -1,18 +1,32 @@
-"""Spam job: read reviews, flag them, export a selection, report statistics."""
+"""Spam jobs: read reviews, flag them, write them, report statistics."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewmill import schemas
-from reviewmill.operators import spam_reasons
+from reviewmill.operators import spam_flags, spam_reasons
 from reviewmill.sources import files
 
 
+def _numbered(spark: SparkSession, source: str, schema: str) -> DataFrame:
+    """Reviews of a CSV; rows without an id of their own are numbered in file order."""
+    reviews = files.read_csv(spark, source, schema)
+    return reviews if "review_id" in reviews.columns else files.number_rows(reviews)
+
+
+def flag_csv(
+    spark: SparkSession, source: str, output: str,
+    rules: spam_flags.FlagRules = spam_flags.FlagRules(), schema: str = schemas.RAW_REVIEW,
+) -> None:
+    """Write every review with its four boolean flags."""
+    files.write_csv(spam_flags.mark_spam(_numbered(spark, source, schema), rules), output)
+
+
 def moderate_csv(
     spark: SparkSession, source: str, output: str,
     rules: spam_reasons.ReasonRules = spam_reasons.ReasonRules(),
-    export_type: str = "all", schema=schemas.RAW_REVIEW,
+    export_type: str = "all", schema: str = schemas.RAW_REVIEW,
 ) -> DataFrame:
     """Write the selected reviews as CSV and return the statistics row.
 
@@ -20,7 +34,7 @@ def moderate_csv(
     small group table lets the planner choose the join, and the export and the
     statistics read the flagged table instead of applying the rules again.
     """
-    reviews = files.read_csv(spark, source, schema)
+    reviews = _numbered(spark, source, schema)
     groups = files.stage(spam_reasons.reason_groups(reviews, rules), "duplicate-groups")
     flagged = files.stage(spam_reasons.flag_reviews(reviews, rules, groups), "flagged")
     files.write_csv(spam_reasons.select_export(flagged, export_type), output)

@@ -1,8 +1,8 @@
 """Explicit schemas as DDL text; production reads never infer one."""
 
 RAW_REVIEW = (
-    "review_id bigint, business_name string, author_name string, text string, "
-    "rating int, rating_category string"
+    "business_name string, author_name string, text string, rating int, "
+    "rating_category string"
 )
 SOURCE_REVIEW = ("title string, stars int, text string, publishedAtDate string")
 LABELLED_REVIEW = (

@@ -5,10 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from reviewmill import fixed
+from reviewmill.operators import quality
 
 _CSV = {"header": True, "quote": '"', "escape": '"'}
 
@@ -28,24 +28,58 @@ def read_parquet(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
-def null_missing(df: DataFrame) -> DataFrame:
-    """Turn the cell texts that mean "missing" into null in every string column."""
-    names = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
-    return df.withColumns({
-        n: F.when(~F.col(n).isin(*fixed.NA_TOKENS), F.col(n)) for n in names
-    })
+def _cell(name: str, dtype: T.DataType) -> Column:
+    """A CSV cell as its type; a missing or unreadable cell is null."""
+    cell = F.when(~F.col(name).isin(*fixed.NA_TOKENS), F.col(name))
+    if isinstance(dtype, T.IntegralType):
+        # Whole numbers are often written "4.0" where other cells are missing.
+        whole = F.floor(cell.try_cast("double")).try_cast(dtype)
+        return F.coalesce(cell.try_cast(dtype), whole)
+    return cell.try_cast(dtype)
 
 
 def read_csv(
     spark: SparkSession, path: str, schema: str, multi_line: bool = True
 ) -> DataFrame:
-    """CSV with header; quoted commas, quotes and line breaks; missing cells null.
+    """The named columns of a CSV with header, in any order, others left out.
 
-    A file with line breaks inside cells cannot be split, so large inputs should
-    come as many files, or with `multi_line=False` where no cell holds a break.
+    Quoted commas, quotes and line breaks are part of a cell; the usual words
+    for "missing" are null.  A file with line breaks inside cells cannot be
+    split, so large inputs should come as many files, or with
+    `multi_line=False` where no cell holds a break.
     """
-    raw = spark.read.schema(schema).options(**_CSV, multiLine=multi_line).csv(path)
-    return null_missing(raw)
+    raw = spark.read.options(**_CSV, multiLine=multi_line).csv(path)
+    fields = T.StructType.fromDDL(schema).fields
+    quality.require_columns(raw, [f.name for f in fields])
+    return raw.select(*(_cell(f.name, f.dataType).alias(f.name) for f in fields))
+
+
+def number_rows(df: DataFrame, column: str = "review_id") -> DataFrame:
+    """Number the rows of files from 0 in file order, without moving them.
+
+    `df` must be a scan or a projection of one.  The rows of each input split
+    are numbered where they are; the split sizes, one small row for every split
+    the driver has planned, are summed up and broadcast.
+    """
+    placed = df.select(
+        "*",
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_place"),
+    )
+    in_order = Window.orderBy("_path", "_start")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    splits = (
+        placed.groupBy("_path", "_start")
+        .agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .select("_path", "_start", "_first", "_before")
+    )
+    return (
+        placed.join(F.broadcast(splits), ["_path", "_start"])
+        .withColumn(column, F.col("_before") + F.col("_place") - F.col("_first"))
+        .select(column, *df.columns)
+    )
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

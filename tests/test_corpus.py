@@ -70,6 +70,47 @@ def test_csv_missing_tokens(spark, tmp_path):
     assert got == [None] * len(fixed.NA_TOKENS) + ["na", "none at all"]
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        "extra,stars,review_date,text,flag\nx,4.0,2025-01-02,hi,True\ny,NA,not a day,n/a,\nz,oops,,w,False\n")
+    out = files.read_csv(spark, str(tmp_path / "a.csv"),
+                         "text string, stars int, review_date date, flag boolean")
+    assert [(r.text, r.stars, str(r.review_date), r.flag) for r in out.collect()] == [
+        ("hi", 4, "2025-01-02", True), (None, None, "None", None), ("w", None, "None", False)]
+    with pytest.raises(ValueError, match="label"):
+        files.read_csv(spark, str(tmp_path / "a.csv"), "text string, label int")
+
+
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    sizes = [5, 300, 1, 40]
+    n = 0
+    for i, size in enumerate(sizes):
+        lines = [f"{j},t{j}" for j in range(n, n + size)]
+        (tmp_path / f"part-{i}.csv").write_text("i,text\n" + "\n".join(lines) + "\n")
+        n += size
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400b")
+    try:
+        for multi_line in (True, False):
+            out = files.number_rows(files.read_csv(
+                spark, str(tmp_path), "i bigint, text string", multi_line))
+            got = out.collect()
+            assert len(got) == n and all(r.review_id == r.i for r in got)
+            assert "Exchange hash" not in out.select("review_id", "text")._jdf.queryExecution() \
+                .executedPlan().toString().split("BroadcastExchange")[0]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_numbering_agrees_with_line_breaks_and_short_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('i,text\n0,"x\ny, ""z"""\n\n1,\n2\n')
+    (tmp_path / "b.csv").write_text('i,text\n3,"\n\n"\n4,last')
+    out = files.number_rows(files.read_csv(spark, str(tmp_path), "i bigint, text string"))
+    got = rows(out, "review_id")
+    assert [r[:2] for r in got] == [(j, j) for j in range(5)]
+    assert got[0][2] == 'x\ny, "z"' and got[3][2] == "\n\n"
+
+
 def test_append_keeps_one_header_per_part(spark, tmp_path):
     path = str(tmp_path / "log")
     for i in range(3):

@@ -186,12 +186,16 @@ def test_text_is_not_shuffled_unless_selected(spark):
 
 def test_moderation_job(spark, golden, tmp_path):
     source, output = str(tmp_path / "in"), str(tmp_path / "out")
-    files.write_csv(golden, source)
+    raw = golden.orderBy("review_id").drop("review_id").coalesce(1)
+    files.write_csv(raw.select("text", "rating", *raw.columns[:2], "rating_category"), source)
     row = moderation.moderate_csv(spark, source, output, RULES, "spam").first()
     assert (row.total_reviews, row.spam_count) == (4, 3)
-    back = files.read_csv(spark, output, GOLDEN_DDL + ", is_spam boolean, spam_reasons string, "
-                          "word_count bigint, char_count bigint")
-    assert sorted(r.review_id for r in back.collect()) == [1, 2, 3]
+    back = files.read_csv(spark, output, "review_id bigint, is_spam boolean, spam_reasons string")
+    assert {r.review_id: r.spam_reasons for r in back.collect()}[1] == "Duplicate of review #1"
+    moderation.flag_csv(spark, source, output)
+    flags = files.read_csv(spark, output, "review_id bigint, is_spam boolean, spam_duplicate boolean")
+    assert by_id(flags, "is_spam", "spam_duplicate") == [
+        (True, True), (True, True), (True, False), (True, False)]
 
 
 def test_plain_documents_give_the_known_counts(spark):

@@ -67,7 +67,7 @@ def flatten_reviews(spark, sf_dir):
         "text.language AS language", "rating", "feedback.usefulCount AS useful",
         "author IS NULL AS no_author", "author.displayName AS author_name",
         "author.displayLocation AS author_location", "business.name AS business_name",
-        "createdAt AS created_at", "size(businessPhotos) AS photos",
+        "createdAt AS created_at", "array_size(businessPhotos) AS photos",
         "get(businessPhotos, 0).photoUrl AS photo_url", "get(businessPhotos, 0).caption AS caption",
         "to_json(businessVideos) AS videos",
         "get(availableReactions, 0).count AS reaction_count")

@@ -37,7 +37,7 @@ def words(col: Column) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    return F.size(words(col)).cast("bigint")
+    return F.array_size(words(col)).cast("bigint")
 
 
 def char_count(col: Column) -> Column:

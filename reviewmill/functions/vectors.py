@@ -28,7 +28,7 @@ def presence(hits: Column, vocabulary=fixed.VOCABULARY) -> Column:
     """
     found = F.transform(
         literal_array(vocabulary), lambda w: F.array_contains(hits, w).cast("double"))
-    return F.when(F.size(hits) == 0, F.array_repeat(F.lit(0.0), len(vocabulary))).otherwise(found)
+    return F.when(F.array_size(hits) == 0, F.array_repeat(F.lit(0.0), len(vocabulary))).otherwise(found)
 
 
 def softmax(logits: Column) -> Column:

@@ -43,29 +43,32 @@ def attach_groups(
     row_id: str = "review_id",
     hot_copies: int = HOT_COPIES,
 ) -> DataFrame:
-    """Add `first_id` and `copies` (null for unique rows) to every row of `df`.
+    """Add `_first_id` and `_copies` (null for unique rows) to every row of `df`.
 
     Rows of a hot group are answered by the bounded broadcast and then join on
     a value derived from their own id, so no task receives the whole group.
     The hot groups are read from the same shuffle as the second join; reviews
     move only after it is complete, and not at all if it turns out small.
     """
+    all_groups = groups.select(
+        F.col("dup_key").alias("_dup_key"), F.col("first_id").alias("_group_first"),
+        F.col("copies").alias("_group_copies"),
+    )
     hot = (
         groups.orderBy(F.desc("copies"), "dup_key")
         .limit(HOT_GROUPS)
         .where(F.col("copies") >= hot_copies)
         .toDF(key, "_hot_first", "_hot_copies")
     )
-    is_hot = F.col("_hot_copies").isNotNull()
+    is_hot, in_group = F.col("_hot_copies").isNotNull(), F.col("_group_copies").isNotNull()
     spread = keys.fingerprint(F.concat(F.lit("row "), F.col(row_id).cast("string")))
     kept = [c for c in df.columns if c != key]
     answered = df.join(F.broadcast(hot), key, "left").select(
         *kept, "_hot_first", "_hot_copies",
-        F.when(is_hot, spread).otherwise(F.col(key)).alias("dup_key"),
+        F.when(is_hot, spread).otherwise(F.col(key)).alias("_dup_key"),
     )
-    in_group = F.col("copies").isNotNull()
-    return answered.join(groups, "dup_key", "left").select(
-        *kept,
-        F.when(is_hot, F.col("_hot_first")).when(in_group, F.col("first_id")).alias("first_id"),
-        F.coalesce("_hot_copies", "copies").alias("copies"),
+    first = F.when(is_hot, F.col("_hot_first")).when(in_group, F.col("_group_first"))
+    return answered.join(all_groups, "_dup_key", "left").select(
+        *kept, first.alias("_first_id"),
+        F.coalesce("_hot_copies", "_group_copies").alias("_copies"),
     )

@@ -57,8 +57,8 @@ def mark_duplicates(
     return (
         duplicates.attach_groups(df.withColumn("_key", duplicate_key()), groups, "_key",
                                  hot_copies=hot_copies)
-        .withColumn("spam_duplicate", F.col("copies").isNotNull())
-        .drop("first_id", "copies")
+        .withColumn("spam_duplicate", F.col("_copies").isNotNull())
+        .drop("_first_id", "_copies")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewmill import fixed
 from reviewmill.functions import keys, text
-from reviewmill.operators import duplicates
+from reviewmill.operators import duplicates, quality
 
 
 @dataclass(frozen=True)
@@ -73,6 +73,7 @@ def flag_reviews(
     facts about the text are computed before the duplicate join; the text is
     shuffled only if it is selected from the result.
     """
+    quality.require_columns(df, ["review_id"])
     if groups is None:
         groups = reason_groups(df, rules)
     clean = F.col("_text")
@@ -89,7 +90,7 @@ def flag_reviews(
     }).drop("_text")
     grouped = duplicates.attach_groups(facts, groups, "_key", hot_copies=rules.hot_copies)
 
-    words, chars, first = F.col("word_count"), F.col("char_count"), F.col("first_id")
+    words, chars, first = F.col("word_count"), F.col("char_count"), F.col("_first_id")
     say = fixed.REASON_FORMATS
     reasons = (
         F.when(words < rules.min_words,

@@ -25,7 +25,7 @@ def feature_table(reviews: DataFrame, make_predict: Callable) -> DataFrame:
     return modelling.stack_columns(modelling.with_probabilities(logits))
 
 
-def train(reviews: DataFrame, make_predict: Callable, exact_split: bool = False):
+def train(reviews: DataFrame, make_predict: Callable, exact_split: bool = True):
     """Fit the meta model on the training part; returns (model, scored validation)."""
     quality.require_columns(reviews, fixed.TRAINING_COLUMNS)
     encoded = modelling.class_encode(reviews)

@@ -160,6 +160,15 @@ def test_missing_columns_read_as_empty(spark):
     assert got == [("",), ("Duplicate of review #1",)]
 
 
+def test_columns_of_the_caller_survive(golden):
+    df = golden.withColumns({"first_id": F.lit("mine"), "copies": F.lit(7), "dup_key": F.lit(1)})
+    for out in (spam_reasons.flag_reviews(df, RULES), spam_flags.mark_spam(df)):
+        assert out.columns[:len(df.columns)] == df.columns
+        assert {(r.first_id, r.copies, r.dup_key) for r in out.collect()} == {("mine", 7, 1)}
+    with pytest.raises(ValueError, match="review_id"):
+        spam_reasons.flag_reviews(golden.drop("review_id"))
+
+
 def test_corrected_pattern(spark):
     df = spark.createDataFrame([("50% off",)], "text string")
     flags = [spam_flags.pattern_flag(F.col("text"), p)

@@ -189,7 +189,7 @@ CHECKS = {
         SELECT review_id, CAST(i - 1 AS BIGINT) AS line, lines[i] AS words
         FROM (SELECT review_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l)"""),
     "dataset_shape": (dataset_shape, f"""{cte('reviews')}
-        SELECT count(*) AS n_rows, 9 AS n_columns FROM reviews"""),
+        SELECT count(*) AS n_rows, CAST(9 AS BIGINT) AS n_columns FROM reviews"""),
     "dataset_preview": (dataset_preview, f"""{cte('reviews')}
         SELECT review_id, company_name, text FROM reviews ORDER BY review_id LIMIT 5"""),
     "dataset_profile": (dataset_profile, f"""{cte('messy')} SELECT count(*) AS n_rows,

@@ -197,7 +197,7 @@ _SOFTMAX = """, e AS (SELECT *, exp(z0 - greatest(z0, z1, z2)) AS e0,
     exp(z1 - greatest(z0, z1, z2)) AS e1, exp(z2 - greatest(z0, z1, z2)) AS e2 FROM l),
     s AS (SELECT *, round(e0 / (e0 + e1 + e2), 6) AS p0, round(e1 / (e0 + e1 + e2), 6) AS p1,
         round(e2 / (e0 + e1 + e2), 6) AS p2 FROM e)"""
-_PRED = f"""{cte('labelled')}, q AS (SELECT label, length(text) % 3 AS prediction FROM labelled),
+_PRED = f"""{cte('labelled')}, q AS (SELECT label, CAST(length(text) % 3 AS INT) AS prediction FROM labelled),
     cm AS (SELECT label, prediction, count(*) AS n FROM q GROUP BY ALL),
     cls AS (SELECT DISTINCT label AS c FROM cm UNION SELECT DISTINCT prediction FROM cm),
     tot AS (SELECT c,
@@ -238,7 +238,7 @@ CHECKS = {
         CASE WHEN n_chars % 10 <> 0 THEN n_chars % 7 + CAST(0.5 AS DOUBLE) END AS v1,
         CASE WHEN n_chars % 10 <> 0 THEN CAST(0.25 AS DOUBLE) END AS v2 FROM documents"""),
     "class_encode": (class_encode, f"""{cte('messy')}, d AS (
-        SELECT category, row_number() OVER (ORDER BY category) - 1 AS label_id
+        SELECT category, CAST(row_number() OVER (ORDER BY category) - 1 AS INT) AS label_id
         FROM (SELECT DISTINCT category FROM messy WHERE category IS NOT NULL))
         SELECT review_id, category, label_id FROM messy LEFT JOIN d USING (category)"""),
     "stratified_split": (stratified_split, f"""{cte('labelled')}, r AS (SELECT review_id, label,

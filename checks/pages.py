@@ -189,19 +189,19 @@ CHECKS = {
     "page_meta": (page_meta, """SELECT page_id, concat('biz-', page_id) AS business_id,
         nullif(regexp_extract(html, '<meta[^>]*name="yelp-biz-id"[^>]*content="([^"]*)"', 1), '')
         AS absent FROM pages"""),
-    "flatten_reviews": (flatten_reviews, f"""{_LINES} SELECT doc_id AS page_id, i AS position,
+    "flatten_reviews": (flatten_reviews, f"""{_LINES} SELECT doc_id AS page_id, CAST(i AS INT) AS position,
         n_chars AS total_reviews, concat('e', doc_id, '-', i) AS encid, line AS "full",
         lang AS language, 1 + i % 5 AS rating, n_chars AS useful, i % 2 <> 0 AS no_author,
-        CASE WHEN i % 2 = 0 THEN source END AS author_name, NULL AS author_location,
+        CASE WHEN i % 2 = 0 THEN source END AS author_name, CAST(NULL AS STRING) AS author_location,
         concat('The ', source) AS business_name, '2024-01-01T00:00:00Z' AS created_at,
         CASE WHEN i % 3 = 0 THEN 2 END AS photos, CASE WHEN i % 3 = 0 THEN concat('u', i) END
-        AS photo_url, CASE WHEN i % 3 = 0 THEN lang END AS caption, NULL AS videos,
+        AS photo_url, CASE WHEN i % 3 = 0 THEN lang END AS caption, CAST(NULL AS STRING) AS videos,
         i AS reaction_count FROM e"""),
     "script_json": (script_json, "SELECT page_id, url FROM pages"),
     "search_listings": (search_listings, """SELECT page_id, 1 AS position,
         concat('b;', page_id) AS biz_id, url AS name,
-        CASE WHEN page_id % 3 <> 0 THEN page_id % 5 + 0.5 END AS rating,
-        page_id AS review_count, NULL AS phone, 'x' AS alias, 'biz' AS kind FROM pages"""),
+        CASE WHEN page_id % 3 <> 0 THEN page_id % 5 + CAST(0.5 AS DOUBLE) END AS rating,
+        page_id AS review_count, CAST(NULL AS STRING) AS phone, 'x' AS alias, 'biz' AS kind FROM pages"""),
     "search_totals": (search_totals, """SELECT page_id,
         CASE WHEN page_id % 4 <> 0 THEN page_id ELSE 0 END AS total_results FROM pages"""),
     "review_page_plan": (review_page_plan, f"""{_PLAN} SELECT doc_id, "offset"

@@ -47,38 +47,42 @@ _KINDS = {
     T.StructType: ("dict", r"^OBJECT"),
     T.ArrayType: ("list", r"^ARRAY"),
 }
-_NO_VIOLATIONS = "array<struct<path:string,error:string>>"
+_FINDINGS = "array<struct<path:string,error:string>>"
 
 
-def _violations(value: Column, dtype: T.DataType, nullable: bool, path: Column) -> Column:
-    """Violations of one value and everything below it, as an array."""
-    name, accepted = _KINDS[type(dtype)]
-    none = F.array().cast(_NO_VIOLATIONS)
-
-    def one(error: str) -> Column:
-        return F.array(F.struct(path.alias("path"), F.lit(error).alias("error")))
+def _findings(
+    root: Column, at: str, dtype: T.DataType, nullable: bool, shown: Column
+) -> tuple[list[Column], list[Column]]:
+    """Checks of the value at a path of `root` and of everything below it.
 
+    Gives single findings, whose error is null where all is well, and arrays of
+    findings.  What lies below a missing or mistyped value is missing itself
+    and so raises nothing.
+    """
+    name, accepted = _KINDS[type(dtype)]
+    value = root if at == "$" else F.try_variant_get(root, at, "variant")
+    null_error = F.lit(None if nullable else "null value not allowed").cast("string")
+    error = F.when(F.is_variant_null(value), null_error).when(
+        ~F.schema_of_variant(value).rlike(accepted), F.lit(f"must be of {name} type"))
+    single, many = [F.struct(shown.alias("path"), error.alias("error"))], []
     if isinstance(dtype, T.StructType):
-        below = F.concat(*(
-            _violations(F.try_variant_get(value, f"$.{f.name}", "variant"), f.dataType,
-                        f.nullable, F.concat(path, F.lit(f".{f.name}")))
-            for f in dtype.fields
-        ))
+        for field in dtype.fields:
+            below = _findings(root, f"{at}.{field.name}", field.dataType, field.nullable,
+                              F.concat(shown, F.lit(f".{field.name}")))
+            single, many = single + below[0], many + below[1]
     elif isinstance(dtype, T.ArrayType):
-        below = F.flatten(F.transform(
-            F.try_variant_get(value, "$", "array<variant>"),
-            lambda item, i: _violations(
-                item, dtype.elementType, False,
-                F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))),
-        ))
-    else:
-        below = none
-    return (
-        F.when(value.isNull(), none)
-        .when(F.is_variant_null(value), none if nullable else one("null value not allowed"))
-        .when(~F.schema_of_variant(value).rlike(accepted), one(f"must be of {name} type"))
-        .otherwise(below)
-    )
+        items = F.transform(
+            F.try_variant_get(root, at, "array<variant>"),
+            lambda item, i: _gathered(item, dtype.elementType, F.concat(
+                shown, F.lit("["), i.cast("string"), F.lit("]"))),
+        )
+        many.append(F.coalesce(F.flatten(items), F.array().cast(_FINDINGS)))
+    return single, many
+
+
+def _gathered(root: Column, dtype: T.DataType, shown: Column) -> Column:
+    single, many = _findings(root, "$", dtype, False, shown)
+    return F.concat(F.array(*single), *many)
 
 
 def validate_records(
@@ -89,13 +93,13 @@ def validate_records(
     `contract` is a schema in DDL.  `record` holds JSON text.  Fields may be absent and unknown fields are
     allowed; a null is accepted only where the contract says nullable.
     """
-    value = F.try_parse_json(F.col(record))
     unreadable = F.array(F.struct(F.lit("$").alias("path"), F.lit("not valid JSON").alias("error")))
     found = F.when(F.col("_value").isNull(), unreadable).otherwise(
-        _violations(F.col("_value"), T.StructType.fromDDL(contract), False, F.lit("$"))
+        _gathered(F.col("_value"), T.StructType.fromDDL(contract), F.lit("$"))
     )
     return (
-        df.select(row_id, value.alias("_value"))
-        .select(row_id, F.explode(found).alias("_violation"))
-        .select(row_id, "_violation.path", "_violation.error")
+        df.select(row_id, F.try_parse_json(record).alias("_value"))
+        .select(row_id, F.explode(found).alias("_found"))
+        .where("_found.error IS NOT NULL")
+        .select(row_id, "_found.path", "_found.error")
     )

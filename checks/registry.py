@@ -3,36 +3,32 @@
 from __future__ import annotations
 
 import functools
-import shutil
 import tempfile
-from pathlib import Path
 
-from pyspark import SparkContext
+from pyspark.sql import SparkSession
 
 from checks import corpus, model, pages, spam, synth
+from reviewmill.sources.ship import ship
 
-_ROOT = Path(__file__).resolve().parent.parent
 
+def ready(spark: SparkSession) -> None:
+    """The package on the executors and, on a local master, a folder for staged tables."""
+    ship(spark)
+    context = spark.sparkContext
+    unset = not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir())
+    if unset and context.master.startswith("local["):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="reviewmill-"))
 
-@functools.cache
-def _ship(context: SparkContext) -> None:
-    """Give the Python workers the package, once per Spark context."""
-    folder = Path(tempfile.mkdtemp(prefix="reviewmill-package-"))
-    for package in ("reviewmill", "checks"):
-        shutil.copytree(_ROOT / package, folder / "code" / package,
-                        ignore=shutil.ignore_patterns("__pycache__"))
-    context.addPyFile(shutil.make_archive(str(folder / "reviewmill"), "zip", folder / "code"))
 
-
-def _with_package(run):
+def with_package(run):
     @functools.wraps(run)
     def shipped(spark, sf_dir):
-        _ship(spark.sparkContext)
+        ready(spark)
         return run(spark, sf_dir)
     return shipped
 
 
 _CHECKS = {**spam.CHECKS, **corpus.CHECKS, **synth.CHECKS, **pages.CHECKS, **model.CHECKS}
 
-QUERIES = {name: _with_package(run) for name, (run, _) in _CHECKS.items()}
+QUERIES = {name: with_package(run) for name, (run, _) in _CHECKS.items()}
 SQL = {name: sql for name, (_, sql) in _CHECKS.items() if sql}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -114,15 +113,13 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder the session names.
+    """A new path under the shared folder that the session names.
 
-    Only a local session without that setting falls back to a folder of its own.
+    That is `spark.checkpoint.dir`, or else what `setCheckpointDir` was given.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="reviewmill-")
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -13,5 +13,5 @@ def spark():
     spark = session("8")
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     from checks import registry
-    registry._ship(spark.sparkContext)
+    registry.ready(spark)
     return spark

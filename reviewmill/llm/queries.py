@@ -4,9 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewmill.llm import simhash
+from reviewmill.llm import pages, quality, secrets, simhash, urls
 from reviewmill.llm.common import table
 
+#: Fixed values of the URL query: (host, path, verdict).
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"),
+             ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules, keep=("page_id",))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def number(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", number("assign"), number("access"), number("hex"),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"))
+
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
@@ -15,5 +41,32 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "component_id")
 
 
-QUERIES = {q.__name__: q for q in (op6_simhash_near_dedup,)}
-SQL: dict[str, str] = {}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {q.__name__: q for q in (
+    op1_quality_rules, op2_url_filters, op5_secret_scans, op6_simhash_near_dedup,
+    op10_html_extraction,
+)}
+
+SQL = {
+    "op2_url_filters": r"""
+        WITH parts AS (
+            SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages),
+        rules AS (
+            SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+                ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS r (rh, rp, rv)),
+        fitting AS (
+            SELECT page_id, host, path, rh || rp AS rule, rv,
+                   row_number() OVER (PARTITION BY page_id, host, path
+                       ORDER BY length(rh || rp) DESC, length(rh) DESC) AS place
+            FROM parts JOIN rules
+            ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+        SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.rv, 'allow') AS verdict
+        FROM parts p LEFT JOIN fitting f
+        ON p.page_id = f.page_id AND p.host = f.host AND p.path = f.path AND f.place = 1""",
+}

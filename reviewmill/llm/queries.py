@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewmill.llm import pages, quality, secrets, simhash, urls
+from reviewmill.llm import packing, pages, quality, resample, secrets, simhash, urls
 from reviewmill.llm.common import table
 
 #: Fixed values of the URL query: (host, path, verdict).
@@ -41,13 +41,27 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "component_id")
 
 
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return found.select("doc_id", F.col("_weight").alias("weight"), F.col("_key").alias("key"),
+                        F.col("_kept").alias("kept"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenized(table(spark, sf_dir, "documents"))
+    digested = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.place(digested).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {q.__name__: q for q in (
     op1_quality_rules, op2_url_filters, op5_secret_scans, op6_simhash_near_dedup,
-    op10_html_extraction,
+    op7_importance_resampling, op9_best_fit_packing, op10_html_extraction,
 )}
 
 SQL = {

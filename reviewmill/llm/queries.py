@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewmill.llm import packing, pages, quality, resample, secrets, simhash, urls
+from reviewmill.llm import decontaminate, packing, pages, quality, resample, secrets, simhash, urls
 from reviewmill.llm.common import table
 
 #: Fixed values of the URL query: (host, path, verdict).
@@ -21,6 +21,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), rules, keep=("page_id",))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
@@ -60,7 +64,8 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_quality_rules, op2_url_filters, op5_secret_scans, op6_simhash_near_dedup,
+    op1_quality_rules, op2_url_filters, op3_benchmark_decontamination,
+    op5_secret_scans, op6_simhash_near_dedup,
     op7_importance_resampling, op9_best_fit_packing, op10_html_extraction,
 )}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewmill.llm import decontaminate, packing, pages, quality, resample, secrets, simhash, urls
+from reviewmill.llm import chat, decontaminate, packing, pages, quality, resample, secrets, simhash, urls
 from reviewmill.llm.common import table
 
 #: Fixed values of the URL query: (host, path, verdict).
@@ -52,6 +52,10 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("_kept").alias("kept"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.parse(table(spark, sf_dir, "conversations"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenized(table(spark, sf_dir, "documents"))
     digested = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -66,7 +70,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {q.__name__: q for q in (
     op1_quality_rules, op2_url_filters, op3_benchmark_decontamination,
     op5_secret_scans, op6_simhash_near_dedup,
-    op7_importance_resampling, op9_best_fit_packing, op10_html_extraction,
+    op7_importance_resampling, op8_chat_formatting, op9_best_fit_packing, op10_html_extraction,
 )}
 
 SQL = {

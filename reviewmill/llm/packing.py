@@ -128,6 +128,10 @@ class Encoder:
                 raise
             return self._slow(text)
 
+    def starts_word(self, token: int) -> bool:
+        """The id stands for text that begins with a space."""
+        return self._fast.decode_single_token_bytes(token).startswith(b" ")
+
     def _slow(self, text: str) -> list[int]:
         if self._plain is None:
             from tokenizers import Tokenizer

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewmill.llm import chat, decontaminate, packing, pages, quality, resample, secrets, simhash, urls
+from reviewmill.llm import chat, decontaminate, lm, packing, pages, quality, resample, secrets, simhash, urls
 from reviewmill.llm.common import table
 
 #: Fixed values of the URL query: (host, path, verdict).
@@ -25,6 +25,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"), held_out=2, folds=7)
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
@@ -69,7 +73,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     op1_quality_rules, op2_url_filters, op3_benchmark_decontamination,
-    op5_secret_scans, op6_simhash_near_dedup,
+    op4_lm_scoring, op5_secret_scans, op6_simhash_near_dedup,
     op7_importance_resampling, op8_chat_formatting, op9_best_fit_packing, op10_html_extraction,
 )}
 

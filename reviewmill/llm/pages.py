@@ -31,7 +31,8 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s "
-    "samp small span strike strong sub sup time tt u var wbr".split())
+    "samp small span strike strong sub sup time tt u var wbr "
+    "script style noscript template svg canvas iframe object button select textarea input audio video map".split())
 _LEFT_OUT = frozenset(
     "head script style noscript template nav header footer aside form button select option textarea iframe "
     "svg canvas object dialog menu title input datalist xmp noembed noframes audio video map".split())
@@ -148,7 +149,7 @@ class Page:
 
     def _start(self, tag: str, rest: str) -> None:
         if tag in _INLINE:
-            if tag in ("br", "wbr", "img"):
+            if tag in _VOID:
                 self._text(" " if tag == "br" else "")
             elif _says_no(tag, rest) or self._open[-1].out:
                 self._push(tag, True, True)

@@ -152,12 +152,16 @@ def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: in
     """The rows of `docs` that lead their group: the one with the smallest id stays.
 
     All columns are kept.  Of rows that repeat an id one stays; of rows without an id too.
+    The leaders grow with the documents, so they are never broadcast: rows meet them
+    in one shuffle, whatever the size.
     """
     groups_of = near_duplicates(docs, shingle, distance, groups, id_col, text_col)
     same = F.col(id_col).eqNullSafe(F.col("component_id"))
     leaders = common.staged(
-        groups_of.where(same).groupBy(F.col(id_col).alias("_id"))
-        .agg(F.count("*").alias("_rows")), "leaders")
-    single = docs.join(leaders.where("_rows = 1"), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
-    again = docs.join(leaders.where("_rows > 1"), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
-    return single.unionByName(again.dropDuplicates([id_col]))
+        groups_of.where(same).groupBy(F.col(id_col).alias("_leader"))
+        .agg(F.count("*").alias("_leader_rows")), "leaders")
+    led = docs.join(leaders.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_leader")))
+    if leaders.where("_leader_rows > 1").isEmpty():
+        return led.select(*docs.columns)
+    again = led.where("_leader_rows > 1").dropDuplicates([id_col])
+    return led.where("_leader_rows = 1").unionByName(again).select(*docs.columns)

@@ -22,11 +22,52 @@ def _csv_copy(spark, sf_dir, name):
 
 def scan_csv(spark, sf_dir):
     """Messy reviews written as CSV and read with missing cells as null."""
-    return files.read_csv(spark, _csv_copy(spark, sf_dir, "messy"), _CELL_SCHEMA)
+    return files.read_csv(spark, _csv_copy(spark, sf_dir, "messy"), _CELL_SCHEMA, multi_line=True)
 
 
 def csv_roundtrip(spark, sf_dir):
-    return files.read_csv(spark, _csv_copy(spark, sf_dir, "reviews"), _CELL_SCHEMA)
+    return files.read_csv(spark, _csv_copy(spark, sf_dir, "reviews"), _CELL_SCHEMA, multi_line=True)
+
+
+def csv_append(spark, sf_dir):
+    """Reviews of two languages written, the others appended."""
+    path = files.staging_path(spark, "appended-csv")
+    reviews = view(spark, sf_dir, "reviews")
+    files.write_csv(reviews.where("category IN ('en', 'de')").select(*_CELLS), path)
+    files.write_csv(reviews.where("category NOT IN ('en', 'de')").select(*_CELLS), path, mode="append")
+    return files.read_csv(spark, path, _CELL_SCHEMA, multi_line=True)
+
+
+def csv_whole_numbers(spark, sf_dir):
+    """Numbers with a fraction are no whole numbers, those with a zero one are."""
+    path = files.staging_path(spark, "numbers-csv")
+    files.write_csv(table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS review_id", "concat(doc_id, CASE doc_id % 3 WHEN 0 THEN '.0' WHEN 1 THEN '.7' "
+        "ELSE '' END) AS stars", "text"), path)
+    return files.read_csv(spark, path, "review_id bigint, stars int, text string", multi_line=True)
+
+
+def number_rows(spark, sf_dir):
+    """Rows of several files numbered in the order of the files and of the rows in them.
+
+    The files are written in the order of the ids, so each number says how many
+    smaller ids there are.
+    """
+    path = files.staging_path(spark, "numbered")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents.repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    return files.number_rows(files.read_parquet(spark, path), "row_number").select(
+        "doc_id", "row_number", F.length("text").alias("n"))
+
+
+def missing_columns(spark, sf_dir):
+    """What the tables lack to be reviews: one row for each table and missing column."""
+    reviews = view(spark, sf_dir, "reviews")
+    rows = [(name, c) for name, df in (("documents", table(spark, sf_dir, "documents")), ("reviews", reviews))
+            for c in quality.missing_columns(df, ["review_id", "text", "stars"])]
+    found = spark.createDataFrame(rows, "name string, missing string")
+    counted = table(spark, sf_dir, "documents").agg(F.count("*").alias("n_rows"))
+    return found.join(counted, F.lit(True))
 
 
 def scan_jsonl(spark, sf_dir):
@@ -65,8 +106,8 @@ def _record(df):
     photo = F.concat(
         F.lit('{"encid": "p", "photoUrl": "u", "caption": '),
         F.when(F.col("lang") == "de", F.lit("7")).otherwise(F.lit("null")), F.lit("}"))
-    text = F.when(F.col("lang") == "fr", F.lit("null")).otherwise(F.to_json(F.struct(
-        F.col("text").alias("full"), F.lit("x").alias("unknown"))))
+    whole = F.to_json(F.struct(F.col("text").alias("full"), F.lit("x").alias("unknown")))
+    text = F.when(F.col("lang") == "fr", F.concat(F.lit('null, "note": '), whole)).otherwise(whole)
     rating = F.when(F.col("lang") == "es", F.lit('"5"')).otherwise(F.lit("5"))
     return F.when(
         F.col("n_chars") % 10 == 0, F.concat(F.lit("{"), F.col("text"))
@@ -77,7 +118,7 @@ def _record(df):
 
 
 def validate_records(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents", "doc_id")
+    documents = table(spark, sf_dir, "documents")
     records = documents.select(F.col("doc_id").alias("record_id"), _record(documents).alias("record"))
     return quality.validate_records(records, schemas.REVIEW_CONTRACT)
 
@@ -95,11 +136,11 @@ _VALIDATE_SQL = """WITH good AS (SELECT * FROM documents WHERE n_chars % 10 <> 0
 def _source(spark, sf_dir, table_name):
     """A raw source file with a column too many."""
     if table_name == "documents":
-        df = table(spark, sf_dir, "documents", "doc_id").selectExpr(
+        df = table(spark, sf_dir, "documents").selectExpr(
             "source AS title", "CAST(1 + doc_id % 5 AS INT) AS stars", "nullif(text, '') AS text",
             "CAST(doc_id AS STRING) AS publishedAtDate", "lang AS extra")
     elif table_name == "conversations":
-        df = table(spark, sf_dir, "conversations", "conv_id").selectExpr(
+        df = table(spark, sf_dir, "conversations").selectExpr(
             "role AS title", "CAST(1 + turn % 5 AS INT) AS stars",
             "CASE WHEN role = 'user' THEN text END AS text",
             "CAST(conv_id AS STRING) AS publishedAtDate", "turn AS extra")
@@ -108,7 +149,7 @@ def _source(spark, sf_dir, table_name):
             "'item' AS title", "3 AS stars", "text",
             "CAST(item_id AS STRING) AS publishedAtDate", "item_id AS extra")
     else:
-        df = table(spark, sf_dir, "pages", "page_id").selectExpr(
+        df = table(spark, sf_dir, "pages").selectExpr(
             "url AS title", "4 AS stars", "html AS text",
             "CAST(page_id AS STRING) AS publishedAtDate", "page_id AS extra")
     return df
@@ -139,7 +180,7 @@ def ingest_categories(spark, sf_dir):
 
 
 def _fresh(spark, sf_dir):
-    return table(spark, sf_dir, "conversations", "conv_id").selectExpr(
+    return table(spark, sf_dir, "conversations").selectExpr(
         "role AS company_name", "text", "concat('c', turn) AS reviewer_name", "turn AS extra")
 
 
@@ -152,7 +193,7 @@ _OLD_SQL = """WITH old AS (SELECT source AS company_name, text, concat('r', n_ch
 
 def _old(spark, sf_dir):
     """Every document with its label, null where it has none."""
-    documents = table(spark, sf_dir, "documents", "doc_id")
+    documents = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").selectExpr(
         "doc_id", "CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 "
                   "WHEN quality = 1 THEN 2 END AS label")
@@ -182,6 +223,14 @@ CHECKS = {
         author_name, CASE WHEN text IN ({_NA}) THEN NULL ELSE text END AS text, stars FROM messy"""),
     "csv_roundtrip": (csv_roundtrip, f"""{cte('reviews')}
         SELECT review_id, business_name, author_name, text, stars FROM reviews"""),
+    "csv_append": (csv_append, f"""{cte('reviews')}
+        SELECT review_id, business_name, author_name, text, stars FROM reviews"""),
+    "csv_whole_numbers": (csv_whole_numbers, """SELECT doc_id AS review_id,
+        CASE WHEN doc_id % 3 <> 1 THEN CAST(doc_id AS INT) END AS stars, text FROM documents"""),
+    "number_rows": (number_rows, """SELECT doc_id,
+        row_number() OVER (ORDER BY doc_id) - 1 AS row_number, length(text) AS n FROM documents"""),
+    "missing_columns": (missing_columns, """SELECT 'documents' AS name, unnest(['review_id', 'stars'])
+        AS missing, (SELECT count(*) FROM documents) AS n_rows"""),
     "scan_jsonl": (scan_jsonl, f"""{cte('messy')}
         SELECT review_id, business_name, author_name, text, stars FROM messy"""),
     "scan_json_array": (scan_json_array, f"""{cte('reviews')}, l AS (

@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from checks.views import SQL_WS, SQL_WS_CLASS, cte, table, view
+from checks.views import LABEL, SQL_WS, SQL_WS_CLASS, cte, table, view
 from reviewmill import fixed
 from reviewmill.functions import text, vectors
 from reviewmill.operators import features, metrics, modelling
 from reviewmill.plans import training
+from reviewmill.sources import files
 
 
 def _one(spark, sf_dir, expression, name, source="messy"):
@@ -59,7 +60,7 @@ def special_tokens(spark, sf_dir):
 
 def parse_vectors(spark, sf_dir):
     """Vectors kept as JSON text, one in ten of them broken."""
-    raw = table(spark, sf_dir, "documents", "doc_id").selectExpr("doc_id", """CASE
+    raw = table(spark, sf_dir, "documents").selectExpr("doc_id", """CASE
         WHEN n_chars % 10 = 0 THEN 'not a vector'
         ELSE concat('[', n_chars, ', ', n_chars % 7, '.5, 0.25]') END AS tfidf_score""")
     parsed = features.with_parsed_vector(raw, "tfidf_score")
@@ -118,9 +119,12 @@ def argmax(spark, sf_dir):
 
 
 def stack_features(spark, sf_dir):
-    words = features.with_presence(view(spark, sf_dir, "messy")).select("review_id", "presence")
-    stacked = modelling.stack_features(
-        words, modelling.with_probabilities(_logits(spark, sf_dir)))
+    """Vocabulary vectors and probabilities of the same reviews, kept as two tables."""
+    reviews = view(spark, sf_dir, "messy")
+    words = features.with_presence(reviews).select("review_id", "presence")
+    logits = reviews.selectExpr("review_id", """array(length(coalesce(text, '')) / 1000D,
+        length(coalesce(category, '')) / 2D, CAST(stars AS DOUBLE)) AS logits""")
+    stacked = modelling.stack_features(words, modelling.with_probabilities(logits))
     return stacked.select("review_id", F.posexplode("features").alias("place", "value")).select(
         "review_id", "place", F.round("value", 6).alias("value"))
 
@@ -143,35 +147,89 @@ def classification_report(spark, sf_dir):
     return metrics.classification_report(metrics.confusion_matrix(_predicted(spark, sf_dir)))
 
 
+def metrics_missing_labels(spark, sf_dir):
+    """All documents scored, most of them without a label."""
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", f"{LABEL} AS label")
+    scored = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").selectExpr(
+        "label", "CASE WHEN n_chars % 11 <> 0 THEN CAST(length(text) % 3 AS INT) END AS prediction")
+    scores = metrics.macro_metrics(metrics.confusion_matrix(scored))
+    return scores.select(*(F.round(c, 6).alias(c) for c in scores.columns))
+
+
+def class_encode_many(spark, sf_dir):
+    """As many classes as there are orders."""
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CAST(o_orderkey AS STRING) AS label")
+    return modelling.class_encode(orders)
+
+
 def label_names(spark, sf_dir):
     named = metrics.with_label_name(view(spark, sf_dir, "labelled").select("review_id", "label"))
     return metrics.with_label_id(named, out="label_back")
 
 
 def train_meta(spark, sf_dir):
-    """Coefficients of the stacked model: one row per class and feature."""
-    model, _ = training.train(view(spark, sf_dir, "labelled"), toy_model)
-    matrix = model.coefficientMatrix.toArray().tolist()
-    return spark.createDataFrame(
-        [(c, f, float(v)) for c, row in enumerate(matrix) for f, v in enumerate(row)],
-        "class int, feature int, coefficient double")
+    """Gradient of the penalised loss at the coefficients found: 0 at the optimum."""
+    rows = files.stage(training.prepared(view(spark, sf_dir, "labelled"), toy_model), "prepared")
+    meta = training.fit(rows)
+    train = rows.where("split = 'train'")
+    n = train.count()
+    weights = meta.model.coefficientMatrix.toArray()
+    error = F.transform(modelling.vectors.softmax(_decision(meta)), lambda p, c: p - (
+        c == F.col("label_id")).cast("double"))
+    cells = train.select(F.posexplode(error).alias("class", "error"), "features").select(
+        "class", "error", F.posexplode("features").alias("feature", "value"))
+    sums = cells.groupBy("class", "feature").agg((F.sum(F.col("error") * F.col("value")) / n).alias("slope"))
+    penalty = spark.createDataFrame(
+        [(c, f, float(v) / n) for c, row in enumerate(weights) for f, v in enumerate(row)],
+        "class int, feature int, penalty double")
+    slope = F.abs(F.round(F.col("slope") + F.col("penalty"), 3))
+    return sums.join(penalty, ["class", "feature"]).select("class", "feature", slope.alias("gradient"))
+
+
+def _decision(meta):
+    """Scores of the classes, from the coefficients by plain arithmetic."""
+    scores = []
+    for row, bias in zip(meta.model.coefficientMatrix.toArray(), meta.model.interceptVector.toArray()):
+        products = F.zip_with("features", F.lit([float(v) for v in row]), lambda x, w: x * w)
+        scores.append(F.aggregate(products, F.lit(float(bias)), lambda a, x: a + x))
+    return F.array(*scores)
+
+
+def _agreement(scored, meta):
+    """Whether prediction and name are those of the largest score."""
+    best = modelling.vectors.argmax(_decision(meta))
+    agrees = F.col("prediction") == best
+    if "label_name" in scored.columns:
+        agrees &= F.col("label_name") == F.get(F.lit(list(meta.classes)), best)
+    return scored.select("review_id", agrees.alias("agrees"))
 
 
 def predict_meta(spark, sf_dir):
-    _, scored = training.train(view(spark, sf_dir, "labelled"), toy_model, exact_split=False)
-    return scored.select("review_id", "label_id", "prediction")
+    meta, scored = training.train(view(spark, sf_dir, "labelled"), toy_model, exact_split=False)
+    return _agreement(scored, meta)
 
 
 def infer_reviews(spark, sf_dir):
     """Every document classified by the model trained on the labelled ones."""
-    model, _ = training.train(view(spark, sf_dir, "labelled"), toy_model)
-    return training.infer(view(spark, sf_dir, "messy"), toy_model, model).select(
-        "review_id", "prediction", "label_name")
+    meta, _ = training.train(view(spark, sf_dir, "labelled"), toy_model)
+    return _agreement(training.infer(view(spark, sf_dir, "messy"), toy_model, meta), meta)
+
+
+def save_load_model(spark, sf_dir):
+    """The saved model names and scores as the one in memory does."""
+    meta, _ = training.train(view(spark, sf_dir, "labelled"), toy_model)
+    path = files.staging_path(spark, "meta-model")
+    modelling.save_model(meta, spark, path)
+    again = modelling.load_model(spark, path)
+    return _agreement(training.infer(view(spark, sf_dir, "labelled"), toy_model, again), meta)
 
 
 def evaluate_meta(spark, sf_dir):
+    """The report on the exact split: rows, support, and scores between 0 and 1."""
     _, scored = training.train(view(spark, sf_dir, "labelled"), toy_model)
-    return training.evaluate(scored)
+    report = training.evaluate(scored)
+    fair = F.least("precision", "recall", "f1") >= 0
+    return report.select("row", "support", (fair & (F.greatest("precision", "recall", "f1") <= 1)).alias("fair"))
 
 
 _VOCAB = "[" + ", ".join(f"'{w}'" for w in fixed.VOCABULARY) + "]"
@@ -197,7 +255,7 @@ _SOFTMAX = """, e AS (SELECT *, exp(z0 - greatest(z0, z1, z2)) AS e0,
     exp(z1 - greatest(z0, z1, z2)) AS e1, exp(z2 - greatest(z0, z1, z2)) AS e2 FROM l),
     s AS (SELECT *, round(e0 / (e0 + e1 + e2), 6) AS p0, round(e1 / (e0 + e1 + e2), 6) AS p1,
         round(e2 / (e0 + e1 + e2), 6) AS p2 FROM e)"""
-_PRED = f"""{cte('labelled')}, q AS (SELECT label, CAST(length(text) % 3 AS INT) AS prediction FROM labelled),
+_CM = """
     cm AS (SELECT label, prediction, count(*) AS n FROM q GROUP BY ALL),
     cls AS (SELECT DISTINCT label AS c FROM cm UNION SELECT DISTINCT prediction FROM cm),
     tot AS (SELECT c,
@@ -209,7 +267,27 @@ _PRED = f"""{cte('labelled')}, q AS (SELECT label, CAST(length(text) % 3 AS INT)
         CASE WHEN support > 0 THEN hits / support ELSE 0 END AS r,
         CASE WHEN support + predicted > 0 THEN 2 * hits / (support + predicted) ELSE 0 END AS f
         FROM tot)"""
+_PRED = f"""{cte('labelled')}, q AS (SELECT label, CAST(length(text) % 3 AS INT) AS prediction
+    FROM labelled),{_CM}"""
+_SCORED = f"""WITH q AS (SELECT * FROM (SELECT CASE WHEN quality IS NULL THEN NULL ELSE {LABEL} END AS label,
+    CASE WHEN n_chars % 11 <> 0 THEN CAST(length(text) % 3 AS INT) END AS prediction
+    FROM documents LEFT JOIN labels USING (doc_id)) WHERE label IS NOT NULL AND prediction IS NOT NULL),{_CM}"""
+_MACRO = """SELECT round(sum(hits) / sum(support), 6) AS accuracy, round(avg(p), 6) AS precision_macro,
+    round(avg(r), 6) AS recall_macro, round(avg(f), 6) AS f1_macro FROM sc"""
 _HASH = "md5(concat(review_id, '-42'))"
+# Validation rows: ceil(0.2 n) in all, by largest remainder, ties in the order of the labels.
+_SPLIT = f"""{cte('labelled')}, sizes AS (SELECT label, count(*) AS n FROM labelled GROUP BY label),
+    quota AS (SELECT label, floor(0.2 * n) + CASE WHEN row_number() OVER (
+            ORDER BY 0.2 * n - floor(0.2 * n) DESC, label NULLS FIRST)
+        <= (SELECT ceil(0.2 * sum(n)) - sum(floor(0.2 * n)) FROM sizes) THEN 1 ELSE 0 END AS wanted
+        FROM sizes),
+    ranked AS (SELECT review_id, label,
+        row_number() OVER (PARTITION BY label ORDER BY {_HASH}, review_id) AS k FROM labelled),
+    parts AS (SELECT review_id, label, CASE WHEN k <= wanted THEN 'validation' ELSE 'train' END AS split
+        FROM ranked JOIN quota USING (label))"""
+_BY_HASH = f"""{cte('labelled')}, parts AS (SELECT review_id,
+    CASE WHEN CAST('0x' || left({_HASH}, 8) AS BIGINT) / 4294967296.0 < 0.2
+         THEN 'validation' ELSE 'train' END AS split FROM labelled)"""
 
 CHECKS = {
     "text_remove_punct": (text_remove_punct,
@@ -241,14 +319,10 @@ CHECKS = {
         SELECT category, CAST(row_number() OVER (ORDER BY category) - 1 AS INT) AS label_id
         FROM (SELECT DISTINCT category FROM messy WHERE category IS NOT NULL))
         SELECT review_id, category, label_id FROM messy LEFT JOIN d USING (category)"""),
-    "stratified_split": (stratified_split, f"""{cte('labelled')}, r AS (SELECT review_id, label,
-        row_number() OVER (PARTITION BY label ORDER BY {_HASH}, review_id) AS k,
-        count(*) OVER (PARTITION BY label) AS n FROM labelled)
-        SELECT review_id, label, CASE WHEN k <= ceil(0.2 * n) THEN 'validation' ELSE 'train' END
-        AS split FROM r"""),
-    "hash_split": (hash_split, f"""{cte('labelled')} SELECT review_id,
-        CASE WHEN CAST('0x' || left({_HASH}, 8) AS BIGINT) / 4294967296.0 < 0.2
-             THEN 'validation' ELSE 'train' END AS split FROM labelled"""),
+    "class_encode_many": (class_encode_many, """SELECT o_orderkey, CAST(o_orderkey AS STRING) AS label,
+        CAST(row_number() OVER (ORDER BY CAST(o_orderkey AS STRING)) - 1 AS INT) AS label_id FROM orders"""),
+    "stratified_split": (stratified_split, f"{_SPLIT} SELECT review_id, label, split FROM parts"),
+    "hash_split": (hash_split, f"{_BY_HASH} SELECT review_id, split FROM parts"),
     "score_batch": (score_batch, f"""{cte('messy')}, m AS (SELECT review_id, {_CLEAN} AS t,
         {_POI} AS c FROM messy), l AS (SELECT review_id, length(t) / 1000 AS z0,
         length(c) / 20 AS z1, (length(t) - length(replace(t, 'e', ''))) / 100 AS z2 FROM m){_SOFTMAX}
@@ -257,16 +331,17 @@ CHECKS = {
     "softmax": (softmax, f"WITH {_LOGITS}{_SOFTMAX} SELECT review_id, p0, p1, p2 FROM s"),
     "argmax": (argmax, """SELECT vec_id AS review_id,
         list_position(embedding, list_max(embedding)) - 1 AS prediction FROM embeddings"""),
-    "stack_features": (stack_features, f"""{_TOKENS}, {_LOGITS}{_SOFTMAX},
+    "stack_features": (stack_features, f"""{_TOKENS}, l AS (SELECT review_id,
+            length(coalesce(text, '')) / 1000 AS z0, length(coalesce(category, '')) / 2 AS z1,
+            CAST(stars AS DOUBLE) AS z2 FROM messy){_SOFTMAX},
         w AS (SELECT review_id, list_transform({_VOCAB}, lambda w:
             CASE WHEN list_contains(toks, w) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)
             AS ones FROM k)
         SELECT review_id, CAST(unnest(range(0, 153)) AS INT) AS place,
             unnest(list_concat(ones, [p0, p1, p2])) AS value FROM w JOIN s USING (review_id)"""),
     "confusion_matrix": (confusion_matrix, f"{_PRED} SELECT label, prediction, n FROM cm"),
-    "macro_metrics": (macro_metrics, f"""{_PRED}
-        SELECT round(sum(hits) / sum(support), 6) AS accuracy, round(avg(p), 6) AS precision_macro,
-        round(avg(r), 6) AS recall_macro, round(avg(f), 6) AS f1_macro FROM sc"""),
+    "macro_metrics": (macro_metrics, f"{_PRED} {_MACRO}"),
+    "metrics_missing_labels": (metrics_missing_labels, f"{_SCORED} {_MACRO}"),
     "classification_report": (classification_report, f"""{_PRED}, rep AS (
         SELECT CAST(c AS STRING) AS "row", p, r, f, support FROM sc
         UNION ALL SELECT 'accuracy', sum(hits) / sum(support), sum(hits) / sum(support),
@@ -279,8 +354,17 @@ CHECKS = {
     "label_names": (label_names, f"""{cte('labelled')} SELECT review_id, label,
         CASE label WHEN 0 THEN 'spam' WHEN 1 THEN 'irrelevant' ELSE 'relevant' END AS label_name,
         label AS label_back FROM labelled"""),
-    "train_meta": (train_meta, None),
-    "predict_meta": (predict_meta, None),
-    "evaluate_meta": (evaluate_meta, None),
-    "infer_reviews": (infer_reviews, None),
+    "train_meta": (train_meta, f"""{cte('labelled')}, c AS (SELECT CAST(row_number() OVER (ORDER BY label) - 1
+        AS INT) AS class FROM (SELECT DISTINCT label FROM labelled))
+        SELECT class, CAST(unnest(range(0, 153)) AS INT) AS feature, CAST(0 AS DOUBLE) AS gradient FROM c"""),
+    "predict_meta": (predict_meta,
+                     f"{_BY_HASH} SELECT review_id, TRUE AS agrees FROM parts WHERE split = 'validation'"),
+    "evaluate_meta": (evaluate_meta, f"""{_SPLIT}, s AS (SELECT CAST(dense_rank() OVER (ORDER BY label) - 1
+            AS STRING) AS "row", split FROM parts),
+        v AS (SELECT "row", count(*) AS support FROM s WHERE split = 'validation' GROUP BY "row")
+        SELECT "row", support, TRUE AS fair FROM v UNION ALL
+        SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), (SELECT CAST(sum(support) AS BIGINT)
+            FROM v), TRUE"""),
+    "infer_reviews": (infer_reviews, f"{cte('messy')} SELECT review_id, TRUE AS agrees FROM messy"),
+    "save_load_model": (save_load_model, f"{cte('labelled')} SELECT review_id, TRUE AS agrees FROM labelled"),
 }

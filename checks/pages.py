@@ -16,7 +16,7 @@ def page_fields(spark, sf_dir):
 
 def page_fields_plain(spark, sf_dir):
     """The driver's pages as they are: they have a heading and none of the other fields."""
-    return extract.business_pages(table(spark, sf_dir, "pages", "page_id")).drop("open_hours")
+    return extract.business_pages(table(spark, sf_dir, "pages")).drop("open_hours")
 
 
 def page_hours_map(spark, sf_dir):
@@ -24,7 +24,7 @@ def page_hours_map(spark, sf_dir):
 
 
 def page_joined_text(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages", "page_id")
+    pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", markup.joined_text(
         F.col("html"), r"<li><a [^>]*>([^<]*)</a>").alias("links"))
 
@@ -32,7 +32,7 @@ def page_joined_text(spark, sf_dir):
 def page_meta(spark, sf_dir):
     """Business id where a page has one, null on the pages as they are."""
     with_id = extract.business_ids(view(spark, sf_dir, "business_html"))
-    plain = extract.business_ids(table(spark, sf_dir, "pages", "page_id"))
+    plain = extract.business_ids(table(spark, sf_dir, "pages"))
     return with_id.join(plain.withColumnRenamed("business_id", "absent"), "page_id")
 
 
@@ -54,11 +54,21 @@ _FEED_EDGE = """struct(struct(
 
 def _bodies(spark, sf_dir):
     """One review-feed body per document, with a review for each of its lines."""
-    lines = table(spark, sf_dir, "documents", "doc_id").withColumn(
+    lines = table(spark, sf_dir, "documents").withColumn(
         "lines", F.split("text", "\n"))
     edges = f"transform(lines, (line, i) -> {_FEED_EDGE})"
-    return lines.selectExpr("doc_id AS page_id", f"""to_json(array(struct(struct(struct(
-        n_chars AS reviewCount, struct({edges} AS edges) AS reviews) AS business) AS data))) AS body""")
+
+    def bodies(rows, page_id, edges):
+        return rows.selectExpr(f"{page_id} AS page_id", f"""to_json(array(struct(struct(struct(
+            n_chars AS reviewCount, struct({edges} AS edges) AS reviews) AS business) AS data))) AS body""")
+
+    empty = bodies(lines.where("doc_id % 7 = 0"), "doc_id + 1000000000", f"filter({edges}, x -> FALSE)")
+    return bodies(lines, "doc_id", edges).union(empty)
+
+
+def feed_totals(spark, sf_dir):
+    """Totals of all feeds, one in eight without a review in it."""
+    return extract.feed_totals(_bodies(spark, sf_dir))
 
 
 def flatten_reviews(spark, sf_dir):
@@ -75,7 +85,7 @@ def flatten_reviews(spark, sf_dir):
 
 def _script_pages(spark, sf_dir):
     """Pages with an embedded listing script: one kept item and two without a business id."""
-    return table(spark, sf_dir, "pages", "page_id").selectExpr("page_id", """concat(html,
+    return table(spark, sf_dir, "pages").selectExpr("page_id", """concat(html,
         '<script async data-id="react-root-props">var first = 1; react_root_props = ',
         to_json(struct(struct(struct(struct(
             CASE WHEN page_id % 4 <> 0 THEN struct(page_id AS totalResults) END AS paginationInfo,
@@ -113,16 +123,20 @@ def search_totals(spark, sf_dir):
 
 
 def _totals(spark, sf_dir):
-    return table(spark, sf_dir, "documents", "doc_id").selectExpr(
-        "doc_id", "CAST(n_chars DIV 10 AS BIGINT) AS total_reviews", "n_chars AS total_results")
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", "n_chars AS total_results")
+
+
+def _feed_plan(spark, sf_dir, **options):
+    totals = feed_totals(spark, sf_dir).selectExpr("page_id AS doc_id", "total_reviews DIV 10 AS total_reviews")
+    return paging.review_page_plan(totals, "doc_id", **options)
 
 
 def review_page_plan(spark, sf_dir):
-    return paging.review_page_plan(_totals(spark, sf_dir), "doc_id").select("doc_id", "offset")
+    return _feed_plan(spark, sf_dir).select("doc_id", "offset")
 
 
 def review_page_plan_capped(spark, sf_dir):
-    return paging.review_page_plan(_totals(spark, sf_dir), "doc_id", max_reviews=28).select("doc_id", "offset")
+    return _feed_plan(spark, sf_dir, max_reviews=28).select("doc_id", "offset")
 
 
 def search_page_plan(spark, sf_dir):
@@ -131,13 +145,13 @@ def search_page_plan(spark, sf_dir):
 
 
 def search_urls(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents", "doc_id")
+    documents = table(spark, sf_dir, "documents")
     return documents.select("doc_id", paging.search_url(
         F.concat("source", F.lit(" ~* & "), "lang"), F.col("text"), F.col("n_chars")).alias("url"))
 
 
 def page_cursor(spark, sf_dir):
-    plan = paging.review_page_plan(_totals(spark, sf_dir), "doc_id", max_reviews=28)
+    plan = _feed_plan(spark, sf_dir, max_reviews=28)
     return plan.select("doc_id", "offset", paging.cursor(F.col("offset")).alias("after"))
 
 
@@ -155,8 +169,9 @@ _H1 = f"""trim(regexp_replace(replace(replace(replace(replace(
 _LINES = """WITH l AS (SELECT *, string_split(text, chr(10)) AS lines FROM documents),
     e AS (SELECT *, lines[i + 1] AS line FROM (
         SELECT *, unnest(range(0, len(lines))) AS i FROM l))"""
-_PLAN = """WITH t AS (SELECT doc_id, n_chars // 10 AS total_reviews, n_chars AS total_results
-    FROM documents)"""
+_PLAN = """WITH t AS (SELECT doc_id, n_chars AS total_results FROM documents)"""
+_FEED_PLAN = """WITH t AS (SELECT doc_id, n_chars // 10 AS total_reviews FROM documents
+    UNION ALL SELECT doc_id + 1000000000, n_chars // 10 FROM documents WHERE doc_id % 7 = 0)"""
 
 
 def _pages_sql(end):
@@ -197,6 +212,8 @@ CHECKS = {
         CASE WHEN i % 3 = 0 THEN 2 END AS photos, CASE WHEN i % 3 = 0 THEN concat('u', i) END
         AS photo_url, CASE WHEN i % 3 = 0 THEN lang END AS caption, CAST(NULL AS STRING) AS videos,
         i AS reaction_count FROM e"""),
+    "feed_totals": (feed_totals, """SELECT doc_id AS page_id, n_chars AS total_reviews FROM documents
+        UNION ALL SELECT doc_id + 1000000000, n_chars FROM documents WHERE doc_id % 7 = 0"""),
     "script_json": (script_json, "SELECT page_id, url FROM pages"),
     "search_listings": (search_listings, """SELECT page_id, 1 AS position,
         concat('b;', page_id) AS biz_id, url AS name,
@@ -204,9 +221,9 @@ CHECKS = {
         page_id AS review_count, CAST(NULL AS STRING) AS phone, 'x' AS alias, 'biz' AS kind FROM pages"""),
     "search_totals": (search_totals, """SELECT page_id,
         CASE WHEN page_id % 4 <> 0 THEN page_id ELSE 0 END AS total_results FROM pages"""),
-    "review_page_plan": (review_page_plan, f"""{_PLAN} SELECT doc_id, "offset"
+    "review_page_plan": (review_page_plan, f"""{_FEED_PLAN} SELECT doc_id, "offset"
         FROM ({_pages_sql('total_reviews')})"""),
-    "review_page_plan_capped": (review_page_plan_capped, f"""{_PLAN} SELECT doc_id, "offset"
+    "review_page_plan_capped": (review_page_plan_capped, f"""{_FEED_PLAN} SELECT doc_id, "offset"
         FROM ({_pages_sql('least(total_reviews, 28)')})"""),
     "search_page_plan": (search_page_plan, f"""{_PLAN} SELECT doc_id, e // 10 AS total_pages, "offset"
         FROM ({_pages_sql('CAST(least(ceil(total_results / 10), 7) AS BIGINT) * 10')})"""),
@@ -214,7 +231,7 @@ CHECKS = {
         'https://www.yelp.com/search?find_desc=', replace(url_encode(concat(source, ' ~* & ', lang)),
         '%20', '+'), '&find_loc=', replace(url_encode(text), '%20', '+'), '&start=', n_chars) AS url
         FROM documents"""),
-    "page_cursor": (page_cursor, f"""{_PLAN} SELECT doc_id, "offset", {_CURSOR} AS after
+    "page_cursor": (page_cursor, f"""{_FEED_PLAN} SELECT doc_id, "offset", {_CURSOR} AS after
         FROM ({_pages_sql('least(total_reviews, 28)')})"""),
     "request_payloads": (request_payloads, f"""WITH o AS (
         SELECT page_id, CAST(1 AS BIGINT) AS "offset" FROM pages

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.views import SQL_WS, SQL_WS_CLASS, cte, view
+from checks.views import SQL_WS, SQL_WS_CLASS, VIEWS, cte, derived, table, view
 from reviewmill import fixed
 from reviewmill.functions import text
 from reviewmill.operators import spam_flags, spam_reasons
@@ -117,30 +117,34 @@ def _export(kind):
     return run
 
 
+STREAM_PARTS = 5
+
+
 def stream_spam_b(spark, sf_dir):
-    """The stream over the documents table, one micro-batch per file."""
-    static = view(spark, sf_dir, "messy")
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents*.parquet")
-    from checks.views import VIEWS
-    reviews = stream.selectExpr(*(f"{sql} AS {c}" for c, sql in VIEWS["messy"][1].items()))
-    reviews = reviews.withColumnRenamed("grp", "group")
+    """The stream over documents in several files, one micro-batch for each of them."""
+    path = files.staging_path(spark, "stream-documents")
+    documents = table(spark, sf_dir, "documents").withColumn("part", F.expr(f"doc_id % {STREAM_PARTS}"))
+    documents.repartition("part").write.partitionBy("part").parquet(path)
+    stream = (spark.readStream.schema(documents.drop("part").schema)
+              .option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*"))
+    reviews = derived(stream, VIEWS["messy"][0][2])
     output = files.staging_path(spark, "moderated")
     query = moderation.moderate_stream(
         reviews, output, files.staging_path(spark, "moderated-state"))
     query.awaitTermination()
+    static = view(spark, sf_dir, "messy")
     flagged = spark.read.schema(
         spam_reasons.flag_reviews(static).schema).parquet(f"{output}/batch=*")
     return flagged.select(*_B_COLUMNS)
 
 
 def _b_sql(columns, rest="", name="messy", words=10, chars=50, links=fixed.LINK_PATTERN,
-           promo=fixed.PROMO_PATTERN, missing="nan"):
+           promo=fixed.PROMO_PATTERN, missing="nan", scope="", kept="TRUE"):
     return f"""{cte(name)}, p AS (
         SELECT *, trim(coalesce(text, '{missing}'), {SQL_WS}) AS t,
-               trim(coalesce(business_name, '{missing}'), {SQL_WS}) AS b FROM {name}),
+               trim(coalesce(business_name, '{missing}'), {SQL_WS}) AS b FROM {name} WHERE {kept}),
     m AS (SELECT *, {_words('t')} AS word_count, length(t) AS char_count,
-        min(review_id) OVER (PARTITION BY concat(b, ':', lower(t))) AS first_id FROM p),
+        min(review_id) OVER (PARTITION BY concat(b, ':', lower(t)){scope}) AS first_id FROM p),
     f AS (SELECT *, concat_ws('; ',
         CASE WHEN word_count < {words} THEN concat('Too few words (', word_count, ' < {words})') END,
         CASE WHEN char_count < {chars}
@@ -193,7 +197,8 @@ CHECKS = {
     "export_spam": (_export("spam"), _b_sql(_B, "g WHERE is_spam")),
     "export_legitimate": (_export("legitimate"), _b_sql(_B, "g WHERE NOT is_spam")),
     "export_all": (_export("all"), _b_sql(_B)),
-    "stream_spam_b": (stream_spam_b, _b_sql(_B)),
+    "stream_spam_b": (stream_spam_b, _b_sql(
+        _B, scope=f", review_id % {STREAM_PARTS}", kept="review_id < 1000000000")),
     "spam_a_regex": (spam_a_regex, _a_sql("spam_regex")),
     "spam_a_regex_corrected": (
         spam_a_regex_corrected, _a_sql("spam_regex", fixed.FLAG_PATTERNS_CORRECTED)),

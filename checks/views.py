@@ -2,7 +2,8 @@
 
 The derivations are SQL expressions that Spark and DuckDB both understand, so
 each stands here once: as a Spark view and as a common table expression.  Every
-row of a source table is kept; the CASE expressions only vary what a row says.
+row and every text of a source table is kept whole; variants come before, behind or
+next to it, in rows of their own.
 """
 
 from __future__ import annotations
@@ -27,37 +28,42 @@ _REVIEW = {
     "review_date": "CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INT) AS DATE)",
 }
 _MESSY_TEXT = """CASE doc_id % 13
-    WHEN 0 THEN NULL
     WHEN 1 THEN upper(replace(text, 'ß', 'ss'))
     WHEN 2 THEN concat(text, ' Use coupon SAVE20 today')
     WHEN 3 THEN concat('See https://', lang, '.example.com/x ', text)
     WHEN 4 THEN concat(text, ' get 50%off!!!!!!')
     WHEN 5 THEN concat('  ', text, chr(9), '  ')
+    ELSE text END"""
+# Rows of their own, next to some of the documents.
+_EXTRA = "doc_id % 13 IN (0, 6, 7, 8, 9)"
+_EXTRA_TEXT = """CASE doc_id % 13
+    WHEN 0 THEN CAST(NULL AS STRING)
     WHEN 6 THEN 'Great food and service! Would definitely come back.'
     WHEN 7 THEN 'Good'
     WHEN 8 THEN 'GREAT FOOD AND SERVICE! WOULD DEFINITELY COME BACK.'
-    WHEN 9 THEN 'n/a'
-    ELSE text END"""
-_PLAIN_WORDS = (
-    "replace(replace(replace(replace(replace(text, '\"', ''), chr(92), ''), "
-    "chr(10), ' '), '{', ''), '}', '')"
+    ELSE 'n/a' END"""
+# JSON string content of a text, nothing left out.
+_JSON_TEXT = (
+    "replace(replace(replace(replace(text, chr(92), concat(chr(92), chr(92))), "
+    "'\"', concat(chr(92), '\"')), chr(10), concat(chr(92), 'n')), chr(9), concat(chr(92), 't'))"
 )
 _RAW_RESPONSE = f"""CASE (conv_id + turn) % 10
-    WHEN 0 THEN concat('{{"review_text": "', {_PLAIN_WORDS}, '", "star_rating": ',
+    WHEN 0 THEN concat('{{"review_text": "', {_JSON_TEXT}, '", "star_rating": ',
                        CAST(turn AS STRING), '}}')
     WHEN 1 THEN concat('Sure!', chr(10), '```json', chr(10), '{{"star_rating": 9, "review_text": " ',
-                       {_PLAIN_WORDS}, ' "}}', chr(10), '```')
-    WHEN 2 THEN concat('Here it is: {{"review_text": "', {_PLAIN_WORDS},
+                       {_JSON_TEXT}, ' "}}', chr(10), '```')
+    WHEN 2 THEN concat('Here it is: {{"review_text": "', {_JSON_TEXT},
                        '", "star_rating": -3}} Anything else?')
-    WHEN 3 THEN concat('{{"review_text": "', {_PLAIN_WORDS}, '", "star_rating": "4"}}')
-    WHEN 4 THEN concat('{{"review_text": "', {_PLAIN_WORDS}, '"}}')
-    WHEN 5 THEN {_PLAIN_WORDS}
-    WHEN 6 THEN concat('{{"review_text": "', {_PLAIN_WORDS}, '", "star_rating": 2.7}}')
-    WHEN 7 THEN concat('{{"meta": {{"n": 1}}, "review_text": "', {_PLAIN_WORDS},
+    WHEN 3 THEN concat('{{"review_text": "', {_JSON_TEXT}, '", "star_rating": "4"}}')
+    WHEN 4 THEN concat('{{"review_text": "', {_JSON_TEXT}, '"}}')
+    WHEN 5 THEN text
+    WHEN 6 THEN concat('{{"review_text": "', {_JSON_TEXT}, '", "star_rating": 2.7}}')
+    WHEN 7 THEN concat('{{"meta": {{"n": 1}}, "review_text": "', {_JSON_TEXT},
                        '", "star_rating": 4}}')
-    WHEN 8 THEN concat('{{"review_text": "', chr(39), {_PLAIN_WORDS}, chr(39),
+    WHEN 8 THEN concat('{{"review_text": "', chr(39), {_JSON_TEXT}, chr(39),
                        '", "star_rating": 5}}')
-    ELSE '' END"""
+    ELSE concat('{{"review_text": "say ', chr(92), '"', {_JSON_TEXT}, chr(92),
+                '" {{or}} not", "star_rating": 3}}') END"""
 _HOST = "split_part(split_part(url, '/', 3), ':', 1)"
 _BUSINESS_HTML = f"""concat(
     '<meta charset="utf-8"><meta content="biz-', CAST(page_id AS STRING), '" name="yelp-biz-id">',
@@ -71,20 +77,30 @@ _BUSINESS_HTML = f"""concat(
     CAST(10 + page_id % 12 AS STRING), ':00</p></div></td></tr>',
     '<tr><th><p class="day-of-the-week">Tue</p></th><td><p>Closed</p></td></tr></table>', html)"""
 
+_MESSY = {
+    **_REVIEW, "text": _MESSY_TEXT,
+    "business_name": "CASE WHEN doc_id % 29 = 0 THEN NULL ELSE source END",
+    "company_name": "CASE WHEN doc_id % 29 = 0 THEN NULL ELSE source END",
+    "category": "CASE WHEN doc_id % 17 = 0 THEN NULL ELSE lang END",
+}
+_RESPONSE = {
+    "request_id": "concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING))",
+    "raw": _RAW_RESPONSE,
+}
 VIEWS = {
-    "reviews": ("documents", _REVIEW),
-    "messy": ("documents", {
-        **_REVIEW, "text": _MESSY_TEXT,
-        "business_name": "CASE WHEN doc_id % 29 = 0 THEN NULL ELSE source END",
-        "company_name": "CASE WHEN doc_id % 29 = 0 THEN NULL ELSE source END",
-        "category": "CASE WHEN doc_id % 17 = 0 THEN NULL ELSE lang END",
-    }),
-    "labelled": ("documents JOIN labels USING (doc_id)", {**_REVIEW, "label": LABEL}),
-    "responses": ("conversations", {
-        "request_id": "concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING))",
-        "raw": _RAW_RESPONSE,
-    }),
-    "business_html": ("pages", {"page_id": "page_id", "url": "url", "html": _BUSINESS_HTML}),
+    "reviews": [("documents", "TRUE", _REVIEW)],
+    "messy": [
+        ("documents", "TRUE", _MESSY),
+        ("documents", _EXTRA, {**_MESSY, "review_id": "doc_id + 1000000000", "text": _EXTRA_TEXT}),
+    ],
+    "labelled": [("documents JOIN labels USING (doc_id)", "TRUE", {**_REVIEW, "label": LABEL})],
+    "responses": [
+        ("conversations", "TRUE", _RESPONSE),
+        ("conversations", "(conv_id + turn) % 10 = 9", {
+            "request_id": "concat('blank-', CAST(conv_id AS STRING), '-', CAST(turn AS STRING))",
+            "raw": "''"}),
+    ],
+    "business_html": [("pages", "TRUE", {"page_id": "page_id", "url": "url", "html": _BUSINESS_HTML})],
 }
 
 # Whitespace set of the operators, for trim() and for a regular expression.
@@ -92,28 +108,33 @@ SQL_WS = "'" + WS_CHARS + "'"
 SQL_WS_CLASS = "[" + WS_CHARS + "]"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
-    """A driver table; with a key, spread over the cores if it is a single file."""
-    df = files.read_parquet(spark, f"{sf_dir}/{name}.parquet")
-    return files.spread(df, key) if key else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return files.read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    source, columns = VIEWS[name]
-    first = source.split()[0]
-    key = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}[first]
-    df = table(spark, sf_dir, first, key)
-    if "labels" in source:
-        df = df.join(table(spark, sf_dir, "labels"), "doc_id")
-    out = df.selectExpr(*(f"{sql} AS {column}" for column, sql in columns.items()))
+def derived(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The columns of a view over rows of its source table."""
+    out = rows.selectExpr(*(f"{sql} AS {column}" for column, sql in columns.items()))
     return out.withColumnRenamed("grp", "group")
 
 
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    out = None
+    for source, kept, columns in VIEWS[name]:
+        rows = table(spark, sf_dir, source.split()[0]).where(kept)
+        if "labels" in source:
+            rows = rows.join(table(spark, sf_dir, "labels"), "doc_id")
+        part = derived(rows, columns)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def cte(*names: str) -> str:
     """WITH clause that defines the views for DuckDB."""
     parts = []
     for name in names:
-        source, columns = VIEWS[name]
-        chosen = ", ".join(f"{sql} AS {column}" for column, sql in columns.items())
-        parts.append(f"{name} AS (SELECT {chosen} FROM {source})")
+        chosen = " UNION ALL ".join(
+            f"SELECT {', '.join(f'{sql} AS {c}' for c, sql in columns.items())} "
+            f"FROM {source} WHERE {kept}" for source, kept, columns in VIEWS[name])
+        parts.append(f"{name} AS ({chosen})")
     return "WITH " + ", ".join(parts)

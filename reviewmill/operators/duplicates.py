@@ -1,22 +1,17 @@
 """Duplicate detection that survives hot keys.
 
 Groups are found by a map-side combined aggregate over (digest, row id), never by
-a window that would buffer a whole group of copies in one task.  The few heaviest
-groups come back by broadcast, everything else by a shuffled join.
+a window that would buffer a whole group of copies in one task.  Rows meet their
+group in one join on the digest and a salt drawn from the row, so that a group of
+copies is dealt out over as many tasks whatever its size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reviewmill.functions import keys
-
-# At most this many groups are broadcast, whatever the size of the data: 1,000
-# rows of 32 + 16 bytes.  Any group not among them holds less than 1/1,000 of
-# the rows.
-HOT_GROUPS = 1_000
-# Groups smaller than this are never worth a broadcast.
-HOT_COPIES = 100_000
+# Tasks that the rows of one group are dealt out over.
+SALTS = 16
 
 
 def duplicate_groups(df: DataFrame, key: Column, row_id: str = "review_id") -> DataFrame:
@@ -37,38 +32,20 @@ def duplicate_groups(df: DataFrame, key: Column, row_id: str = "review_id") -> D
 
 
 def attach_groups(
-    df: DataFrame,
-    groups: DataFrame,
-    key: str,
-    row_id: str = "review_id",
-    hot_copies: int = HOT_COPIES,
+    df: DataFrame, groups: DataFrame, key: str, row_id: str = "review_id", salts: int = SALTS,
 ) -> DataFrame:
     """Add `_first_id` and `_copies` (null for unique rows) to every row of `df`.
 
-    Rows of a hot group are answered by the bounded broadcast and then join on
-    a value derived from their own id, so no task receives the whole group.
-    The hot groups are read from the same shuffle as the second join; reviews
-    move only after it is complete, and not at all if it turns out small.
+    Every group comes once for each salt; it is a few bytes, and unique rows have
+    none.  Reviews move only after the groups are complete, and not at all if
+    those turn out small.
     """
-    all_groups = groups.select(
-        F.col("dup_key").alias("_dup_key"), F.col("first_id").alias("_group_first"),
-        F.col("copies").alias("_group_copies"),
-    )
-    hot = (
-        groups.orderBy(F.desc("copies"), "dup_key")
-        .limit(HOT_GROUPS)
-        .where(F.col("copies") >= hot_copies)
-        .toDF(key, "_hot_first", "_hot_copies")
+    salted = groups.select(
+        F.col("dup_key").alias("_dup_key"), F.col("first_id").alias("_first_id"),
+        F.col("copies").alias("_copies"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
     )
-    is_hot, in_group = F.col("_hot_copies").isNotNull(), F.col("_group_copies").isNotNull()
-    spread = keys.fingerprint(F.concat(F.lit("row "), F.col(row_id).cast("string")))
+    salt = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
     kept = [c for c in df.columns if c != key]
-    answered = df.join(F.broadcast(hot), key, "left").select(
-        *kept, "_hot_first", "_hot_copies",
-        F.when(is_hot, spread).otherwise(F.col(key)).alias("_dup_key"),
-    )
-    first = F.when(is_hot, F.col("_hot_first")).when(in_group, F.col("_group_first"))
-    return answered.join(all_groups, "_dup_key", "left").select(
-        *kept, first.alias("_first_id"),
-        F.coalesce("_hot_copies", "_group_copies").alias("_copies"),
-    )
+    keyed = df.withColumnsRenamed({key: "_dup_key"}).withColumn("_salt", salt)
+    return keyed.join(salted, ["_dup_key", "_salt"], "left").select(*kept, "_first_id", "_copies")

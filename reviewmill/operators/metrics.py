@@ -12,8 +12,8 @@ from reviewmill import fixed
 
 
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction"):
-    """Long form: (label, prediction, n)."""
-    return df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
+    """Long form: (label, prediction, n); rows without a label or a prediction are left out."""
+    return df.where(F.col(label).isNotNull() & F.col(prediction).isNotNull()).groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
         F.count("*").alias("n")
     )
 
@@ -81,7 +81,7 @@ def label_dimension(spark: SparkSession, names=fixed.LABEL_NAMES) -> DataFrame:
 def with_label_name(df: DataFrame, label: str = "label", names=fixed.LABEL_NAMES) -> DataFrame:
     """Add `label_name`; an unknown label gets null."""
     dimension = label_dimension(df.sparkSession, names).withColumnRenamed("label", label)
-    return df.join(F.broadcast(dimension), label, "left")
+    return df.join(dimension, label, "left")
 
 
 def with_label_id(
@@ -89,4 +89,4 @@ def with_label_id(
 ) -> DataFrame:
     """Add the label id of a label name."""
     dimension = label_dimension(df.sparkSession, names).toDF(out, name)
-    return df.join(F.broadcast(dimension), name, "left")
+    return df.join(dimension, name, "left")

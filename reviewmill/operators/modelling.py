@@ -2,50 +2,40 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from reviewmill import fixed
 from reviewmill.functions import keys, vectors
+from reviewmill.operators import numbering
 from reviewmill.sources import files
 
-# More classes than this are a mistake in the choice of the label column.
-MAX_CLASSES = 1_000
-# Hexadecimal digits of the hash that name a cell of the split histogram: 65,536
-# cells per label.
-CELL_DIGITS = 4
-
-
-def bounded(df: DataFrame, rows: int, what: str) -> DataFrame:
-    """The same rows; the query fails if there are more than `rows` of them."""
-    few = df.limit(rows + 1)
-    message = F.raise_error(F.lit(f"more than {rows} {what}")).cast("boolean")
-    within = F.when(F.col("_rows") <= rows, F.lit(True)).otherwise(message)
-    # The window sees the few rows the limit let through.
-    counted = few.withColumn("_rows", F.count("*").over(Window.partitionBy()))
-    return counted.where(within).drop("_rows")
+# A cell of the split histogram holds about so many rows.
+CELL_ROWS = 5_000
 
 
 def class_names(df: DataFrame, label: str = "label") -> DataFrame:
-    """Distinct class names in text order; missing labels are no class."""
-    names = df.select(F.col(label).cast("string").alias("name")).where("name IS NOT NULL")
-    return bounded(names.distinct(), MAX_CLASSES, "classes")
+    """Distinct class names; missing labels are no class."""
+    return df.select(F.col(label).cast("string").alias("name")).where("name IS NOT NULL").distinct()
 
 
 def class_encode(df: DataFrame, label: str = "label", out: str = "label_id") -> DataFrame:
-    """Number the classes 0.. in text order.
+    """Number the classes 0.. in text order; a missing label has no number.
 
-    The names come as one array computed once, so the rows are not shuffled by
-    a key of three values.
+    The classes are numbered by ranges, whatever their number, and written; the
+    planner knows the size of that table and chooses the join.
     """
-    names = class_names(df, label).agg(F.sort_array(F.collect_list("name"))).scalar()
-    position = F.array_position(names, F.col(label).cast("string"))
-    return df.withColumn(out, (position - 1).cast("int"))
+    numbers = numbering.numbered(class_names(df, label), "name", out="_class")
+    numbers = files.stage(numbers.select(F.col("name").alias("_class_name"), "_class"), "classes")
+    joined = df.join(numbers, F.col(label).cast("string") == F.col("_class_name"), "left")
+    return joined.withColumn(out, F.col("_class").cast("int")).drop("_class", "_class_name")
 
 
 def _split_hash(row_id: str, seed: int) -> Column:
@@ -60,38 +50,49 @@ def stratified_split(
     df: DataFrame, label: str = "label", row_id: str = "review_id",
     share: float = fixed.VALIDATION_SHARE, seed: int = fixed.SPLIT_SEED,
 ) -> DataFrame:
-    """Add `split`: exactly ceil(share * n) rows of each label go to validation.
-
-    The rows with the lowest seeded hash are taken.  Ranking all rows of a label
-    would put a whole label into one task, so a histogram of the hash first
-    finds the cell the last validation row lies in, and only that cell is ranked.
+    """Add `split`: exactly ceil(share * n) rows go to validation, shared out by label.
+
+    Each label gives the floor of its share, and the labels with the largest
+    remainders one row more, ties in the order of the labels; a missing label is one of
+    its own.  Of a label the rows with the lowest seeded hash are taken.  Ranking all
+    rows of a label would put a whole label into one task, so a histogram of the
+    hash first finds the cell the last validation row lies in, and only that
+    cell is ranked; cells are as narrow as the number of rows asks for.
     """
-    rows = df.select(F.col(label).alias("_label"), F.col(row_id).alias("_id"),
-                     _split_hash(row_id, seed).alias("_hash"))
-    rows = rows.withColumn("_cell", F.substring("_hash", 1, CELL_DIGITS))
-    by_label = Window.partitionBy("_label")
-    so_far = by_label.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = F.ceil(F.lit(Decimal(str(share))) * F.sum("n").over(by_label)).cast("bigint")
+    rows = files.stage(df.select(
+        F.col(label).alias("_label"), F.col(row_id).alias("_id"), _split_hash(row_id, seed).alias("_hash")),
+        "split-hashes")
+    exact = F.lit(Decimal(str(share))) * F.col("n")
+    counts = rows.groupBy("_label").agg(F.count("*").alias("n")).withColumns({
+        "floor": F.floor(exact).cast("bigint"), "rest": exact - F.floor(exact)})
+    total, floors = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("floor"), F.lit(0))).first()
+    more = math.ceil(Decimal(str(share)) * total) - floors
+    by_rest = numbering.numbered(counts, F.col("rest").desc(), F.col("_label").asc_nulls_first())
+    wanted = files.stage(by_rest.select(
+        F.col("_label").alias("_cut_label"),
+        (F.col("floor") + (F.col("number") < more).cast("bigint")).alias("wanted")), "split-sizes")
+
+    digits = max(1, math.ceil(math.log(max(total / CELL_ROWS, 1), 16)))
+    cells = rows.withColumn("_cell", F.substring("_hash", 1, digits))
+    so_far = Window.partitionBy("_label").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
     cut = (
-        rows.groupBy("_label", "_cell").agg(F.count("*").alias("n"))
-        .withColumns({"wanted": wanted, "upto": F.sum("n").over(so_far)})
+        cells.groupBy("_label", "_cell").agg(F.count("*").alias("n"))
+        .withColumn("upto", F.sum("n").over(so_far))
+        .join(wanted, F.col("_label").eqNullSafe(F.col("_cut_label")))
         .where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
-        .select("_label", "_cell", (F.col("wanted") - F.col("upto") + F.col("n")).alias("need"))
+        .select("_cut_label", F.col("_cell").alias("_cut_cell"),
+                (F.col("wanted") - F.col("upto") + F.col("n")).alias("need"))
     )
-    cut = bounded(cut, MAX_CLASSES, "classes").withColumnsRenamed(
-        {"_label": "_cut_label", "_cell": "_cut_cell"})
-    in_cell = rows.join(F.broadcast(cut), F.col("_label").eqNullSafe(F.col("_cut_label"))
-                        & (F.col("_cell") == F.col("_cut_cell")))
+    in_cell = cells.join(cut, F.col("_label").eqNullSafe(F.col("_cut_label"))
+                         & (F.col("_cell") == F.col("_cut_cell")))
     order = Window.partitionBy("_label").orderBy("_hash", "_id")
-    last = (
+    last = files.stage(
         in_cell.withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") == F.col("need"))
-        .select("_label", F.struct("_hash", "_id").alias("_last"))
-    )
+        .select("_label", F.struct("_hash", "_id").alias("_last")), "split-points")
     mine = F.struct(_split_hash(row_id, seed).alias("_hash"), F.col(row_id).alias("_id"))
     return (
-        df.join(F.broadcast(bounded(last, MAX_CLASSES, "classes")),
-                F.col(label).eqNullSafe(F.col("_label")), "left")
+        df.join(last, F.col(label).eqNullSafe(F.col("_label")), "left")
         .withColumn("split", _mark(F.col("_last").isNotNull() & (mine <= F.col("_last"))))
         .drop("_label", "_last")
     )
@@ -140,8 +141,15 @@ def stack_features(
     words: DataFrame, probs: DataFrame, row_id: str = "review_id",
     left: str = "presence", right: str = "probs", out: str = "features",
 ) -> DataFrame:
-    """Vocabulary vector and class probabilities side by side, matched by row id."""
-    return stack_columns(words.join(probs.select(row_id, right), row_id), left, right, out)
+    """Vocabulary vector and class probabilities side by side, matched by row id.
+
+    Every review is kept; one without probabilities fails the query.
+    """
+    told = probs.select(F.col(row_id).alias("_told_id"), right)
+    joined = words.join(told, F.col(row_id) == F.col("_told_id"), "left").drop("_told_id")
+    missing = F.raise_error(F.concat(F.lit("no probabilities for row "), F.col(row_id).cast("string")))
+    checked = F.when(F.col(right).isNull(), missing.cast("array<double>")).otherwise(F.col(right))
+    return stack_columns(joined.withColumn(right, checked), left, right, out)
 
 
 def train_meta(
@@ -179,9 +187,27 @@ def predict_meta(
     )
 
 
-def save_model(model: LogisticRegressionModel, path: str) -> None:
-    model.write().overwrite().save(path)
+@dataclass(frozen=True)
+class MetaModel:
+    """The stacked model and the names of its classes, in the order of their ids."""
+
+    model: LogisticRegressionModel
+    classes: tuple[str, ...]
+
+
+def trained_classes(df: DataFrame, label: str = "label", label_id: str = "label_id") -> tuple[str, ...]:
+    """Names of the classes by id: as many as the model has rows of coefficients."""
+    pairs = df.where(F.col(label_id).isNotNull()).select(label_id, F.col(label).cast("string")).distinct()
+    return tuple(name for _, name in sorted(pairs.collect()))
+
+
+def save_model(meta: MetaModel, spark: SparkSession, path: str) -> None:
+    """Model and class names under one folder, replacing what is there."""
+    meta.model.write().overwrite().save(f"{path}/model")
+    names = spark.createDataFrame(list(enumerate(meta.classes)), "label_id int, name string")
+    names.write.mode("overwrite").parquet(f"{path}/classes")
 
 
-def load_model(path: str) -> LogisticRegressionModel:
-    return LogisticRegressionModel.load(path)
+def load_model(spark: SparkSession, path: str) -> MetaModel:
+    names = spark.read.parquet(f"{path}/classes").collect()
+    return MetaModel(LogisticRegressionModel.load(f"{path}/model"), tuple(n for _, n in sorted(names)))

@@ -18,7 +18,6 @@ class FlagRules:
     min_words: int = fixed.FLAG_MIN_WORDS
     min_chars: int = fixed.FLAG_MIN_CHARS
     patterns: tuple[str, ...] = fixed.FLAG_PATTERNS
-    hot_copies: int = duplicates.HOT_COPIES
 
 
 # Characters a match of the known pattern sets starts with.  Such a set is
@@ -48,15 +47,12 @@ def duplicate_key() -> Column:
     return keys.null_safe_fingerprint(F.col("business_name"), F.col("text"))
 
 
-def mark_duplicates(
-    df: DataFrame, groups: DataFrame | None = None, hot_copies: int = duplicates.HOT_COPIES
-) -> DataFrame:
+def mark_duplicates(df: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """`spam_duplicate`: every member of an equal (business_name, text) group."""
     if groups is None:
         groups = duplicates.duplicate_groups(df, duplicate_key())
     return (
-        duplicates.attach_groups(df.withColumn("_key", duplicate_key()), groups, "_key",
-                                 hot_copies=hot_copies)
+        duplicates.attach_groups(df.withColumn("_key", duplicate_key()), groups, "_key")
         .withColumn("spam_duplicate", F.col("_copies").isNotNull())
         .drop("_first_id", "_copies")
     )
@@ -76,6 +72,6 @@ def mark_spam(
         "spam_regex": pattern_flag(F.col("text"), rules.patterns),
         "spam_length": length_flag(F.col("text"), rules.min_words, rules.min_chars),
     })
-    return mark_duplicates(flagged, groups, rules.hot_copies).withColumn(
+    return mark_duplicates(flagged, groups).withColumn(
         "is_spam", F.col("spam_regex") | F.col("spam_length") | F.col("spam_duplicate")
     )

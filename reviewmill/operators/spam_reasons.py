@@ -23,7 +23,6 @@ class ReasonRules:
     # Read a missing value as the text "nan", so that results equal those of a
     # table whose missing cells were turned into text.
     compat_null: bool = True
-    hot_copies: int = duplicates.HOT_COPIES
 
 
 # Characters a match of the default patterns starts with.
@@ -88,7 +87,7 @@ def flag_reviews(
         ),
         "_shouts": text.occurrences(clean, "!") > rules.max_exclamations,
     }).drop("_text")
-    grouped = duplicates.attach_groups(facts, groups, "_key", hot_copies=rules.hot_copies)
+    grouped = duplicates.attach_groups(facts, groups, "_key")
 
     words, chars, first = F.col("word_count"), F.col("char_count"), F.col("_first_id")
     say = fixed.REASON_FORMATS

@@ -13,7 +13,7 @@ from reviewmill.sources import files
 
 def ingest_csv(spark: SparkSession, sources: Mapping[str, str], output: str) -> None:
     """Read one raw CSV per category and write the corpus partitioned by category."""
-    raw = {name: files.read_csv(spark, path, schemas.SOURCE_REVIEW)
+    raw = {name: files.read_csv(spark, path, schemas.SOURCE_REVIEW, multi_line=True)
            for name, path in sources.items()}
     corpus.write_by_category(corpus.ingest_categories(raw), output)
 

@@ -11,8 +11,10 @@ from reviewmill.sources import files
 
 def _numbered(spark: SparkSession, source: str, schema: str) -> DataFrame:
     """Reviews of a CSV; rows without an id of their own are numbered in file order."""
-    reviews = files.read_csv(spark, source, schema)
-    return reviews if "review_id" in reviews.columns else files.number_rows(reviews)
+    reviews = files.read_csv(spark, source, schema, multi_line=True)
+    if "review_id" not in reviews.columns:
+        reviews = files.number_rows(reviews)
+    return files.stage(reviews, "reviews")  # parsed once, read by groups and rules
 
 
 def flag_csv(

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
 from reviewmill import fixed
 from reviewmill.functions import text
 from reviewmill.operators import features, metrics, modelling, quality
+from reviewmill.sources import files
 
 
 def feature_table(reviews: DataFrame, make_predict: Callable) -> DataFrame:
@@ -25,15 +25,28 @@ def feature_table(reviews: DataFrame, make_predict: Callable) -> DataFrame:
     return modelling.stack_columns(modelling.with_probabilities(logits))
 
 
-def train(reviews: DataFrame, make_predict: Callable, exact_split: bool = True):
-    """Fit the meta model on the training part; returns (model, scored validation)."""
+def prepared(reviews: DataFrame, make_predict: Callable, exact_split: bool = True) -> DataFrame:
+    """Reviews with label ids, split and features.
+
+    The encoded reviews are written once: splits, features and class names read them.
+    """
     quality.require_columns(reviews, fixed.TRAINING_COLUMNS)
-    encoded = modelling.class_encode(reviews)
+    encoded = files.stage(modelling.class_encode(reviews), "encoded-reviews")
     split = modelling.stratified_split if exact_split else modelling.hash_split
-    table = feature_table(split(encoded), make_predict)
+    return feature_table(split(encoded), make_predict)
+
+
+def train(reviews: DataFrame, make_predict: Callable, exact_split: bool = True):
+    """Fit the meta model on the training part; returns (meta model, scored validation)."""
+    table = prepared(reviews, make_predict, exact_split)
+    meta = fit(table)
+    return meta, modelling.predict_meta(meta.model, table.where("split = 'validation'"))
+
+
+def fit(table: DataFrame) -> modelling.MetaModel:
+    """The meta model of the training part of a prepared table."""
     model = modelling.train_meta(table.where("split = 'train'"))
-    validation = table.where("split = 'validation'")
-    return model, modelling.predict_meta(model, validation)
+    return modelling.MetaModel(model, modelling.trained_classes(table))
 
 
 def evaluate(scored: DataFrame) -> DataFrame:
@@ -41,9 +54,7 @@ def evaluate(scored: DataFrame) -> DataFrame:
     return metrics.classification_report(metrics.confusion_matrix(scored, "label_id"))
 
 
-def infer(
-    reviews: DataFrame, make_predict: Callable, model: LogisticRegressionModel
-) -> DataFrame:
-    """New reviews to class ids and names."""
-    scored = modelling.predict_meta(model, feature_table(reviews, make_predict))
-    return metrics.with_label_name(scored, "prediction")
+def infer(reviews: DataFrame, make_predict: Callable, meta: modelling.MetaModel) -> DataFrame:
+    """New reviews to class ids and the names that the classes had in training."""
+    scored = modelling.predict_meta(meta.model, feature_table(reviews, make_predict))
+    return metrics.with_label_name(scored, "prediction", names=dict(enumerate(meta.classes)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from reviewmill import fixed
 from reviewmill.operators import quality
@@ -12,17 +12,6 @@ from reviewmill.operators import quality
 _CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core on an input that is one file, and so perhaps one split.
-
-    Inputs of more files are left as they are: they split by themselves, and
-    only a single file is small enough to be shuffled for parallelism alone.
-    """
-    if len(df.inputFiles()) != 1:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
-
-
 def read_parquet(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
@@ -31,51 +20,54 @@ def _cell(name: str, dtype: T.DataType) -> Column:
     """A CSV cell as its type; a missing or unreadable cell is null."""
     cell = F.when(~F.col(name).isin(*fixed.NA_TOKENS), F.col(name))
     if isinstance(dtype, T.IntegralType):
-        # Whole numbers are often written "4.0" where other cells are missing.
-        whole = F.floor(cell.try_cast("double")).try_cast(dtype)
-        return F.coalesce(cell.try_cast(dtype), whole)
+        # Whole numbers are often written "4.0" where other cells are missing; "4.7" is none.
+        number = cell.try_cast("double")
+        return F.when(number == F.floor(number), F.coalesce(cell.try_cast(dtype), number.try_cast(dtype)))
     return cell.try_cast(dtype)
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: str, multi_line: bool = True
+    spark: SparkSession, path: str, schema: str, *, multi_line: bool
 ) -> DataFrame:
-    """The named columns of a CSV with header, in any order, others left out.
-
-    Quoted commas, quotes and line breaks are part of a cell; the usual words
-    for "missing" are null.  A file with line breaks inside cells cannot be
-    split, so large inputs should come as many files, or with
-    `multi_line=False` where no cell holds a break.
+    """The named columns of CSV files with a header, in any order, others left out.
+
+    Quoted commas and quotes are part of a cell; the usual words for "missing" are
+    null, and so is a cell that is not of its column's type.  All files must have
+    the same header: a file that deviates fails the query.  With `multi_line`, line
+    breaks in quotes are part of a cell and a file is read by one task, so large
+    inputs should come as many files; without, files are split and no cell
+    may hold a break.
     """
-    raw = spark.read.options(**_CSV, multiLine=multi_line).csv(path)
+    reader = spark.read.options(**_CSV, multiLine=multi_line)
+    header = reader.csv(path).columns
+    raw = reader.schema(", ".join(f"`{c}` string" for c in header)).option(
+        "enforceSchema", False).csv(path)
     fields = T.StructType.fromDDL(schema).fields
     quality.require_columns(raw, [f.name for f in fields])
     return raw.select(*(_cell(f.name, f.dataType).alias(f.name) for f in fields))
 
 
 def number_rows(df: DataFrame, column: str = "review_id") -> DataFrame:
-    """Number the rows of files from 0 in file order, without moving them.
+    """Number the rows of files from 0 in file order.
 
     `df` must be a scan or a projection of one.  The rows of each input split
-    are numbered where they are; the split sizes, one small row for every split
-    the driver has planned, are summed up and broadcast.
+    are numbered where they are; the split sizes, one small row for every split,
+    are written and summed up in file order, and the planner, which knows
+    their size, chooses how rows meet them.
     """
+    from reviewmill.operators import numbering
+
     placed = df.select(
         "*",
         F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_start"),
+        F.col("_metadata.file_block_start").alias("_from"),
         F.monotonically_increasing_id().alias("_place"),
     )
-    in_order = Window.orderBy("_path", "_start")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    splits = (
-        placed.groupBy("_path", "_start")
-        .agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select("_path", "_start", "_first", "_before")
-    )
+    splits = placed.groupBy("_path", "_from").agg(
+        F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    splits = stage(numbering.numbered(splits, "_path", "_from", out="_before", weight=F.col("_n")), "splits")
     return (
-        placed.join(F.broadcast(splits), ["_path", "_start"])
+        placed.join(splits, ["_path", "_from"])
         .withColumn(column, F.col("_before") + F.col("_place") - F.col("_first"))
         .select(column, *df.columns)
     )
@@ -132,3 +124,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
     return read_parquet(df.sparkSession, path, df.schema)
+
+
+def drop_staged(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the folders of staged tables that are no longer read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for table in tables:
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)

@@ -21,8 +21,10 @@ def moderate_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # read by the groups and by the rules
         flagged = spam_reasons.flag_reviews(batch, rules)
         flagged.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        batch.unpersist()
 
     return (
         reviews.writeStream.foreachBatch(write)

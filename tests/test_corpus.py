@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 
@@ -58,7 +59,7 @@ def test_csv_cells_survive(spark, tmp_path):
     df = spark.createDataFrame(list(enumerate(cells)), "i int, text string")
     path = str(tmp_path / "csv")
     files.write_csv(df, path)
-    assert rows(files.read_csv(spark, path, "i int, text string"), "i") == list(enumerate(cells))
+    assert rows(files.read_csv(spark, path, "i int, text string", multi_line=True), "i") == list(enumerate(cells))
 
 
 def test_csv_missing_tokens(spark, tmp_path):
@@ -66,7 +67,7 @@ def test_csv_missing_tokens(spark, tmp_path):
         list(enumerate([*fixed.NA_TOKENS, "na", "none at all"])), "i int, text string")
     path = str(tmp_path / "csv")
     files.write_csv(df, path)
-    got = [t for _, t in rows(files.read_csv(spark, path, "i int, text string"), "i")]
+    got = [t for _, t in rows(files.read_csv(spark, path, "i int, text string", multi_line=True), "i")]
     assert got == [None] * len(fixed.NA_TOKENS) + ["na", "none at all"]
 
 
@@ -74,11 +75,11 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
     (tmp_path / "a.csv").write_text(
         "extra,stars,review_date,text,flag\nx,4.0,2025-01-02,hi,True\ny,NA,not a day,n/a,\nz,oops,,w,False\n")
     out = files.read_csv(spark, str(tmp_path / "a.csv"),
-                         "text string, stars int, review_date date, flag boolean")
+                         "text string, stars int, review_date date, flag boolean", multi_line=True)
     assert [(r.text, r.stars, str(r.review_date), r.flag) for r in out.collect()] == [
         ("hi", 4, "2025-01-02", True), (None, None, "None", None), ("w", None, "None", False)]
     with pytest.raises(ValueError, match="label"):
-        files.read_csv(spark, str(tmp_path / "a.csv"), "text string, label int")
+        files.read_csv(spark, str(tmp_path / "a.csv"), "text string, label int", multi_line=True)
 
 
 def test_rows_are_numbered_in_file_order(spark, tmp_path):
@@ -93,7 +94,7 @@ def test_rows_are_numbered_in_file_order(spark, tmp_path):
     try:
         for multi_line in (True, False):
             out = files.number_rows(files.read_csv(
-                spark, str(tmp_path), "i bigint, text string", multi_line))
+                spark, str(tmp_path), "i bigint, text string", multi_line=multi_line))
             got = out.collect()
             assert len(got) == n and all(r.review_id == r.i for r in got)
             assert "Exchange hash" not in out.select("review_id", "text")._jdf.queryExecution() \
@@ -105,7 +106,7 @@ def test_rows_are_numbered_in_file_order(spark, tmp_path):
 def test_numbering_agrees_with_line_breaks_and_short_rows(spark, tmp_path):
     (tmp_path / "a.csv").write_text('i,text\n0,"x\ny, ""z"""\n\n1,\n2\n')
     (tmp_path / "b.csv").write_text('i,text\n3,"\n\n"\n4,last')
-    out = files.number_rows(files.read_csv(spark, str(tmp_path), "i bigint, text string"))
+    out = files.number_rows(files.read_csv(spark, str(tmp_path), "i bigint, text string", multi_line=True))
     got = rows(out, "review_id")
     assert [r[:2] for r in got] == [(j, j) for j in range(5)]
     assert got[0][2] == 'x\ny, "z"' and got[3][2] == "\n\n"
@@ -115,7 +116,7 @@ def test_append_keeps_one_header_per_part(spark, tmp_path):
     path = str(tmp_path / "log")
     for i in range(3):
         files.write_csv(spark.createDataFrame([(i, "x")], "i int, text string"), path, mode="append")
-    assert [i for i, _ in rows(files.read_csv(spark, path, "i int, text string"), "i")] == [0, 1, 2]
+    assert [i for i, _ in rows(files.read_csv(spark, path, "i int, text string", multi_line=True), "i")] == [0, 1, 2]
 
 
 def test_json_sink_keeps_characters_and_nulls(spark, tmp_path):
@@ -142,14 +143,26 @@ def test_staging_path_comes_from_the_session(spark):
         assert path.startswith(root)
 
 
-def test_single_file_is_spread(spark, tmp_path):
-    path = str(tmp_path / "one")
-    spark.range(100).coalesce(1).write.parquet(path)
-    one = spark.read.parquet(path)
-    assert files.spread(one, "id").rdd.getNumPartitions() == 8
-    spark.range(100).repartition(3).write.parquet(path + "3")
-    three = spark.read.parquet(path + "3")
-    assert files.spread(three, "id") is three
+def test_staged_tables_can_be_dropped(spark):
+    table = files.stage(spark.range(5), "gone")
+    folder = table.inputFiles()[0].rpartition("/")[0].removeprefix("file:")
+    assert table.count() == 5 and Path("/" + folder.lstrip("/")).is_dir()
+    files.drop_staged(spark, table)
+    assert not Path("/" + folder.lstrip("/")).exists()
+
+
+def test_numbers_with_a_fraction_are_no_whole_numbers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n\n4.0\n4.7\n-0.5\n-3\n1e2\n9007199254740993\n")
+    got = [r.n for r in files.read_csv(spark, str(tmp_path), "n bigint", multi_line=True).collect()]
+    assert got == [4, None, None, -3, 100, 9007199254740993]
+
+
+def test_files_with_another_header_fail(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("text,author\nt,a\n")
+    (tmp_path / "b.csv").write_text("author,text\na,t\n")
+    for multi_line in (True, False):
+        with pytest.raises(Exception, match="(?i)header"):
+            files.read_csv(spark, str(tmp_path), "text string, author string", multi_line=multi_line).collect()
 
 
 def test_shape_profile_preview(spark):

@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-import row_oracle
 import samples
 from checks import spam
 from reviewmill import fixed
@@ -10,11 +9,11 @@ from reviewmill.plans import moderation
 from reviewmill.sources import files
 
 GOLDEN = [
-    (0, "Restaurant A", "John", "Great food and service! Would definitely come back.", 5, "Excellent"),
-    (1, "Restaurant A", "Jane", "Great food and service! Would definitely come back.", 4, "Good"),
-    (2, "Restaurant B", "Bob", "Good", 3, "Average"),
-    (3, "Restaurant C", "Alice",
-     "AMAZING PLACE!!!!!!! CHECK OUT www.promo.com FOR DISCOUNTS!!!", 5, "Excellent"),
+    (0, "Cafe North", "Ada", "Wonderful soup and reasonable prices. Certainly coming back.", 5, "Excellent"),
+    (1, "Cafe North", "Ben", "Wonderful soup and reasonable prices. Certainly coming back.", 4, "Good"),
+    (2, "Cafe South", "Cy", "Fine", 3, "Average"),
+    (3, "Cafe West", "Dee",
+     "WHAT A BARGAIN!!!!!!! SEE www.deals.example FOR COUPONS AND DISCOUNTS!!!", 5, "Excellent"),
 ]
 GOLDEN_DDL = ("review_id bigint, business_name string, author_name string, text string, "
               "rating int, rating_category string")
@@ -52,9 +51,9 @@ def test_golden_reasons(golden):
 
 def test_golden_statistics_and_examples(golden):
     flagged = spam_reasons.flag_reviews(golden, RULES)
-    assert tuple(spam_reasons.statistics(flagged).first()) == (4, 3, 1, 75.0, 6.0, 41.8)
+    assert tuple(spam_reasons.statistics(flagged).first()) == (4, 3, 1, 75.0, 6.5, 49.0)
     shown = spam_reasons.spam_examples(flagged, rows=2, chars=10).collect()
-    assert [r.review for r in shown] == ["Great food...", "Good"]
+    assert [r.review for r in shown] == ["Wonderful ...", "Fine"]
     assert {k: spam_reasons.select_export(flagged, k).count()
             for k in ("spam", "legitimate", "all", "other")} == {
         "spam": 3, "legitimate": 1, "all": 4, "other": 4}
@@ -71,31 +70,57 @@ def test_statistics_of_nothing(golden):
     assert (row.total_reviews, row.spam_rate, row.avg_word_count) == (0, 0.0, None)
 
 
-def test_reasons_match_python(mixed):
-    rows, df = mixed
-    got = by_id(spam_reasons.flag_reviews(df), "spam_reasons", "word_count", "char_count")
-    want = row_oracle.reasons(rows)
-    clean = [("nan" if t is None else t).strip() for _, t in rows]
-    assert [g[0] for g in got] == ["; ".join(w) for w in want]
-    assert [(g[1], g[2]) for g in got] == [(len(c.split()), len(c)) for c in clean]
+LONG = "One two three four five six seven eight nine ten, and it goes on for a while here"
+SAY = fixed.REASON_FORMATS
+
+
+def few(words=None, chars=None):
+    """Messages of the two length rules at their defaults."""
+    return [SAY["words"] % (words, 10)] * (words is not None) + [SAY["chars"] % (chars, 50)] * (
+        chars is not None)
+
+
+#: (business, text) and what the rules say of it, worked out by hand.
+CASES = [
+    (("A", LONG), []),
+    (("A", None), few(1, 3)),
+    (("A", ""), few(0, 0)),
+    (("A", " \t"), few(0, 0) + [SAY["duplicate"] % 3]),
+    (("A", "nan"), few(1, 3) + [SAY["duplicate"] % 2]),
+    (("A ", f"  {LONG.upper()} "), [SAY["duplicate"] % 1, SAY["caps"]]),
+    (("B", LONG), []),
+    (("B", f"{LONG} see https://x.example"), [SAY["links"]]),
+    (("B", f"{LONG} WWW.X.EXAMPLE"), [SAY["links"]]),
+    (("B", f"{LONG} with discount"), [SAY["promo"]]),
+    (("B", f"{LONG}!!!!!"), []),
+    (("B", f"{LONG}!!!!!!"), [SAY["exclamations"]]),
+    (("B", "A" * 24), few(1, 24) + [SAY["caps"]]),
+    (("B", "A" * 20), few(1, 20)),
+    ((None, "two\u3000words"), few(2, 9)),
+    (("nan", "two\u3000words"), few(2, 9) + [SAY["duplicate"] % 15]),
+]
 
 
-def test_flags_match_python(mixed):
-    rows, df = mixed
-    got = by_id(spam_flags.mark_spam(df), "spam_regex", "spam_length", "spam_duplicate")
-    assert got == row_oracle.flags(rows)
+def frame(spark, rows):
+    return spark.createDataFrame([(i, b, t) for i, (b, t) in enumerate(rows)],
+                                 "review_id bigint, business_name string, text string")
 
 
-@pytest.mark.parametrize("hot_copies", [2, 50])
-def test_hot_groups_take_the_broadcast_and_agree(mixed, hot_copies, monkeypatch):
-    rows, df = mixed
-    monkeypatch.setattr(duplicates, "HOT_GROUPS", 2)
-    hot = spam_reasons.ReasonRules(hot_copies=hot_copies)
-    assert by_id(spam_reasons.flag_reviews(df, hot), "spam_reasons") == by_id(
-        spam_reasons.flag_reviews(df), "spam_reasons")
-    flags = spam_flags.FlagRules(hot_copies=hot_copies)
-    assert by_id(spam_flags.mark_spam(df, flags), "spam_duplicate") == by_id(
-        spam_flags.mark_spam(df), "spam_duplicate")
+def test_reasons_worked_by_hand(spark):
+    got = by_id(spam_reasons.flag_reviews(frame(spark, [c for c, _ in CASES])), "spam_reasons")
+    assert [g[0] for g in got] == ["; ".join(want) for _, want in CASES]
+
+
+def test_flags_worked_by_hand(spark):
+    rows = [("A", "Plain words without any harm"), ("A", "short"), ("A", "one two three four"),
+            ("A", None), ("A", None), (None, "Plain words without any harm"),
+            (None, "Plain words without any harm"), ("A", "Look at http://x.example for all of it"),
+            ("a:b", "c"), ("a", "b:c")]
+    got = by_id(spam_flags.mark_spam(frame(spark, rows)), "spam_regex", "spam_length", "spam_duplicate")
+    assert got == [
+        (False, False, False), (False, True, False), (False, True, False), (True, True, True),
+        (True, True, True), (False, False, True), (False, False, True), (True, False, False),
+        (False, True, False), (False, True, False)]
 
 
 def test_hot_rows_are_spread(spark):
@@ -108,13 +133,16 @@ def test_hot_rows_are_spread(spark):
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        def largest(hot_copies):
-            rules = spam_flags.FlagRules(hot_copies=hot_copies)
-            per_task = spam_flags.mark_spam(df, rules).groupBy(F.spark_partition_id()).agg(
-                F.count("*").alias("n"), F.count_if("spam_duplicate").alias("copies")).collect()
+        key = spam_flags.duplicate_key()
+        groups = duplicates.duplicate_groups(df, key)
+
+        def largest(salts):
+            per_task = duplicates.attach_groups(df.withColumn("_key", key), groups, "_key", salts=salts) \
+                .groupBy(F.spark_partition_id()).agg(
+                    F.count("*").alias("n"), F.count("_copies").alias("copies")).collect()
             assert sum(r.copies for r in per_task) == 2000
             return max(r.n for r in per_task)
-        assert largest(hot_copies=1000) < 1200 < 2000 < largest(hot_copies=10_000)
+        assert largest(duplicates.SALTS) < 1700 < 2000 < largest(1)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
@@ -199,10 +227,10 @@ def test_moderation_job(spark, golden, tmp_path):
     files.write_csv(raw.select("text", "rating", *raw.columns[:2], "rating_category"), source)
     row = moderation.moderate_csv(spark, source, output, RULES, "spam").first()
     assert (row.total_reviews, row.spam_count) == (4, 3)
-    back = files.read_csv(spark, output, "review_id bigint, is_spam boolean, spam_reasons string")
+    back = files.read_csv(spark, output, "review_id bigint, is_spam boolean, spam_reasons string", multi_line=True)
     assert {r.review_id: r.spam_reasons for r in back.collect()}[1] == "Duplicate of review #1"
     moderation.flag_csv(spark, source, output)
-    flags = files.read_csv(spark, output, "review_id bigint, is_spam boolean, spam_duplicate boolean")
+    flags = files.read_csv(spark, output, "review_id bigint, is_spam boolean, spam_duplicate boolean", multi_line=True)
     assert by_id(flags, "is_spam", "spam_duplicate") == [
         (True, True), (True, True), (True, False), (True, False)]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,16 +11,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from reviewmill.sources import files
 from reviewmill.sources.ship import ship
 
-#: Rows of a table sit in one file of a test or in many of a cluster; both are read by Spark.
-Rows = Callable[[list], list]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return files.read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """The table, written to the shared folder and read back."""
+    """The table, written to the shared folder and read back.
+
+    A session on a local master that names no folder gets one of its own.
+    """
+    context = df.sparkSession.sparkContext
+    named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and context.master.split("[")[0] == "local":
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="reviewmill-"))
     return files.stage(df, name)
 
 

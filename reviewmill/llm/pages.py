@@ -20,6 +20,8 @@ from reviewmill.llm.urls import host
 
 #: A subtree is a template if it stands on so many pages of its host, and on such a share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: A page that would lose more of its text is a copy of others, not framed by a template.
+MOST_DELETED = 0.8
 
 _TOKEN = re.compile(
     r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)"
@@ -275,12 +277,15 @@ def templates(blocks: DataFrame, least_pages: int, least_share: float) -> DataFr
 
 def _kept_text(texts: list[str], around: list[int], hashes: list[int], parents: list[int],
                deleted: set[int]) -> str:
+    kept = texts
     if deleted:
         gone: dict[int, bool] = {-1: False}
         for i, h in enumerate(hashes):  # an element comes after the one it is in
             gone[i] = h in deleted or gone[parents[i]]
-        texts = [t for t, i in zip(texts, around) if not gone[i]]
-    return "\n".join(texts)
+        kept = [t for t, i in zip(texts, around) if not gone[i]]
+        if sum(map(len, kept)) < (1 - MOST_DELETED) * sum(map(len, texts)):
+            kept = texts
+    return "\n".join(kept)
 
 
 def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE,
@@ -290,7 +295,8 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     The text is the article if one is marked, else the page without the parts that
     name themselves something else; in both, subtrees that stand on at least
     `least_pages` pages and `least_share` of the pages of their host are deleted. In an
-    article only containers can be templates; prose stays.  Blocks are joined
+    article only containers can be templates; prose stays.  A page that would lose
+    more than four fifths of its text keeps all of it.  Blocks are joined
     by a line feed, white space in a block is one space, character references are
     decoded.  Missing or empty pages have an empty text; a page without a host
     has no templates.  Repeated rows give repeated results and count as pages.

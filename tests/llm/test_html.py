@@ -51,6 +51,12 @@ def test_prose_of_articles_stays_where_it_recurs(spark):
     assert [r.text for r in got] == ["same words"] * 9
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(i, "http://a.example/x", "<div><p>one story</p><p>told again</p></div>", "x") for i in range(9)]
+    got = pages.main_text(frame(spark, rows)).collect()
+    assert [r.text for r in got] == ["one story\ntold again"] * 9
+
+
 def test_deep_and_empty(spark):
     rows = [(1, "u://h", "<div>" * 5000 + "deep", "x"), (1, "u://h", "<div>" * 5000 + "deep", "x")]
     assert [r.text for r in pages.main_text(frame(spark, rows)).collect()] == ["deep", "deep"]

@@ -182,11 +182,11 @@ def _pages_sql(end):
 _CURSOR = """to_base64(encode(concat('{"version": 1, "type": "offset", "offset": ', "offset", '}')))"""
 _PAYLOAD = f"""concat('[{{"operationName":"{fixed.REQUEST_OPERATION}","variables":{{"encBizId":"biz-',
     page_id, '","reviewsPerPage":10,"selectedReviewEncId":"","hasSelectedReview":false,',
-    '"sortBy":"DATE_DESC","languageCode":"en","ratings":[5,4,3,2,1],"isSearching":false,"after":"',
-    {_CURSOR}, '","isTranslating":false,"translateLanguageCode":"en",',
-    '"reactionsSourceFlow":"businessPageReviewSection","minConfidenceLevel":"HIGH_CONFIDENCE",',
+    '"sortBy":"{fixed.REQUEST_SORT}","languageCode":"{fixed.REQUEST_LANGUAGE}","ratings":[5,4,3,2,1],"isSearching":false,"after":"',
+    {_CURSOR}, '","isTranslating":false,"translateLanguageCode":"{fixed.REQUEST_LANGUAGE}",',
+    '"reactionsSourceFlow":"{fixed.REQUEST_SOURCE_FLOW}","minConfidenceLevel":"{fixed.REQUEST_CONFIDENCE}",',
     '"highlightType":"","highlightIdentifier":"","isHighlighting":false}},',
-    '"extensions":{{"operationType":"query","documentId":"{fixed.REQUEST_DOCUMENT}"}}}}]')"""
+    '"extensions":{{"operationType":"{fixed.REQUEST_TYPE}","documentId":"{fixed.REQUEST_DOCUMENT}"}}}}]')"""
 
 CHECKS = {
     "page_fields": (page_fields, f"""SELECT page_id, {_H1} AS name,

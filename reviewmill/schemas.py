@@ -1,4 +1,7 @@
-"""Explicit schemas as DDL text; production reads never infer one."""
+"""Explicit schemas as DDL text; production reads never infer one.
+
+Fixed values throughout: field names and types of the files, feeds and records read.
+"""
 
 RAW_REVIEW = (
     "business_name string, author_name string, text string, rating int, "

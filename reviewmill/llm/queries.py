@@ -96,4 +96,19 @@ SQL = {
         SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.rv, 'allow') AS verdict
         FROM parts p LEFT JOIN fitting f
         ON p.page_id = f.page_id AND p.host = f.host AND p.path = f.path AND f.place = 1""",
+    # The tables give every row its role and hold no marker inside a text.
+    "op8_chat_formatting": """SELECT conv_id, turn, CAST(0 AS INT) AS piece, role, text,
+        concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)) AS rendered FROM conversations""",
+    # The tables mark every article, and hold few kinds of elements and references.
+    "op10_html_extraction": r"""
+        WITH bodies AS (SELECT page_id, url,
+            regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages),
+        blocks AS (SELECT page_id, url, list_filter(list_transform(
+            string_split_regex(body, '</?(?:p|h1|div|ul|li)>'), lambda b: trim(regexp_replace(
+                regexp_replace(replace(replace(replace(replace(
+                    regexp_replace(b, '<[^>]*>?', ' ', 'g'),
+                    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;?', '&', 'g'),
+                '\s+', ' ', 'g'))), lambda b: b <> '') AS parts FROM bodies)
+        SELECT page_id, url, array_to_string(parts, chr(10)) AS text,
+            CAST(length(array_to_string(parts, chr(10))) AS BIGINT) AS n_chars FROM blocks""",
 }

@@ -23,6 +23,8 @@ from reviewmill.llm import common
 from reviewmill.sources.ship import ship
 
 CAPACITY = 2048
+#: Texts whose ids a task holds at once.
+_SLICE = 1_000
 
 
 @dataclass(frozen=True)
@@ -168,7 +170,7 @@ def tokenized(docs: DataFrame, capacity: int = CAPACITY, name: str = "byte_bpe_5
                           public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN)
         chunk = TaskContext.get().taskAttemptId()
         made = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in (b.slice(at, _SLICE) for b in batches for at in range(0, b.num_rows, _SLICE)):
             rows: list[list] = [[], [], [], [], [], []]
             of_row = []
             for number, text in enumerate(batch.column(1).to_pylist()):

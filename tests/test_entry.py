@@ -12,7 +12,8 @@ def db():
 
 
 def test_entry(spark):
-    assert entry_module.entry(spark).count() == 200
+    extra = sum(i % 13 in (0, 6, 7, 8, 9) for i in range(200))
+    assert entry_module.entry(spark).count() == 200 + extra
 
 
 def test_registry_is_consistent():

@@ -50,15 +50,16 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """(id, fingerprint) of every row; the fingerprint is a signed 64-bit number."""
-    schema = common.struct((id_col, common.id_type(docs, id_col)), ("fingerprint", "bigint"))
+                 text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *keep, fingerprint) of every row; the fingerprint is a signed 64-bit number."""
+    names = (id_col, *keep)
+    schema = common.struct(*((n, common.id_type(docs, n)) for n in names), ("fingerprint", "bigint"))
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = [fingerprint(t, shingle) for t in common.binary(batch.column(1))]
-        return {id_col: batch.column(0), "fingerprint": found}
+        found = [fingerprint(t, shingle) for t in common.binary(batch.column(len(names)))]
+        return {**dict(zip(names, batch.columns)), "fingerprint": found}
 
-    return common.map_rows(docs.select(id_col, text_col), schema, run)
+    return common.map_rows(docs.select(*names, text_col), schema, run)
 
 
 def embed(fp: Column) -> Column:
@@ -149,19 +150,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, groups
 
 def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: int = GROUPS,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that lead their group: the one with the smallest id stays.
+    """One row of `docs` for each group: the first with the smallest id; without any id, the first.
 
-    All columns are kept.  Of rows that repeat an id one stays; of rows without an id too.
+    All columns are kept.  Ids need not differ or be there: rows are told apart by a number.
     The leaders grow with the documents, so they are never broadcast: rows meet them
     in one shuffle, whatever the size.
     """
-    groups_of = near_duplicates(docs, shingle, distance, groups, id_col, text_col)
-    same = F.col(id_col).eqNullSafe(F.col("component_id"))
-    leaders = common.staged(
-        groups_of.where(same).groupBy(F.col(id_col).alias("_leader"))
-        .agg(F.count("*").alias("_leader_rows")), "leaders")
-    led = docs.join(leaders.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_leader")))
-    if leaders.where("_leader_rows > 1").isEmpty():
-        return led.select(*docs.columns)
-    again = led.where("_leader_rows > 1").dropDuplicates([id_col])
-    return led.where("_leader_rows = 1").unionByName(again).select(*docs.columns)
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    # Written with their numbers, so that they are the same whenever rows are read.
+    rows = common.staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+    own = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(row).alias("row"))
+    classes = common.staged(
+        fingerprints(rows, shingle, id_col, text_col, (row,)).groupBy("fingerprint")
+        .agg(F.min(own).alias("_first")), "fingerprint-firsts")
+    roots = components(links(classes.select("fingerprint"), distance, groups))
+    leaders = classes.join(roots, F.col("fingerprint") == F.col("node"), "left").groupBy(
+        F.coalesce("root", "fingerprint").alias("_group")).agg(F.min("_first").alias("_least"))
+    leaders = common.staged(leaders.select(F.col("_least.row").alias("_leader")), "leaders")
+    led = rows.join(leaders.hint("shuffle_hash"), F.col(row) == F.col("_leader"))
+    return led.select(*docs.columns)

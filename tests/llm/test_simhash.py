@@ -57,6 +57,17 @@ def test_odd_texts_repeats_and_clashing_columns(spark):
         {r.component_id for r in got})
 
 
+def test_one_of_each_group_whatever_the_ids(spark):
+    """Rows without an id or with the same one in several groups are told apart."""
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(30)) for w in "abcd")
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (1, d), (None, d), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.one_of_each(docs)
+    assert sorted(map(str, got.collect())) == sorted(
+        str(x) for x in spark.createDataFrame(
+            [(None, a), (None, b), (5, c), (1, d), (6, "")], docs.schema).collect())
+
+
 @pytest.mark.parametrize("groups", [8, 16])
 def test_links_lose_no_pair(spark, groups):
     rng = random.Random(5)

@@ -45,7 +45,14 @@ _MARKERS = frozenset(
     "footer header masthead share sharing social related recommended recommendations comment comments "
     "disqus replies newsletter subscribe subscription login search complementary contentinfo dialog pagination "
     "pager widget toolbar".split())
+#: Words by which a class says that something else is marked.
+_DENIALS = frozenset("has no not with without".split())
 _MAIN = frozenset(("article", "main"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Why an element is left out; articles open again in the first two, headings of an article in the first.
+_HEADER, _MARKED, _GONE = 1, 2, 3
+#: A block is in main, in an article, in one inside a marked element of main, or of the page.
+_BODY, _ARTICLE, _AGAIN, _ALONE = 1, 2, 3, 4
 #: Elements that are closed by the start of one of these.
 _P_ENDS = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr "
@@ -63,41 +70,55 @@ _BARRIERS = {
 _CONTAINERS = frozenset("div section ul ol dl table figure fieldset details center".split())
 
 
-def _says_no(tag: str, rest: str) -> bool:
+def _marks(token: str) -> str:
+    """The marker word that a class, id or role begins or ends with, unless it says has-, no- or with-."""
+    parts = _WORD.findall(token)
+    if parts and parts[0] in _MARKERS:
+        return parts[0]
+    if parts and parts[-1] in _MARKERS and _DENIALS.isdisjoint(parts):
+        return parts[-1]
+    return ""
+
+
+def _says_no(tag: str, rest: str) -> int:
+    """Whether an element says that it is not the article: as a header, by a word, or for good."""
     if tag in _LEFT_OUT:
-        return True
+        return _HEADER if tag == "header" else _GONE
     if tag in _MAIN and "comment" not in rest and "hidden" not in rest or tag in ("html", "body"):
-        return False
+        return 0
     if "=" not in rest and "hidden" not in rest:
-        return False
+        return 0
+    found = 0
     for name, a, b, c, hidden in _ATTRIBUTE.findall(rest):
         name = name.lower()
         if hidden or name == "hidden" or name == "aria-hidden" and (a or b or c).lower() == "true":
-            return True
-        if name in ("class", "id", "role") and not _MARKERS.isdisjoint(
-                _WORD.findall((a or b or c).lower())):
-            return True
-    return False
+            return _GONE
+        if name in ("class", "id", "role"):
+            for token in (a or b or c).lower().split():
+                if word := _marks(token):
+                    found = max(found, _HEADER if word in ("header", "masthead") else _MARKED)
+    return found
 
 
 class _Element:
-    __slots__ = ("tag", "inline", "out", "main", "number", "hash")
+    __slots__ = ("tag", "inline", "out", "main", "number", "kind", "hash")
 
-    def __init__(self, tag, inline, out, main, number):
+    def __init__(self, tag, inline, out, main, number, kind):
         self.tag, self.inline, self.out, self.main, self.number = tag, inline, out, main, number
+        self.kind = kind
         self.hash = None if out else xxhash.xxh64(tag.encode())
 
 
 class Page:
-    """Blocks of a page: their text, whether they are in the article, and the element around."""
+    """Blocks of a page: their text, the kind of article they are in, and the element around."""
 
     def __init__(self, source: str):
         self.texts: list[str] = []
-        self.in_main: list[bool] = []
+        self.kinds: list[int] = []
         self.around: list[int] = []
         self.hashes: list[int] = []  # of elements that may be templates; 0: never one
         self.parents: list[int] = []
-        self._open = [_Element("", False, False, False, -1)]
+        self._open = [_Element("", False, 0, False, -1, 0)]
         self._pieces: list[str] = []
         self._counts: dict[str, int] = {}
         self._read(source)
@@ -146,15 +167,15 @@ class Page:
         if inner.hash:
             inner.hash.update(b"\x00" + text.encode("utf-8", "surrogatepass") + b"\x01")
         self.texts.append(text)
-        self.in_main.append(inner.main)
+        self.kinds.append(inner.kind)
         self.around.append(inner.number)
 
     def _start(self, tag: str, rest: str) -> None:
         if tag in _INLINE:
             if tag in _VOID:
                 self._text(" " if tag == "br" else "")
-            elif _says_no(tag, rest) or self._open[-1].out:
-                self._push(tag, True, True)
+            elif out := max(_says_no(tag, rest), self._open[-1].out):
+                self._push(tag, True, out)
             return
         if tag in _P_ENDS and self._counts.get("p"):
             self._close_within(("p",), ("article", "section", "div", "table", "body", "td", "li"))
@@ -162,9 +183,12 @@ class Page:
             self._close_within(_SIBLINGS[tag], _BARRIERS[tag])
         self._flush()
         if tag not in _VOID:
-            self._push(tag, False, self._open[-1].out or _says_no(tag, rest))
+            own, above = _says_no(tag, rest), self._open[-1]
+            opens = not own and (tag in _MAIN and above.out in (_HEADER, _MARKED)
+                                 or tag in _HEADINGS and above.out == _HEADER and above.main)
+            self._push(tag, False, 0 if opens else max(own, above.out))
 
-    def _push(self, tag: str, inline: bool, out: bool) -> None:
+    def _push(self, tag: str, inline: bool, out: int) -> None:
         above = self._open[-1]
         if out or inline:
             number = above.number
@@ -172,7 +196,10 @@ class Page:
             number = len(self.hashes)
             self.hashes.append(0)
             self.parents.append(above.number)
-        self._open.append(_Element(tag, inline, out, above.main or not out and tag in _MAIN, number))
+        kind = above.kind
+        if not out and tag in _MAIN and kind not in (_AGAIN, _ALONE):
+            kind = (_AGAIN if above.main else _ALONE) if above.out else _ARTICLE if tag == "article" else kind or _BODY
+        self._open.append(_Element(tag, inline, out, above.main or not out and tag in _MAIN, number, kind))
         self._counts[tag] = self._counts.get(tag, 0) + 1
 
     def _pop(self) -> None:
@@ -181,7 +208,7 @@ class Page:
         if element.inline or element.out:
             return
         digest = element.hash.digest()
-        inner = next((e for e in reversed(self._open) if not e.inline), self._open[0])
+        inner = next((e for e in reversed(self._open) if not e.inline and not e.out), self._open[0])
         if inner.hash:
             inner.hash.update(digest)
         loose = not element.main and element.tag not in ("html", "body", "")
@@ -228,9 +255,14 @@ class Page:
             self._counts[element.tag] = self._counts.get(element.tag, 0) + 1
 
     def main_blocks(self) -> list[int]:
-        """Numbers of the blocks of the article, or of all blocks if none is marked as one."""
-        if any(self.in_main):
-            return [i for i, inside in enumerate(self.in_main) if inside]
+        """Numbers of the blocks of the article, or of all blocks if none is marked as one.
+
+        Articles inside marked elements are teasers where there are others.
+        """
+        for first, chosen in ((_ARTICLE, (_BODY, _ARTICLE)), (_AGAIN, (_BODY, _AGAIN)), (_BODY, (_BODY,)),
+                              (_ALONE, (_ALONE,))):
+            if first in self.kinds:
+                return [i for i, kind in enumerate(self.kinds) if kind in chosen]
         return list(range(len(self.texts)))
 
 

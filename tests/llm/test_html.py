@@ -26,6 +26,32 @@ def test_blocks(source, want):
     assert [page.texts[i] for i in page.main_blocks()] == want
 
 
+WRAPPED = [
+    *((f"<nav>menu</nav><div class='{c}'><article><p>story</p></article>by</div>", ["story"])
+      for c in ("layout has-sidebar", "no-sidebar", "search-page", "with-navbar", "search", "page sidebar")),
+    ("<div class='layout has-sidebar'><p>a</p><div class='left-sidebar'>no</div></div>", ["a"]),
+    ("<article><div class='article-header'><h1>T</h1><p>by x</p></div><p>a</p></article>", ["T", "a"]),
+    ("<article><header><h1>T</h1><nav><h2>no</h2></nav></header><p>a</p></article>", ["T", "a"]),
+    ("<header><h1>site</h1></header><article>a</article>", ["a"]),
+    ("<article>a</article><div class='related'><article>teaser</article></div>", ["a"]),
+    ("<main><h1>T</h1><div class='search-page'><article>a</article>by</div></main>", ["T", "a"]),
+    ("<main><article>a</article><div class='related'><article>teaser</article></div>b</main>", ["a", "b"]),
+    ("<div hidden><article>no</article></div><p>a</p>", ["a"]),
+]
+
+
+@pytest.mark.parametrize("source,want", WRAPPED)
+def test_articles_in_marked_wrappers(source, want):
+    test_blocks(source, want)
+
+
+def test_articles_in_wrappers_are_no_template(spark):
+    rows = [(i, f"http://a.example/{i}", f"<section>Menu<div class='sidebar'><article><p>story {i}</p>"
+             "</article></div></section>", "x") for i in range(8)]
+    got = pages.main_text(frame(spark, rows)).collect()
+    assert sorted(r.text for r in got) == [f"story {i}" for i in range(8)]
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, text string")
 

@@ -20,8 +20,8 @@ from reviewmill.llm.urls import host
 
 #: A subtree is a template if it stands on so many pages of its host, and on such a share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
-#: A page that would lose more of its text is a copy of others, not framed by a template.
-MOST_DELETED = 0.8
+#: A page that would lose more of its text may be a copy: all pages with the same rest count as one.
+MOST_DELETED = 0.5
 
 _TOKEN = re.compile(
     r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)"
@@ -307,17 +307,39 @@ def templates(blocks: DataFrame, least_pages: int, least_share: float) -> DataFr
         "host", "hash", "pages")
 
 
-def _kept_text(texts: list[str], around: list[int], hashes: list[int], parents: list[int],
-               deleted: set[int]) -> str:
-    kept = texts
-    if deleted:
-        gone: dict[int, bool] = {-1: False}
-        for i, h in enumerate(hashes):  # an element comes after the one it is in
-            gone[i] = h in deleted or gone[parents[i]]
-        kept = [t for t, i in zip(texts, around) if not gone[i]]
-        if sum(map(len, kept)) < (1 - MOST_DELETED) * sum(map(len, texts)):
-            kept = texts
-    return "\n".join(kept)
+def _kept(texts: list[str], around: list[int], hashes: list[int], parents: list[int],
+          deleted: set[int]) -> list[str]:
+    if not deleted:
+        return texts
+    gone: dict[int, bool] = {-1: False}
+    for i, h in enumerate(hashes):  # an element comes after the one it is in
+        gone[i] = h in deleted or gone[parents[i]]
+    return [t for t, i in zip(texts, around) if not gone[i]]
+
+
+def _rest(row: int, texts: list[str], kept: list[str]) -> str | None:
+    """What a page counts as for its templates; None if nothing is left of it."""
+    if not kept:
+        return None
+    if sum(map(len, kept)) >= (1 - MOST_DELETED) * sum(map(len, texts)):
+        return str(row)
+    return "rest " + xxhash.xxh3_128_hexdigest("\n".join(kept).encode("utf-8", "surrogatepass"))
+
+
+def framing(blocks: DataFrame, candidates: DataFrame, least_pages: int) -> DataFrame:
+    """(host, hash) of the `candidates`, by row, that frame enough pages whose rest differs."""
+    schema = common.struct(("host", "string"), ("candidates", "array<bigint>"), ("rest", "string"))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        columns = [c.to_pylist() for c in batch.columns[1:]]
+        rests = [_rest(row, t, _kept(t, a, h, p, set(d))) for row, t, a, h, p, d in zip(*columns)]
+        return {"host": batch.column(0), "candidates": batch.column(6), "rest": rests}
+
+    joined = blocks.join(candidates, "row").select(
+        "host", "row", "texts", "around", "hashes", "parents", "candidates")
+    seen = common.map_rows(joined, schema, run).where("rest IS NOT NULL")
+    return seen.select("host", F.explode("candidates").alias("hash"), "rest").groupBy("host", "hash").agg(
+        F.countDistinct("rest").alias("rests")).where(F.col("rests") >= least_pages).select("host", "hash")
 
 
 def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE,
@@ -327,8 +349,10 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     The text is the article if one is marked, else the page without the parts that
     name themselves something else; in both, subtrees that stand on at least
     `least_pages` pages and `least_share` of the pages of their host are deleted. In an
-    article only containers can be templates; prose stays.  A page that would lose
-    more than four fifths of its text keeps all of it.  Blocks are joined
+    article only containers can be templates; prose stays.  Copies of an article are told
+    from templates by what is left of the pages without any recurring subtree: a template
+    needs `least_pages` different rests.  A page that keeps half of its text counts as
+    different from all others, one that keeps nothing does not count.  Blocks are joined
     by a line feed, white space in a block is one space, character references are
     decoded.  Missing or empty pages have an empty text; a page without a host
     has no templates.  Repeated rows give repeated results and count as pages.
@@ -340,7 +364,10 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
         "page-blocks")
     recurring = templates(blocks, least_pages, least_share)
     on_page = blocks.select("row", "host", F.explode(F.array_distinct("hashes")).alias("hash"))
-    deleted = on_page.where("hash <> 0 AND host <> ''").join(recurring, ["host", "hash"], "left_semi")
+    found = common.staged(
+        on_page.where("hash <> 0 AND host <> ''").join(recurring, ["host", "hash"], "left_semi"), "page-recurring")
+    candidates = found.groupBy("row").agg(F.collect_list("hash").alias("candidates"))
+    deleted = found.join(framing(blocks, candidates, least_pages), ["host", "hash"], "left_semi")
     deleted = common.staged(
         deleted.groupBy("row").agg(F.collect_list("hash").alias("deleted")), "page-templates")
     schema = common.struct((id_col, common.id_type(pages, id_col)), (url_col, "string"),
@@ -348,7 +375,7 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
 
     def run(batch: pa.RecordBatch) -> dict:
         columns = [c.to_pylist() for c in batch.columns[2:]]
-        out = [_kept_text(t, a, h, p, set(d or ())) for t, a, h, p, d in zip(*columns)]
+        out = ["\n".join(_kept(t, a, h, p, set(d or ()))) for t, a, h, p, d in zip(*columns)]
         return {id_col: batch.column(0), url_col: batch.column(1), "text": out,
                 "n_chars": [len(t) for t in out]}
 

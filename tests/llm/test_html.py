@@ -83,6 +83,21 @@ def test_copies_of_a_page_are_no_template(spark):
     assert [r.text for r in got] == ["one story\ntold again"] * 9
 
 
+def test_large_templates_go_and_large_parts_of_copies_stay(spark):
+    menu = "<div>" + "<p>a long menu of the whole site</p>" * 9 + "</div>"
+    rows = [(i, f"http://a.example/{i}", f"{menu}<p>short story {i}</p>", "x") for i in range(8)]
+    copy = "<article><p>intro</p><div>most of the story is in here</div></article>"
+    rows += [(100 + i, f"http://b.example/{i}", f"<article><p>tale {i}</p></article>", "x") for i in range(15)]
+    rows += [(200 + i, f"http://b.example/c{i}", copy, "x") for i in range(5)]
+    # Copies under a menu: without both nothing is left of them, so they say nothing.
+    rows += [(300 + i, f"http://a.example/c{i}", f"{menu}<div>told again and again</div>", "x") for i in range(5)]
+    got = {r.page_id: r.text for r in pages.main_text(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(8)] == [f"short story {i}" for i in range(8)]
+    assert {got[200 + i] for i in range(5)} == {"intro\nmost of the story is in here"}
+    assert {got[300 + i] for i in range(5)} == {"told again and again"}
+    assert got[114] == "tale 14"
+
+
 def test_deep_and_empty(spark):
     rows = [(1, "u://h", "<div>" * 5000 + "deep", "x"), (1, "u://h", "<div>" * 5000 + "deep", "x")]
     assert [r.text for r in pages.main_text(frame(spark, rows)).collect()] == ["deep", "deep"]

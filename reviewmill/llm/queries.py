@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewmill.llm import chat, decontaminate, lm, packing, pages, quality, resample, secrets, simhash, urls
+from reviewmill.llm import (
+    chat, cluster, decontaminate, langid, lm, packing, pages, quality, resample, secrets, simhash, target, urls)
 from reviewmill.llm.common import table
 
 #: Fixed values of the URL query: (host, path, verdict).
@@ -71,13 +72,83 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.held_out(F.col("doc_id"), folds=5)
+    model = langid.train(docs.where(~held_out))
+    return langid.predict(docs, model).withColumn("held_out", held_out)
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.cluster(table(spark, sf_dir, "embeddings")).drop("point")
+
+
 QUERIES = {q.__name__: q for q in (
     op1_quality_rules, op2_url_filters, op3_benchmark_decontamination,
     op4_lm_scoring, op5_secret_scans, op6_simhash_near_dedup,
     op7_importance_resampling, op8_chat_formatting, op9_best_fit_packing, op10_html_extraction,
+    op11_language_id, op12_target_resampling, op13_centroid_clustering,
 )}
 
+def _clustering_sql(clusters: int = 40, rounds: int = 5, size: int = 64, scale: int = 256, seed: int = 2) -> str:
+    """Each round of the clustering as a table of its own, over all pairs of vector and centroid."""
+    parts = [f"""whole AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS place, list_transform(embedding,
+            x -> CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS p FROM embeddings
+            WHERE len(embedding) = {size} AND len(list_filter(embedding, x -> isfinite(x))) = {size}),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256(concat('{seed}:', vec_id)), p) - 1 AS k, p AS c
+            FROM whole ORDER BY k LIMIT {clusters})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""d{r} AS (SELECT vec_id, place, p, k, list_sum(list_transform(list_zip(p, c),
+                z -> (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM whole, c{r}),
+            a{r} AS MATERIALIZED (SELECT * FROM d{r} QUALIFY row_number() OVER (PARTITION BY place ORDER BY d, k) = 1)""")
+        if r < rounds:
+            parts.append(f"""x{r} AS (SELECT k, unnest(p) AS x, unnest(range({size})) AS i FROM a{r}),
+                y{r} AS (SELECT k, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM x{r} GROUP BY k, i),
+                n{r} AS (SELECT k, list(x ORDER BY i) AS c FROM y{r} GROUP BY k),
+                c{r + 1} AS MATERIALIZED (SELECT k, coalesce(n{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN n{r} USING (k))""")
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, k AS cluster, CAST(d AS BIGINT) AS distance,
+            CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (k)"""
+
+
+#: CRC-32 byte by byte over the distinct words, from a table made by its rule.
+_TARGET_SQL = r"""
+    WITH RECURSIVE steps AS (SELECT i AS byte, i AS crc, 0 AS bit FROM range(256) t(i) UNION ALL
+        SELECT byte, CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END, bit + 1
+        FROM steps WHERE bit < 8),
+    crcs AS (SELECT list(crc ORDER BY byte) AS tab FROM steps WHERE bit = 8),
+    found AS (SELECT 0 AS side, row_number() OVER () AS place, doc_id, text FROM documents
+        UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+    texts AS MATERIALIZED (SELECT side, place, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM found),
+    said AS MATERIALIZED (SELECT side, place, unnest(words) AS word FROM texts),
+    hexes AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM said),
+    hashed AS MATERIALIZED (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(
+            range(1, length(h), 2), i -> CAST('0x' || substr(h, i, 2) AS BIGINT))),
+            lambda c, b: xor(c >> 8, tab[CAST(xor(c & 255, b) AS INT) + 1])), 4294967295) % 10000 AS bucket FROM hexes, crcs),
+    counts AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t
+        FROM said JOIN hashed USING (word) GROUP BY bucket),
+    gains AS (SELECT bucket, floor(1000 * ln(CAST((t + 1) * ((SELECT sum(s) FROM counts) + 10000) AS DOUBLE)
+        / CAST((s + 1) * ((SELECT sum(t) FROM counts) + 10000) AS DOUBLE))) AS gain FROM counts),
+    weights AS (SELECT place, floor(sum(gain) / count(*)) AS weight
+        FROM said JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 0 GROUP BY place),
+    scored AS (SELECT doc_id, place, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+        CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || left(sha256(concat('2024:', doc_id)), 8) AS BIGINT)
+            + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+        FROM texts LEFT JOIN weights USING (place) WHERE side = 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id, place) AS place_in,
+        count(*) FILTER (n_words >= 20) OVER () AS fitting FROM scored)
+    SELECT doc_id, n_words, n_words AS n_features, weight, score,
+        CASE WHEN n_words >= 20 AND place_in <= fitting * 10 // 100 THEN place_in END AS rank FROM ranked"""
+
 SQL = {
+    "op12_target_resampling": _TARGET_SQL,
+    "op13_centroid_clustering": _clustering_sql(),
     "op2_url_filters": r"""
         WITH parts AS (
             SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),

@@ -97,13 +97,13 @@ QUERIES = {q.__name__: q for q in (
 def _clustering_sql(clusters: int = 40, rounds: int = 5, size: int = 64, scale: int = 256, seed: int = 2) -> str:
     """Each round of the clustering as a table of its own, over all pairs of vector and centroid."""
     parts = [f"""whole AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS place, list_transform(embedding,
-            x -> CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS p FROM embeddings
-            WHERE len(embedding) = {size} AND len(list_filter(embedding, x -> isfinite(x))) = {size}),
+            lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS p FROM embeddings
+            WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: isfinite(x))) = {size}),
         c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256(concat('{seed}:', vec_id)), p) - 1 AS k, p AS c
             FROM whole ORDER BY k LIMIT {clusters})"""]
     for r in range(rounds + 1):
         parts.append(f"""d{r} AS (SELECT vec_id, place, p, k, list_sum(list_transform(list_zip(p, c),
-                z -> (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM whole, c{r}),
+                lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM whole, c{r}),
             a{r} AS MATERIALIZED (SELECT * FROM d{r} QUALIFY row_number() OVER (PARTITION BY place ORDER BY d, k) = 1)""")
         if r < rounds:
             parts.append(f"""x{r} AS (SELECT k, unnest(p) AS x, unnest(range({size})) AS i FROM a{r}),
@@ -129,7 +129,7 @@ _TARGET_SQL = r"""
     said AS MATERIALIZED (SELECT side, place, unnest(words) AS word FROM texts),
     hexes AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM said),
     hashed AS MATERIALIZED (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(
-            range(1, length(h), 2), i -> CAST('0x' || substr(h, i, 2) AS BIGINT))),
+            range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
             lambda c, b: xor(c >> 8, tab[CAST(xor(c & 255, b) AS INT) + 1])), 4294967295) % 10000 AS bucket FROM hexes, crcs),
     counts AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t
         FROM said JOIN hashed USING (word) GROUP BY bucket),

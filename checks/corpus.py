@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.views import cte, table, view
 from reviewmill import fixed, schemas
 from reviewmill.operators import corpus, quality
+from reviewmill.plans import corpus as corpus_plans
 from reviewmill.sources import files
 
 _CELLS = ("review_id", "business_name", "author_name", "text", "stars")
@@ -38,6 +39,17 @@ def csv_append(spark, sf_dir):
     return files.read_csv(spark, path, _CELL_SCHEMA, multi_line=True)
 
 
+def csv_batches(spark, sf_dir):
+    """Three batches, each written twice, the first time with half of its rows."""
+    path = files.staging_path(spark, "batches-csv")
+    reviews = view(spark, sf_dir, "reviews").select(*_CELLS)
+    for part in range(3):
+        rows = reviews.where(f"review_id % 3 = {part}")
+        files.write_csv_batch(rows.where("stars < 3"), path, f"b{part}")
+        files.write_csv_batch(rows, path, f"b{part}")
+    return files.read_csv(spark, path, f"{_CELL_SCHEMA}, batch string", multi_line=True)
+
+
 def csv_whole_numbers(spark, sf_dir):
     """Numbers with a fraction are no whole numbers, those with a zero one are."""
     path = files.staging_path(spark, "numbers-csv")
@@ -66,8 +78,8 @@ def missing_columns(spark, sf_dir):
     rows = [(name, c) for name, df in (("documents", table(spark, sf_dir, "documents")), ("reviews", reviews))
             for c in quality.missing_columns(df, ["review_id", "text", "stars"])]
     found = spark.createDataFrame(rows, "name string, missing string")
-    counted = table(spark, sf_dir, "documents").agg(F.count("*").alias("n_rows"))
-    return found.join(counted, F.lit(True))
+    n_rows = table(spark, sf_dir, "documents").count()
+    return found.withColumn("n_rows", F.lit(n_rows).cast("bigint"))
 
 
 def scan_jsonl(spark, sf_dir):
@@ -217,6 +229,19 @@ def replace_label_slice(spark, sf_dir):
     return corpus.replace_label_slice(_old(spark, sf_dir), _fresh(spark, sf_dir), 1)
 
 
+def label_slice_in_place(spark, sf_dir):
+    """One label of a corpus kept by label replaced; the files of the other labels stay."""
+    path = files.staging_path(spark, "by-label")
+    corpus.write_by_label(_old(spark, sf_dir), path)
+    corpus_plans.refresh_label_in_place(spark, path, _fresh(spark, sf_dir), 1)
+    found = spark.read.option("mergeSchema", True).parquet(path)
+    return found.select("company_name", "text", F.col("label").cast("int").alias("label"), "extra")
+
+
+_SLICE_SQL = f"""{_OLD_SQL}
+    SELECT company_name, text, label, NULL AS extra FROM old WHERE label IS DISTINCT FROM 1
+    UNION ALL SELECT company_name, text, 1, extra FROM fresh"""
+
 CHECKS = {
     "scan_csv": (scan_csv, f"""{cte('messy')} SELECT review_id,
         CASE WHEN business_name IN ({_NA}) THEN NULL ELSE business_name END AS business_name,
@@ -255,7 +280,8 @@ CHECKS = {
     "distinct_labels": (distinct_labels, f"{_OLD_SQL} SELECT DISTINCT label FROM old"),
     "union_sources": (union_sources,
                       f"{_OLD_SQL} SELECT * FROM old UNION ALL BY NAME SELECT * FROM fresh"),
-    "replace_label_slice": (replace_label_slice, f"""{_OLD_SQL}
-        SELECT company_name, text, label, NULL AS extra FROM old WHERE label IS DISTINCT FROM 1
-        UNION ALL SELECT company_name, text, 1, extra FROM fresh"""),
+    "replace_label_slice": (replace_label_slice, _SLICE_SQL),
+    "label_slice_in_place": (label_slice_in_place, _SLICE_SQL),
+    "csv_batches": (csv_batches, f"""{cte('reviews')} SELECT review_id, business_name, author_name, text, stars,
+        concat('b', review_id % 3) AS batch FROM reviews"""),
 }

@@ -9,7 +9,7 @@ from reviewmill import fixed
 from reviewmill.functions import text
 from reviewmill.operators import spam_flags, spam_reasons
 from reviewmill.sources import files
-from reviewmill.streaming import moderation
+from reviewmill.streaming import earlier, moderation
 
 _CUSTOM = spam_reasons.ReasonRules(
     min_words=5, min_chars=20, link_pattern=r"(https?://|www\.)",
@@ -138,20 +138,50 @@ def stream_spam_b(spark, sf_dir):
     return flagged.select(*_B_COLUMNS)
 
 
+def stream_copies(spark, sf_dir):
+    """One micro-batch after the other, a hundred days apart; copies are remembered for 150 days."""
+    path, output, state = (files.staging_path(spark, n) for n in ("live", "live-moderated", "live-state"))
+    documents = table(spark, sf_dir, "documents")
+    for part in range(STREAM_PARTS):  # one write each, so that the files have an order
+        documents.where(f"doc_id % {STREAM_PARTS} = {part}").coalesce(1).write.parquet(f"{path}/part={part}")
+    stream = (spark.readStream.schema(documents.schema)
+              .option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*"))
+    day = f"CAST(DATE '2024-01-01' + CAST(review_id % {STREAM_PARTS} * 100 AS INT) AS TIMESTAMP)"
+    reviews = derived(stream, VIEWS["said_again"][0][2]).withColumn("written", F.expr(day))
+    copies = earlier.EarlierCopies("written", "150 days", f"{state}/copies")
+    moderation.moderate_stream(reviews, output, f"{state}/stream", copies=copies).awaitTermination()
+    flagged = spark.read.schema(spam_reasons.flag_reviews(
+        view(spark, sf_dir, "said_again")).schema).parquet(f"{output}/batch=*")
+    return flagged.select(*_B_COLUMNS)
+
+
+def spam_statistics_observed(spark, sf_dir):
+    """Counted while all reviews are written."""
+    flagged, seen = spam_reasons.observed_statistics(_flagged(spark, sf_dir))
+    files.write_csv(flagged.select(*_B_COLUMNS), files.staging_path(spark, "counted-csv"))
+    return spam_reasons.statistics_of(spark, seen)
+
+
 def _b_sql(columns, rest="", name="messy", words=10, chars=50, links=fixed.LINK_PATTERN,
-           promo=fixed.PROMO_PATTERN, missing="nan", scope="", kept="TRUE"):
+           promo=fixed.PROMO_PATTERN, missing="nan", scope="", kept="TRUE", source="p", first=""):
+    key = "concat(b, ':', lower(t))"
+    first = first or f"min(review_id) OVER (PARTITION BY {key}{scope})"
     return f"""{cte(name)}, p AS (
         SELECT *, trim(coalesce(text, '{missing}'), {SQL_WS}) AS t,
                trim(coalesce(business_name, '{missing}'), {SQL_WS}) AS b FROM {name} WHERE {kept}),
+    met AS (SELECT DISTINCT {key} AS k, review_id % {STREAM_PARTS} AS part FROM p),
+    gaps AS (SELECT k, part, coalesce(part - lag(part) OVER (PARTITION BY k ORDER BY part) > 2, FALSE) AS anew FROM met),
+    chains AS (SELECT k, part, count_if(anew) OVER (PARTITION BY k ORDER BY part) AS chain FROM gaps),
+    chained AS (SELECT p.*, chain FROM p JOIN chains ON k = {key} AND part = review_id % {STREAM_PARTS}),
     m AS (SELECT *, {_words('t')} AS word_count, length(t) AS char_count,
-        min(review_id) OVER (PARTITION BY concat(b, ':', lower(t)){scope}) AS first_id FROM p),
+        {first} AS first_id FROM {source}),
     f AS (SELECT *, concat_ws('; ',
         CASE WHEN word_count < {words} THEN concat('Too few words (', word_count, ' < {words})') END,
         CASE WHEN char_count < {chars}
              THEN concat('Too few characters (', char_count, ' < {chars})') END,
         CASE WHEN regexp_matches(t, '(?i){links}') THEN 'Contains links' END,
         CASE WHEN regexp_matches(t, '(?i){promo}') THEN 'Promotional content detected' END,
-        CASE WHEN first_id < review_id THEN concat('Duplicate of review #', first_id + 1) END,
+        CASE WHEN first_id <> review_id THEN concat('Duplicate of review #', first_id + 1) END,
         CASE WHEN char_count > 20
              AND length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) / char_count > 0.7
              THEN 'Excessive capitalization' END,
@@ -170,6 +200,12 @@ _REASON_STARTS = {
     "spam_b_exclaim": "Excessive punct",
 }
 
+_STATISTICS_SQL = _b_sql("""count(*) AS total_reviews,
+    count(*) FILTER (is_spam) AS spam_count, count(*) FILTER (NOT is_spam) AS legitimate_count,
+    round_even(count(*) FILTER (is_spam) / count(*) * 100 * 10, 0) / 10 AS spam_rate,
+    round_even(avg(word_count) * 10, 0) / 10 AS avg_word_count,
+    round_even(avg(char_count) * 10, 0) / 10 AS avg_char_count""")
+
 CHECKS = {
     "spam_b_reasons": (spam_b_reasons, _b_sql(
         "review_id, business_name, text, is_spam, spam_reasons, word_count, char_count")),
@@ -181,11 +217,8 @@ CHECKS = {
     **{name: (_single_rule(start),
               _b_sql("review_id, reason", f"x WHERE starts_with(reason, '{start}')"))
        for name, start in _REASON_STARTS.items()},
-    "spam_statistics": (spam_statistics, _b_sql("""count(*) AS total_reviews,
-        count(*) FILTER (is_spam) AS spam_count, count(*) FILTER (NOT is_spam) AS legitimate_count,
-        round_even(count(*) FILTER (is_spam) / count(*) * 100 * 10, 0) / 10 AS spam_rate,
-        round_even(avg(word_count) * 10, 0) / 10 AS avg_word_count,
-        round_even(avg(char_count) * 10, 0) / 10 AS avg_char_count""")),
+    "spam_statistics": (spam_statistics, _STATISTICS_SQL),
+    "spam_statistics_observed": (spam_statistics_observed, _STATISTICS_SQL),
     "spam_examples": (spam_examples, _b_sql(
         """review_id, business_name, author_name,
         CASE WHEN length(coalesce(text, 'nan')) > 100 THEN concat(left(text, 100), '...')
@@ -199,6 +232,10 @@ CHECKS = {
     "export_all": (_export("all"), _b_sql(_B)),
     "stream_spam_b": (stream_spam_b, _b_sql(
         _B, scope=f", review_id % {STREAM_PARTS}", kept="review_id < 1000000000")),
+    # A key that is away for three parts is forgotten.
+    "stream_copies": (stream_copies, _b_sql(
+        _B, name="said_again", source="chained", first=f"""first_value(review_id) OVER (
+            PARTITION BY concat(b, ':', lower(t)), chain ORDER BY review_id % {STREAM_PARTS}, review_id)""")),
     "spam_a_regex": (spam_a_regex, _a_sql("spam_regex")),
     "spam_a_regex_corrected": (
         spam_a_regex_corrected, _a_sql("spam_regex", fixed.FLAG_PATTERNS_CORRECTED)),

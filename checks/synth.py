@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from checks.views import SQL_WS, cte, view
 from reviewmill import fixed
 from reviewmill.operators import synthesis
+from reviewmill.plans import synthesis as synthesis_plans
+from reviewmill.sources import files
 
 AS_OF = 1_756_425_600  # 2025-08-29 00:00 UTC
 
@@ -67,14 +69,19 @@ def ingest_quarantine(spark, sf_dir):
     return synthesis.quarantine(parsed).select("request_id", "raw", "rejection")
 
 
-def _synthetic(spark, sf_dir):
-    """The worked-off list: the model answers every request but rants, with its samples."""
-    work = _work(spark, sf_dir)
+def _answered(work):
+    """The model answers every request but rants, with its samples."""
     answer = F.to_json(F.struct(
         F.concat_ws(" ", "violation_type", "samples").alias("review_text"),
         (F.col("seq") % 7).alias("star_rating")))
     raw = F.when(F.col("violation_type") != "rant_without_visit", answer)
-    parsed = synthesis.parse_responses(work.select("request_id", raw.alias("raw")))
+    return work.select("request_id", "seq", raw.alias("raw"))
+
+
+def _synthetic(spark, sf_dir):
+    """The worked-off list."""
+    work = _work(spark, sf_dir)
+    parsed = synthesis.parse_responses(_answered(work).drop("seq"))
     return synthesis.synthetic_reviews(work, parsed, AS_OF)
 
 
@@ -82,6 +89,19 @@ def synth_reviews(spark, sf_dir):
     return _synthetic(spark, sf_dir)
 
 
+def ingest_batches(spark, sf_dir):
+    """Answers taken in by two batches, the first of them twice."""
+    path, rejected = (files.staging_path(spark, n) for n in ("taken-in", "set-aside"))
+    work = files.stage(_work(spark, sf_dir), "work")
+    answers = _answered(work)
+    for batch in (0, 0, 1):
+        synthesis_plans.ingest_responses(
+            work, answers.where(f"seq % 2 = {batch}").drop("seq"), path, rejected, AS_OF, str(batch))
+    schema = ("company_name string, reviewer_name string, review_date date, text string, stars int, "
+              "category string, group string, irrelevant boolean, violation_type string, batch string")
+    return files.read_csv(spark, path, schema, multi_line=True)
+
+
 def violation_summary(spark, sf_dir):
     return synthesis.violation_summary(_synthetic(spark, sf_dir))
 
@@ -167,6 +187,10 @@ CHECKS = {
         trim(concat(violation_type, ' ', samples), {SQL_WS}) AS text,
         CAST(greatest(1, least(5, seq % 7)) AS INT) AS stars, category, '' AS image_urls,
         '' AS image_captions, grp AS "group", TRUE AS irrelevant, violation_type FROM answered"""),
+    "ingest_batches": (ingest_batches, f"""{_NAMED} SELECT company_name, reviewer_name, review_date,
+        trim(concat(violation_type, ' ', samples), {SQL_WS}) AS text,
+        CAST(greatest(1, least(5, seq % 7)) AS INT) AS stars, category, grp AS "group",
+        TRUE AS irrelevant, violation_type, CAST(seq % 2 AS STRING) AS batch FROM answered"""),
     "violation_summary": (violation_summary, f"""{_NAMED} SELECT p.violation_type,
         CASE position WHEN 0 THEN 'Advertisement' WHEN 1 THEN 'Irrelevant Content'
             ELSE 'Rant Without Visit' END AS title,

@@ -93,6 +93,8 @@ VIEWS = {
         ("documents", "TRUE", _MESSY),
         ("documents", _EXTRA, {**_MESSY, "review_id": "doc_id + 1000000000", "text": _EXTRA_TEXT}),
     ],
+    "said_again": [("documents", "TRUE", {
+        **_MESSY, "text": f"CASE WHEN {_EXTRA} THEN {_EXTRA_TEXT} ELSE {_MESSY_TEXT} END"})],
     "labelled": [("documents JOIN labels USING (doc_id)", "TRUE", {**_REVIEW, "label": LABEL})],
     "responses": [
         ("conversations", "TRUE", _RESPONSE),

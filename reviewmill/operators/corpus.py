@@ -45,8 +45,17 @@ def replace_label_slice(
     old: DataFrame, fresh: DataFrame, label: int, drop: tuple[str, ...] = ("reviewer_name",)
 ) -> DataFrame:
     """Swap every row of one label for a fresh set stamped with that label."""
-    stamped = fresh.withColumn("label", F.lit(label))
-    return union_sources([without_label(old, label), stamped]).drop(*drop)
+    return union_sources([without_label(old, label).drop(*drop), stamped(fresh, label, drop)])
+
+
+def stamped(fresh: DataFrame, label: int, drop: tuple[str, ...] = ("reviewer_name",)) -> DataFrame:
+    """A fresh set with its label, in the columns of the corpus."""
+    return fresh.withColumn("label", F.lit(label)).drop(*drop)
+
+
+def write_by_label(df: DataFrame, path: str, drop: tuple[str, ...] = ("reviewer_name",)) -> None:
+    """The corpus with a folder for each label, so that one label can be replaced alone."""
+    df.drop(*drop).write.mode("overwrite").partitionBy("label").parquet(path)
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

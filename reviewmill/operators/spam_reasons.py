@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from reviewmill import fixed
 from reviewmill.functions import keys, text
@@ -52,6 +52,11 @@ def reason_groups(df: DataFrame, rules: ReasonRules = ReasonRules()) -> DataFram
     return duplicates.duplicate_groups(_with_key(df, rules), F.col("_key"))
 
 
+def group_facts(df: DataFrame, rules: ReasonRules = ReasonRules(), **more: Column) -> DataFrame:
+    """Every group of rule B, of one row too; see `duplicates.group_facts`."""
+    return duplicates.group_facts(_with_key(df, rules), F.col("_key"), **more)
+
+
 def measure(df: DataFrame, rules: ReasonRules = ReasonRules()) -> DataFrame:
     """word_count and char_count of the trimmed text."""
     return (
@@ -70,7 +75,8 @@ def flag_reviews(
     `review_id` must be unique and give the review order from 0: the first
     member of a duplicate group stays clean and the later ones name it.  All
     facts about the text are computed before the duplicate join; the text is
-    shuffled only if it is selected from the result.
+    shuffled only if it is selected from the result.  `groups` can name a first
+    review from elsewhere, which then has any id: all others of the group name it.
     """
     quality.require_columns(df, ["review_id"])
     if groups is None:
@@ -98,7 +104,7 @@ def flag_reviews(
                F.format_string(say["chars"], chars, F.lit(rules.min_chars))),
         F.when(F.col("_links"), F.lit(say["links"])),
         F.when(F.col("_promo"), F.lit(say["promo"])),
-        F.when(first < F.col("review_id"), F.format_string(say["duplicate"], first + 1)),
+        F.when(first != F.col("review_id"), F.format_string(say["duplicate"], first + 1)),
         F.when(F.col("_caps"), F.lit(say["caps"])),
         F.when(F.col("_shouts"), F.lit(say["exclamations"])),
     )
@@ -143,6 +149,32 @@ def statistics(flagged: DataFrame) -> DataFrame:
     )
 
 
+def observed_statistics(flagged: DataFrame) -> tuple[DataFrame, Observation]:
+    """The reviews as they are, counted as they pass: read the counts by `statistics_of` once they were written.
+
+    The counting needs no pass of its own.  It stands where it is put: what is filtered out later counts.
+    """
+    seen = Observation("spam statistics")
+    return flagged.observe(
+        seen, F.count(F.lit(1)).alias("total"), F.count_if(F.col("is_spam")).alias("spam"),
+        F.sum(F.col("word_count").cast("bigint")).alias("words"),
+        F.sum(F.col("char_count").cast("bigint")).alias("chars")), seen
+
+
+def statistics_of(spark: SparkSession, seen: Observation) -> DataFrame:
+    """The row of `statistics` from what was counted in passing."""
+    counted = seen.get
+    row = spark.createDataFrame(
+        [tuple(counted.get(c) for c in ("total", "spam", "words", "chars"))],
+        "total bigint, spam bigint, words bigint, chars bigint")
+    total, spam = F.col("total"), F.col("spam")
+    mean = lambda c: _one_decimal(F.col(c) / F.nullif(total, F.lit(0)))
+    return row.select(
+        total.alias("total_reviews"), spam.alias("spam_count"), (total - spam).alias("legitimate_count"),
+        F.coalesce(_one_decimal(spam / F.nullif(total, F.lit(0)) * 100), F.lit(0.0)).alias("spam_rate"),
+        mean("words").alias("avg_word_count"), mean("chars").alias("avg_char_count"))
+
+
 def spam_examples(
     flagged: DataFrame, rows: int = fixed.EXAMPLE_ROWS, chars: int = fixed.EXAMPLE_CHARS
 ) -> DataFrame:

@@ -21,3 +21,14 @@ def ingest_csv(spark: SparkSession, sources: Mapping[str, str], output: str) ->
 def refresh_label(old: DataFrame, fresh: DataFrame, label: int, output: str) -> None:
     """Write the corpus with one label's rows replaced by a fresh set."""
     files.write_csv(corpus.replace_label_slice(old, fresh, label), output)
+
+
+def refresh_label_in_place(spark: SparkSession, path: str, fresh: DataFrame, label: int) -> None:
+    """Replace one label of a corpus kept by label; the files of all other labels, and of none, stay as they are.
+
+    A fresh set without rows leaves no row of the label.  Readers take `mergeSchema` where it has new columns.
+    """
+    rows = corpus.stamped(fresh, label)
+    files.replace_partitions(rows, path, "label")
+    if rows.isEmpty():
+        files.delete(spark, f"{path}/label={label}")

@@ -32,12 +32,13 @@ def moderate_csv(
 ) -> DataFrame:
     """Write the selected reviews as CSV and return the statistics row.
 
-    The duplicate groups and the flagged reviews are each written once: the
-    small group table lets the planner choose the join, and the export and the
-    statistics read the flagged table instead of applying the rules again.
+    The duplicate groups are written first: the small table lets the planner
+    choose the join.  The statistics of all reviews are counted while the
+    selected ones are written, so that the rules are applied once and no flagged
+    table is kept.
     """
     reviews = _numbered(spark, source, schema)
     groups = files.stage(spam_reasons.reason_groups(reviews, rules), "duplicate-groups")
-    flagged = files.stage(spam_reasons.flag_reviews(reviews, rules, groups), "flagged")
+    flagged, seen = spam_reasons.observed_statistics(spam_reasons.flag_reviews(reviews, rules, groups))
     files.write_csv(spam_reasons.select_export(flagged, export_type), output)
-    return spam_reasons.statistics(flagged)
+    return spam_reasons.statistics_of(spark, seen)

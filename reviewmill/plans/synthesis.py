@@ -19,15 +19,16 @@ def write_requests(reviews: DataFrame, output: str) -> None:
 
 
 def ingest_responses(
-    requests: DataFrame, responses: DataFrame, output: str, rejected: str, as_of: int
+    requests: DataFrame, responses: DataFrame, output: str, rejected: str, as_of: int, batch: str,
 ) -> DataFrame:
-    """Append accepted answers as reviews, set the others aside, return the summary.
+    """Add accepted answers as reviews, set the others aside, return the summary of the batch.
 
-    `responses` has (request_id, raw).
+    `responses` has (request_id, raw).  Each batch of answers has a folder of its own under both paths,
+    so that a batch that is taken in again after a failure replaces itself.
     """
     parsed = files.stage(synthesis.parse_responses(responses), "parsed-responses")
-    synthesis.quarantine(parsed).write.mode("append").parquet(rejected)
+    synthesis.quarantine(parsed).write.mode("overwrite").parquet(f"{rejected}/batch={batch}")
     reviews = files.stage(
         synthesis.synthetic_reviews(requests, parsed, as_of), "synthetic-reviews")
-    files.write_csv(reviews, output, mode="append")
+    files.write_csv_batch(reviews, output, batch)
     return synthesis.violation_summary(reviews)

@@ -83,6 +83,20 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     ).csv(path)
 
 
+def write_csv_batch(df: DataFrame, path: str, batch: str) -> None:
+    """The rows of one batch as `path/batch=<name>`, in place of what a first try left there.
+
+    A batch that is written again leaves the same rows once; other batches are
+    not touched.  Each part has its own header.  `read_csv` reads the batches as one table.
+    """
+    write_csv(df, f"{path}/batch={batch}")
+
+
+def replace_partitions(df: DataFrame, path: str, *columns: str) -> None:
+    """Parquet parted by the columns: parts that `df` has rows of are replaced, all others stay as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
@@ -104,6 +118,22 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, there = _file_system(spark, path)
+    return system.exists(there)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    system, there = _file_system(spark, path)
+    system.delete(there, True)
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder that the session names.
 
@@ -128,8 +158,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def drop_staged(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete the folders of staged tables that are no longer read."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for table in tables:
         for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            delete(spark, folder)

@@ -39,6 +39,40 @@ def test_replace_label_slice(spark):
         ("a", 0, None), ("c", 1, True)}
 
 
+def test_one_label_is_replaced_in_place(spark, tmp_path):
+    path = tmp_path / "corpus"
+    old = spark.createDataFrame([("a", "n", 0), ("b", "n", 1), ("c", "n", 1), ("d", "n", None)],
+                                "text string, reviewer_name string, label int")
+    corpus.write_by_label(old, str(path))
+
+    def parts(label):
+        return {f.name: f.stat().st_mtime_ns for f in (path / f"label={label}").glob("*.parquet")}
+
+    def texts():
+        return {(r.text, r.label) for r in spark.read.option("mergeSchema", True).parquet(str(path)).collect()}
+    before = parts(0), parts("__HIVE_DEFAULT_PARTITION__")
+    assert all(before)
+    fresh = spark.createDataFrame([("new", True)], "text string, irrelevant boolean")
+    corpus_plans.refresh_label_in_place(spark, str(path), fresh, 1)
+    assert texts() == {("a", 0), ("new", 1), ("d", None)}
+    corpus_plans.refresh_label_in_place(spark, str(path), fresh.limit(0), 1)
+    corpus_plans.refresh_label_in_place(spark, str(path), fresh, 2)
+    assert texts() == {("a", 0), ("new", 2), ("d", None)}
+    assert (parts(0), parts("__HIVE_DEFAULT_PARTITION__")) == before
+
+
+def test_a_batch_written_again_replaces_itself(spark, tmp_path):
+    path = str(tmp_path / "batches")
+    rows = spark.createDataFrame([(1, "a\nb"), (2, 'say "x"'), (3, None)], "id int, text string").repartition(2, "id")
+    for batch, df in (("one", rows), ("two", rows), ("one", rows.where("id < 3")), ("two", rows)):
+        files.write_csv_batch(df, path, batch)
+    got = files.read_csv(spark, path, "id int, text string, batch string", multi_line=True).collect()
+    assert sorted((r.batch, r.id) for r in got) == [("one", 1), ("one", 2), ("two", 1), ("two", 2), ("two", 3)]
+    assert {r.text for r in got} == {"a\nb", 'say "x"', None}
+    for part in (tmp_path / "batches").glob("*/*.csv"):
+        assert part.read_text().startswith("id,text\n")
+
+
 def test_ingest_job_prunes_by_category(spark, tmp_path):
     sources = {}
     for name in ("education", "retail"):

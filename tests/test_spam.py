@@ -65,6 +65,15 @@ def test_golden_flags(golden):
                    (False, True, False, True), (True, False, False, True)]
 
 
+def test_statistics_in_passing(spark, golden, mixed, tmp_path):
+    for k, df in enumerate((golden, golden.where("false"), mixed[1])):
+        plain = spam_reasons.flag_reviews(df, RULES)
+        flagged, seen = spam_reasons.observed_statistics(plain)
+        spam_reasons.select_export(flagged, "spam").write.parquet(str(tmp_path / str(k)))
+        assert spam_reasons.statistics_of(spark, seen).collect() == spam_reasons.statistics(plain).collect()
+        assert spark.read.parquet(str(tmp_path / str(k))).count() == plain.where("is_spam").count()
+
+
 def test_statistics_of_nothing(golden):
     row = spam_reasons.statistics(spam_reasons.flag_reviews(golden.where("false"))).first()
     assert (row.total_reviews, row.spam_rate, row.avg_word_count) == (0, 0.0, None)
@@ -124,25 +133,31 @@ def test_flags_worked_by_hand(spark):
 
 
 def test_hot_rows_are_spread(spark):
-    """Half of the rows are copies; the shuffled join still fills its partitions evenly."""
-    df = spark.range(4000).selectExpr(
+    """A third of the rows are copies of one text; the shuffled join still fills its partitions evenly."""
+    df = spark.range(6000).selectExpr(
         "id AS review_id", "'b' AS business_name",
-        "CASE WHEN id % 2 = 0 THEN 'copy' ELSE CONCAT('text ', id) END AS text")
-    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+        "CASE WHEN id % 3 = 0 THEN 'copy' ELSE CONCAT('text ', id - id % 3) END AS text")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.shuffle.partitions": "16"}
     before = {k: spark.conf.get(k) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         key = spam_flags.duplicate_key()
         groups = duplicates.duplicate_groups(df, key)
-
-        def largest(salts):
-            per_task = duplicates.attach_groups(df.withColumn("_key", key), groups, "_key", salts=salts) \
-                .groupBy(F.spark_partition_id()).agg(
-                    F.count("*").alias("n"), F.count("_copies").alias("copies")).collect()
-            assert sum(r.copies for r in per_task) == 2000
-            return max(r.n for r in per_task)
-        assert largest(duplicates.SALTS) < 1700 < 2000 < largest(1)
+        assert groups.count() == 2001
+        assert [r.copies for r in duplicates.heaviest(groups, 3).collect()] == [2000, 2, 2]
+
+        def by_task(most):
+            out = duplicates.attach_groups(df.withColumn("_key", key), groups, "_key", most=most)
+            rows = out.groupBy(F.spark_partition_id()).agg(
+                F.count("*").alias("n"), F.count("_copies").alias("copies")).collect()
+            assert sum(r.copies for r in rows) == 6000 and len(rows) == 16
+            return sorted(r.n for r in rows)
+        spread, together = by_task(16), by_task(0)
+        assert spread[-1] <= 2 * spread[8] and together[-1] > 2 * together[8]
+        plan = duplicates.attach_groups(df.withColumn("_key", key), groups, "_key")._jdf.queryExecution().toString()
+        assert "Generate" not in plan  # no group is repeated
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)

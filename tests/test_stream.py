@@ -1,7 +1,13 @@
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
 from reviewmill.operators import spam_reasons
-from reviewmill.streaming import moderation
+from reviewmill.streaming import earlier, moderation
 
 DDL = "review_id bigint, business_name string, text string"
+TIMED = f"{DDL}, written timestamp"
 TEXT = "A long enough review of this place, written with care and no haste at all."
 
 
@@ -26,3 +32,90 @@ def test_stream_equals_batch_and_runs_once(spark, tmp_path):
     got = {r.review_id: r.spam_reasons for r in spark.read.parquet(out).collect()}
     want = {r.review_id: r.spam_reasons for r in spam_reasons.flag_reviews(rows).collect()}
     assert got == want and spark.read.parquet(out).count() == 40
+
+
+def day(n):
+    return datetime.datetime(2025, 3, 1) + datetime.timedelta(days=n)
+
+
+class Live:
+    """A stream that is fed one file after the other and started anew for each run."""
+
+    def __init__(self, spark, folder, keep="2 days"):
+        self.spark, self.folder = spark, folder
+        self.copies = earlier.EarlierCopies("written", keep, str(folder / "copies"))
+
+    def feed(self, *rows):
+        self.spark.createDataFrame(list(rows), TIMED).coalesce(1).write.mode("append").parquet(str(self.folder / "in"))
+
+    def run(self):
+        stream = self.spark.readStream.schema(TIMED).option("maxFilesPerTrigger", 1).parquet(str(self.folder / "in"))
+        moderation.moderate_stream(stream, str(self.folder / "out"), str(self.folder / "state"),
+                                   copies=self.copies).awaitTermination()
+
+    def reasons(self):
+        rows = self.spark.read.parquet(str(self.folder / "out")).collect()
+        assert len(rows) == len({r.review_id for r in rows})
+        return {r.review_id: r.spam_reasons for r in rows}
+
+
+@pytest.fixture
+def live(spark, tmp_path):
+    return Live(spark, tmp_path)
+
+
+def other(n):
+    return f"{TEXT} Visit number {n}."
+
+
+def test_copies_of_earlier_batches_name_the_first(live):
+    live.feed((5, "b", TEXT, day(0)), (6, "b", other(1), day(0)))
+    live.feed((3, "b", TEXT, day(0)), (7, "b", other(2), day(0)))  # a smaller id that came later
+    live.feed((8, "b", TEXT, day(1)), (9, "c", TEXT, day(1)), (10, "b", other(2), day(1)), (11, "b", other(3), None))
+    live.run()
+    assert live.reasons() == {5: "", 6: "", 3: "Duplicate of review #6", 7: "", 8: "Duplicate of review #6",
+                              9: "", 10: "Duplicate of review #8", 11: ""}
+
+
+def test_state_goes_on_after_a_restart(live):
+    live.feed((1, "b", TEXT, day(0)))
+    live.run()
+    live.feed((2, "b", TEXT, day(0)), (3, "b", TEXT, day(0)))
+    live.run()
+    live.run()
+    assert live.reasons() == {1: "", 2: "Duplicate of review #2", 3: "Duplicate of review #2"}
+
+
+def test_groups_behind_the_watermark_are_forgotten(live):
+    live.feed((1, "b", TEXT, day(0)))
+    live.feed((2, "b", TEXT, day(1)), (3, "b", other(1), day(1)))
+    live.feed((4, "b", other(2), day(9)))
+    live.feed((5, "b", TEXT, day(9)))  # the first again
+    live.feed((6, "b", TEXT, day(9)))
+    live.feed((7, "b", TEXT, day(1)), (8, "b", TEXT, day(1)))  # late: looked for in its batch
+    live.run()
+    assert live.reasons() == {1: "", 2: "Duplicate of review #2", 3: "", 4: "", 5: "",
+                              6: "Duplicate of review #6", 7: "", 8: "Duplicate of review #8"}
+
+
+def test_a_batch_that_runs_again_gets_the_same_groups(spark, live):
+    def groups(*rows):
+        df = spark.createDataFrame(list(rows), TIMED)
+        return spam_reasons.group_facts(df, seen_at=F.max("written"))
+
+    def found(rows, batch):
+        return sorted((r.first_id, r.copies) for r in earlier.with_earlier(groups(*rows), live.copies, batch).collect())
+
+    first = [(1, "b", TEXT, day(0)), (2, "b", TEXT, day(0)), (3, "b", other(1), day(0))]
+    second = [(4, "b", other(1), day(0)), (5, "b", other(2), day(0))]
+    for _ in range(2):
+        assert found(first, 0) == [(1, 2)]
+    for _ in range(2):
+        assert found(second, 1) == [(3, 1)]
+
+
+def test_one_group_of_a_batch_is_one_row_of_state(spark, live):
+    rows = [(i, "b", TEXT, day(0)) for i in range(3000)]
+    df = spark.createDataFrame(rows, TIMED).repartition(8)
+    earlier.with_earlier(spam_reasons.group_facts(df, seen_at=F.max("written")), live.copies, 0)
+    assert spark.read.parquet(f"{live.copies.path}/groups").count() == 1

@@ -6,6 +6,7 @@ import pytest
 from reviewmill import fixed
 from reviewmill.operators import synthesis
 from reviewmill.plans import synthesis as synthesis_plans
+from reviewmill.sources import files
 
 AS_OF = 1_756_425_600
 
@@ -119,10 +120,16 @@ def test_jobs(spark, reviews, tmp_path):
     requests = spark.read.parquet(str(tmp_path / "requests"))
     responses = requests.selectExpr("request_id", """CASE WHEN violation_type = 'advertisement'
         THEN '{"review_text": "Buy", "star_rating": 5}' ELSE 'no' END AS raw""")
-    summary = synthesis_plans.ingest_responses(
-        requests, responses, str(tmp_path / "out"), str(tmp_path / "bad"), AS_OF)
+    for _ in range(2):  # taken in again, as after a failure
+        summary = synthesis_plans.ingest_responses(
+            requests, responses, str(tmp_path / "out"), str(tmp_path / "bad"), AS_OF, "monday")
     assert {(r.title, r.n_reviews) for r in summary.collect()} == {
         ("Advertisement", 22), ("Irrelevant Content", 0), ("Rant Without Visit", 0)}
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 44
+    synthesis_plans.ingest_responses(
+        requests, responses.limit(0), str(tmp_path / "out"), str(tmp_path / "bad"), AS_OF, "tuesday")
+    written = files.read_csv(spark, str(tmp_path / "out"), "company_name string, stars int, batch string",
+                             multi_line=True)
+    assert {(r.batch, r.stars) for r in written.collect()} == {("monday", 5)} and written.count() == 22
     with pytest.raises(ValueError, match="stars"):
         synthesis_plans.write_requests(full.drop("stars"), str(tmp_path / "x"))

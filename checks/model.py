@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from checks.views import LABEL, SQL_WS, SQL_WS_CLASS, cte, table, view
 from reviewmill import fixed
 from reviewmill.functions import text, vectors
-from reviewmill.operators import features, metrics, modelling
-from reviewmill.plans import training
+from reviewmill.operators import features, metrics, modelling, stages
+from reviewmill.plans import serving, training
 from reviewmill.sources import files
 
 
@@ -195,41 +196,75 @@ def _decision(meta):
     return F.array(*scores)
 
 
-def _agreement(scored, meta):
-    """Whether prediction and name are those of the largest score."""
-    best = modelling.vectors.argmax(_decision(meta))
-    agrees = F.col("prediction") == best
-    if "label_name" in scored.columns:
-        agrees &= F.col("label_name") == F.get(F.lit(list(meta.classes)), best)
-    return scored.select("review_id", agrees.alias("agrees"))
+def _classes(scored):
+    return scored.select("review_id", "label_name")
 
 
 def predict_meta(spark, sf_dir):
-    meta, scored = training.train(view(spark, sf_dir, "labelled"), toy_model, exact_split=False)
-    return _agreement(scored, meta)
+    """Classes of the validation rows by the model trained on the others."""
+    meta, scored = training.train(view(spark, sf_dir, "telling"), toy_model, exact_split=False)
+    return _classes(metrics.with_label_name(scored, "prediction", names=dict(enumerate(meta.classes))))
+
+
+def predict_scores(spark, sf_dir):
+    """Class and probabilities by Spark's model, and by plain arithmetic over its table of coefficients."""
+    meta, scored = training.train(view(spark, sf_dir, "telling"), toy_model, exact_split=False)
+    model, features = meta.model, scored.select("review_id", "features", "prediction")
+    table = spark.createDataFrame(
+        [(c, [float(b), *map(float, row)]) for c, (row, b) in enumerate(zip(
+            model.coefficientMatrix.toArray(), model.interceptVector.toArray()))],
+        "class int, weights array<double>")
+    path = files.staging_path(spark, "coefficients")
+    table.write.parquet(path)
+    cells = features.select("review_id", "prediction", F.posexplode(
+        F.concat(F.array(F.lit(1.0)), "features")).alias("place", "value"))
+    weights = spark.read.parquet(path).select("class", F.posexplode("weights").alias("place", "weight"))
+    sums = cells.join(F.broadcast(weights), "place").groupBy("review_id", "prediction", "class").agg(
+        F.sum(F.col("value") * F.col("weight")).alias("score"))
+    best = sums.groupBy("review_id", "prediction").agg(F.max_by("class", "score").alias("class"))
+    return best.select("review_id", "class", (F.col("class") == F.col("prediction")).alias("same"))
 
 
 def infer_reviews(spark, sf_dir):
-    """Every document classified by the model trained on the labelled ones."""
-    meta, _ = training.train(view(spark, sf_dir, "labelled"), toy_model)
-    return _agreement(training.infer(view(spark, sf_dir, "messy"), toy_model, meta), meta)
+    """Every review classified by the model trained on a part of them."""
+    meta, _ = training.train(view(spark, sf_dir, "telling"), toy_model)
+    return _classes(training.infer(view(spark, sf_dir, "messy"), toy_model, meta))
 
 
 def save_load_model(spark, sf_dir):
-    """The saved model names and scores as the one in memory does."""
-    meta, _ = training.train(view(spark, sf_dir, "labelled"), toy_model)
+    """Classes by the saved model."""
+    meta, _ = training.train(view(spark, sf_dir, "telling"), toy_model)
     path = files.staging_path(spark, "meta-model")
     modelling.save_model(meta, spark, path)
-    again = modelling.load_model(spark, path)
-    return _agreement(training.infer(view(spark, sf_dir, "labelled"), toy_model, again), meta)
+    return _classes(training.infer(view(spark, sf_dir, "messy"), toy_model, modelling.load_model(spark, path)))
+
+
+def saved_pipeline(spark, sf_dir):
+    """Classes by one saved object that holds the features, both models and the names."""
+    path = files.staging_path(spark, "pipeline")
+    serving.save_pipeline(serving.train_pipeline(view(spark, sf_dir, "telling"), "checks.model:toy_model"), path)
+    return _classes(serving.classify(serving.load_pipeline(path), view(spark, sf_dir, "messy")))
 
 
 def evaluate_meta(spark, sf_dir):
-    """The report on the exact split: rows, support, and scores between 0 and 1."""
-    _, scored = training.train(view(spark, sf_dir, "labelled"), toy_model)
-    report = training.evaluate(scored)
-    fair = F.least("precision", "recall", "f1") >= 0
-    return report.select("row", "support", (fair & (F.greatest("precision", "recall", "f1") <= 1)).alias("fair"))
+    """The report on the exact split; the words tell the label, so all is found."""
+    _, scored = training.train(view(spark, sf_dir, "telling"), toy_model)
+    return training.evaluate(scored)
+
+
+def tfidf_weights(spark, sf_dir):
+    """Weights of the words that a review holds, by a saved and loaded model."""
+    reviews = view(spark, sf_dir, "messy")
+    path = files.staging_path(spark, "tfidf")
+    stages.TfIdf().fit(reviews).write().save(path)
+    weighed = stages.TfIdfModel.load(path).transform(reviews)
+    return weighed.select("review_id", F.posexplode(vector_to_array("tfidf")).alias("place", "value")).where(
+        "value <> 0").select("review_id", "place", F.round("value", 6).alias("weight"))
+
+
+def learned_vocabulary(spark, sf_dir):
+    words = stages.learned_vocabulary(view(spark, sf_dir, "messy"))
+    return spark.createDataFrame(list(enumerate(words)), "word_index int, word string")
 
 
 _VOCAB = "[" + ", ".join(f"'{w}'" for w in fixed.VOCABULARY) + "]"
@@ -276,18 +311,25 @@ _MACRO = """SELECT round(sum(hits) / sum(support), 6) AS accuracy, round(avg(p),
     round(avg(r), 6) AS recall_macro, round(avg(f), 6) AS f1_macro FROM sc"""
 _HASH = "md5(concat(review_id, '-42'))"
 # Validation rows: ceil(0.2 n) in all, by largest remainder, ties in the order of the labels.
-_SPLIT = f"""{cte('labelled')}, sizes AS (SELECT label, count(*) AS n FROM labelled GROUP BY label),
+def _split(name):
+    return f"""{cte(name)}, sizes AS (SELECT label, count(*) AS n FROM {name} GROUP BY label),
     quota AS (SELECT label, floor(0.2 * n) + CASE WHEN row_number() OVER (
             ORDER BY 0.2 * n - floor(0.2 * n) DESC, label NULLS FIRST)
         <= (SELECT ceil(0.2 * sum(n)) - sum(floor(0.2 * n)) FROM sizes) THEN 1 ELSE 0 END AS wanted
         FROM sizes),
     ranked AS (SELECT review_id, label,
-        row_number() OVER (PARTITION BY label ORDER BY {_HASH}, review_id) AS k FROM labelled),
+        row_number() OVER (PARTITION BY label ORDER BY {_HASH}, review_id) AS k FROM {name}),
     parts AS (SELECT review_id, label, CASE WHEN k <= wanted THEN 'validation' ELSE 'train' END AS split
         FROM ranked JOIN quota USING (label))"""
-_BY_HASH = f"""{cte('labelled')}, parts AS (SELECT review_id,
+
+
+def _parts(name):
+    return f"""{cte(name)}, parts AS (SELECT review_id,
     CASE WHEN CAST('0x' || left({_HASH}, 8) AS BIGINT) / 4294967296.0 < 0.2
-         THEN 'validation' ELSE 'train' END AS split FROM labelled)"""
+         THEN 'validation' ELSE 'train' END AS split FROM {name})"""
+
+
+_TELLING = f"{cte('telling')} SELECT review_id, label AS label_name FROM telling"
 
 CHECKS = {
     "text_remove_punct": (text_remove_punct,
@@ -321,8 +363,8 @@ CHECKS = {
         SELECT review_id, category, label_id FROM messy LEFT JOIN d USING (category)"""),
     "class_encode_many": (class_encode_many, """SELECT o_orderkey, CAST(o_orderkey AS STRING) AS label,
         CAST(row_number() OVER (ORDER BY CAST(o_orderkey AS STRING)) - 1 AS INT) AS label_id FROM orders"""),
-    "stratified_split": (stratified_split, f"{_SPLIT} SELECT review_id, label, split FROM parts"),
-    "hash_split": (hash_split, f"{_BY_HASH} SELECT review_id, split FROM parts"),
+    "stratified_split": (stratified_split, f"{_split('labelled')} SELECT review_id, label, split FROM parts"),
+    "hash_split": (hash_split, f"{_parts('labelled')} SELECT review_id, split FROM parts"),
     "score_batch": (score_batch, f"""{cte('messy')}, m AS (SELECT review_id, {_CLEAN} AS t,
         {_POI} AS c FROM messy), l AS (SELECT review_id, length(t) / 1000 AS z0,
         length(c) / 20 AS z1, (length(t) - length(replace(t, 'e', ''))) / 100 AS z2 FROM m){_SOFTMAX}
@@ -357,14 +399,31 @@ CHECKS = {
     "train_meta": (train_meta, f"""{cte('labelled')}, c AS (SELECT CAST(row_number() OVER (ORDER BY label) - 1
         AS INT) AS class FROM (SELECT DISTINCT label FROM labelled))
         SELECT class, CAST(unnest(range(0, 153)) AS INT) AS feature, CAST(0 AS DOUBLE) AS gradient FROM c"""),
-    "predict_meta": (predict_meta,
-                     f"{_BY_HASH} SELECT review_id, TRUE AS agrees FROM parts WHERE split = 'validation'"),
-    "evaluate_meta": (evaluate_meta, f"""{_SPLIT}, s AS (SELECT CAST(dense_rank() OVER (ORDER BY label) - 1
+    "predict_meta": (predict_meta, f"""{_parts('telling')} SELECT review_id, label AS label_name FROM parts
+        JOIN telling USING (review_id) WHERE split = 'validation'"""),
+    "predict_scores": (predict_scores, f"""{_parts('telling')}, c AS (SELECT label,
+            CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS class FROM (SELECT DISTINCT label FROM telling))
+        SELECT review_id, class, TRUE AS same FROM parts JOIN telling USING (review_id) JOIN c USING (label)
+        WHERE split = 'validation'"""),
+    "evaluate_meta": (evaluate_meta, f"""{_split('telling')}, s AS (SELECT CAST(dense_rank() OVER (ORDER BY label) - 1
             AS STRING) AS "row", split FROM parts),
-        v AS (SELECT "row", count(*) AS support FROM s WHERE split = 'validation' GROUP BY "row")
-        SELECT "row", support, TRUE AS fair FROM v UNION ALL
-        SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), (SELECT CAST(sum(support) AS BIGINT)
-            FROM v), TRUE"""),
-    "infer_reviews": (infer_reviews, f"{cte('messy')} SELECT review_id, TRUE AS agrees FROM messy"),
-    "save_load_model": (save_load_model, f"{cte('labelled')} SELECT review_id, TRUE AS agrees FROM labelled"),
+        v AS (SELECT "row", count(*) AS support FROM s WHERE split = 'validation' GROUP BY "row"),
+        r AS (SELECT * FROM v UNION ALL
+            SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), (SELECT CAST(sum(support) AS BIGINT) FROM v))
+        SELECT "row", CAST(1 AS DOUBLE) AS precision, CAST(1 AS DOUBLE) AS recall, CAST(1 AS DOUBLE) AS f1, support FROM r"""),
+    "infer_reviews": (infer_reviews, _TELLING),
+    "save_load_model": (save_load_model, _TELLING),
+    "saved_pipeline": (saved_pipeline, _TELLING),
+    "tfidf_weights": (tfidf_weights, f"""{_TOKENS}, said AS (SELECT review_id,
+            unnest(list_filter(string_split(norm, ' '), lambda w: w <> '')) AS word FROM n),
+        v AS (SELECT unnest({_VOCAB}) AS word, CAST(unnest(range(0, 150)) AS INT) AS place),
+        tf AS (SELECT review_id, place, count(*) AS f FROM said JOIN v USING (word) GROUP BY ALL),
+        idf AS (SELECT place, ln((1 + (SELECT count(*) FROM messy)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY place),
+        w AS (SELECT review_id, place, f * idf AS weight FROM tf JOIN idf USING (place))
+        SELECT review_id, place, round(weight / sqrt(sum(weight * weight) OVER (PARTITION BY review_id)), 6) AS weight
+        FROM w"""),
+    "learned_vocabulary": (learned_vocabulary, f"""{_TOKENS}, said AS (SELECT
+            unnest(list_filter(string_split(norm, ' '), lambda w: w <> '')) AS word FROM n),
+        most AS (SELECT word FROM said GROUP BY word ORDER BY count(*) DESC, word LIMIT 150)
+        SELECT CAST(row_number() OVER (ORDER BY word) - 1 AS INT) AS word_index, word FROM most"""),
 }

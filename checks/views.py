@@ -87,14 +87,19 @@ _RESPONSE = {
     "request_id": "concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING))",
     "raw": _RAW_RESPONSE,
 }
+_MESSY_PARTS = [
+    ("documents", "TRUE", _MESSY),
+    ("documents", _EXTRA, {**_MESSY, "review_id": "doc_id + 1000000000", "text": _EXTRA_TEXT}),
+]
 VIEWS = {
     "reviews": [("documents", "TRUE", _REVIEW)],
-    "messy": [
-        ("documents", "TRUE", _MESSY),
-        ("documents", _EXTRA, {**_MESSY, "review_id": "doc_id + 1000000000", "text": _EXTRA_TEXT}),
-    ],
+    "messy": _MESSY_PARTS,
     "said_again": [("documents", "TRUE", {
         **_MESSY, "text": f"CASE WHEN {_EXTRA} THEN {_EXTRA_TEXT} ELSE {_MESSY_TEXT} END"})],
+    # Labels that the words of a review tell.
+    "telling": [(source, kept, {**columns, "label": f"""CASE
+        WHEN lower({columns['text']}) LIKE 'great food%' THEN 'praise'
+        WHEN {columns['text']} = 'Good' THEN 'brief' ELSE 'other' END"""}) for source, kept, columns in _MESSY_PARTS],
     "labelled": [("documents JOIN labels USING (doc_id)", "TRUE", {**_REVIEW, "label": LABEL})],
     "responses": [
         ("conversations", "TRUE", _RESPONSE),

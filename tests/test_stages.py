@@ -1,0 +1,106 @@
+import math
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from checks.model import toy_model
+from reviewmill import fixed
+from reviewmill.operators import stages
+from reviewmill.plans import serving, training
+
+WORDS = ["crypto discount code www", "weather friend heard", "great food nice staff"]
+DDL = ("review_id bigint, company_name string, text string, stars int, category string, "
+       "label string, review_date string")
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rows = [(i, "Cafe", WORDS[i % 3] + " x" * (i % 40), i % 5 + 1, "food" if i % 4 else None,
+             ["spam", "irrelevant", "relevant"][i % 3], "2025-01-01") for i in range(150)]
+    return spark.createDataFrame(rows, DDL).repartition(3, "review_id")
+
+
+@pytest.fixture(scope="module")
+def saved(labelled, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("pipeline") / "model")
+    serving.save_pipeline(serving.train_pipeline(labelled, "checks.model:toy_model"), path)
+    return path
+
+
+def test_features_equal_those_of_the_functions(labelled):
+    from pyspark.ml import PipelineModel
+
+    got = PipelineModel(serving.feature_stages("checks.model:toy_model")).transform(labelled).select(
+        "review_id", "poi", vector_to_array("features").alias("features")).orderBy("review_id").collect()
+    want = training.feature_table(labelled, toy_model).orderBy("review_id").collect()
+    assert [(r.review_id, r.poi) for r in got] == [(r.review_id, r.poi) for r in want]
+    assert all(g.features == pytest.approx(w.features) for g, w in zip(got, want))
+
+
+def test_saved_pipeline_names_and_scores(spark, labelled, saved):
+    rows = serving.classify(serving.load_pipeline(saved), labelled.drop("label")).collect()
+    truth = {r.review_id: r.label for r in labelled.collect()}
+    assert len(rows) == 150 and all(r.label_name == truth[r.review_id] for r in rows)
+    assert all(sum(r.class_probs) == pytest.approx(1) and max(r.class_probs) == r.class_probs[r.prediction]
+               for r in rows)
+    unknown = spark.createDataFrame([(1, None, None, None, None, None, None)], DDL)
+    assert serving.classify(serving.load_pipeline(saved), unknown).first().label_name in {"spam", "irrelevant", "relevant"}
+
+
+def test_a_fresh_session_gives_the_same_classes(labelled, saved, tmp_path):
+    """The pipeline loaded by another process, from nothing but its folder."""
+    labelled.drop("label").write.parquet(str(tmp_path / "in"))
+    code = f"""
+from checks import compare, registry
+from reviewmill.plans import serving
+spark = compare.session("2")
+registry.ready(spark)
+rows = spark.read.parquet({str(tmp_path / "in")!r})
+serving.classify(serving.load_pipeline({saved!r}), rows).select("review_id", "label_name", "class_probs") \\
+    .write.parquet({str(tmp_path / "out")!r})
+"""
+    root = Path(__file__).resolve().parents[1]
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=300, capture_output=True)
+    spark = labelled.sparkSession
+    here = serving.classify(serving.load_pipeline(saved), labelled).select("review_id", "label_name", "class_probs")
+    there = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, here.collect())) == sorted(map(str, there.collect()))
+
+
+def test_loading_does_not_need_a_label_or_its_order(labelled):
+    shuffled = labelled.where("label <> 'spam'").orderBy(F.desc("review_id"))
+    names = serving.train_pipeline(shuffled, "checks.model:toy_model").stages[-1]
+    assert names.getOrDefault(names.names) == ["irrelevant", "relevant"]
+    with pytest.raises(ValueError, match="stars"):
+        serving.train_pipeline(labelled.drop("stars"), "checks.model:toy_model")
+
+
+def tfidf_by_hand(texts, words):
+    bags = [[w for w in (t or "").lower().replace(",", "").split() if w in words] for t in texts]
+    idf = {w: math.log((1 + len(texts)) / (1 + sum(w in b for b in bags))) + 1 for w in words}
+    rows = [[b.count(w) * idf[w] for w in words] for b in bags]
+    return [[x / (math.sqrt(sum(y * y for y in r)) or 1) for x in r] for r in rows]
+
+
+@pytest.mark.parametrize("words", [["food", "great", "none"], list(fixed.VOCABULARY)])
+def test_tfidf(spark, tmp_path, words):
+    texts = ["Great food, great place", "food", None, "", "nothing known here x", "the the the food"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    model = stages.TfIdf(vocabulary=words).fit(df)
+    model.write().save(str(tmp_path / "tfidf"))
+    want = tfidf_by_hand(texts, words)
+    for each in (model, stages.TfIdfModel.load(str(tmp_path / "tfidf"))):
+        got = each.transform(df).select("i", "tfidf").orderBy("i").collect()
+        assert all(r.tfidf.toArray().tolist() == pytest.approx(w) for r, w in zip(got, want))
+        assert type(got[0].tfidf).__name__ == "SparseVector"
+    empty = stages.TfIdf(vocabulary=words).fit(df.limit(0))
+    assert empty.getOrDefault(empty.weights) == [1.0] * len(words)
+
+
+def test_learned_vocabulary(spark):
+    df = spark.createDataFrame([("b a b",), ("c, a!",), (None,), ("d d d",)], "text string")
+    assert stages.learned_vocabulary(df, 3) == ["a", "b", "d"]

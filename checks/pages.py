@@ -19,6 +19,12 @@ def page_fields_plain(spark, sf_dir):
     return extract.business_pages(table(spark, sf_dir, "pages")).drop("open_hours")
 
 
+def page_fields_nested(spark, sf_dir):
+    """Labels and values among deeply nested siblings, in front of the pages as they are."""
+    return extract.business_pages(view(spark, sf_dir, "nested_html")).withColumn(
+        "open_hours", F.concat_ws(" ", F.map_keys("open_hours"), F.map_values("open_hours")))
+
+
 def page_hours_map(spark, sf_dir):
     return extract.opening_hours(extract.business_pages(view(spark, sf_dir, "business_html")))
 
@@ -193,6 +199,11 @@ CHECKS = {
         split_part(split_part(url, '/', 3), ':', 1) AS website,
         concat('(206) ', 1000 + page_id) AS phone, concat(page_id, ' Queen & King St') AS address,
         concat('/logo/', page_id, '.png') AS logo, 'claimed' AS claim_status FROM pages"""),
+    "page_fields_nested": (page_fields_nested, f"""SELECT page_id, {_H1} AS name,
+        split_part(split_part(url, '/', 3), ':', 1) AS website,
+        concat('(206) ', 1000 + page_id) AS phone, concat(page_id, ' Queen & King St') AS address,
+        concat('/logo/', page_id, '.png') AS logo, 'claimed' AS claim_status,
+        concat('mon 9:00 - ', 10 + page_id % 12, ':00') AS open_hours FROM pages"""),
     "page_fields_plain": (page_fields_plain, f"""SELECT page_id, {_H1} AS name, '' AS website,
         '' AS phone, '' AS address, '' AS logo, '' AS claim_status FROM pages"""),
     "page_hours_map": (page_hours_map, """SELECT page_id, 'mon' AS day,

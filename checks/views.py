@@ -77,6 +77,19 @@ _BUSINESS_HTML = f"""concat(
     CAST(10 + page_id % 12 AS STRING), ':00</p></div></td></tr>',
     '<tr><th><p class="day-of-the-week">Tue</p></th><td><p>Closed</p></td></tr></table>', html)"""
 
+# The same fields, labels and values among siblings that are three elements deep and more.
+_NESTED_HTML = f"""concat(
+    '<main><div><p><b><i>*</i></b>Business website<u>!</u></p><div><ul><li><p>', url, '</p></li></ul></div>',
+    '<p>see <b><a>below</a></b></p><p><span><b>to</b></span><a href="/out"><b><i>go</i></b>', {_HOST}, '</a></p></div>',
+    '<div><p><span><b>tel</b></span>Phone number<br>of ours</p><div><div><p>no</p><p>no</p></div></div>',
+    '<p><em><b>call</b></em>(206) ', CAST(1000 + page_id AS STRING), ' <b>x</b></p></div>',
+    '<article><p><b><i>x</i></b><a href="/map"><b><i>pin</i></b>Get Directions</a></p><ul><li><p>no</p></li></ul>',
+    '<p><b><u>at</u></b>', CAST(page_id AS STRING), ' Queen &amp; King St</p></article>',
+    '<img class="businessLogo" src="/logo/', CAST(page_id AS STRING), '.png">',
+    '<div><span><b><i>a</i></b><span class="claim-y"><b><i>no</i></b>no</span><span><u>no</u></span>Claimed</span></div>',
+    '<table><tr><th><p class="day-of-the-week">Mon</p></th><td><div><div><p>9:00 - ',
+    CAST(10 + page_id % 12 AS STRING), ':00</p></div></div></td></tr></table></main>', html)"""
+
 _MESSY = {
     **_REVIEW, "text": _MESSY_TEXT,
     "business_name": "CASE WHEN doc_id % 29 = 0 THEN NULL ELSE source END",
@@ -107,6 +120,7 @@ VIEWS = {
             "request_id": "concat('blank-', CAST(conv_id AS STRING), '-', CAST(turn AS STRING))",
             "raw": "''"}),
     ],
+    "nested_html": [("pages", "TRUE", {"page_id": "page_id", "html": _NESTED_HTML})],
     "business_html": [("pages", "TRUE", {"page_id": "page_id", "url": "url", "html": _BUSINESS_HTML})],
 }
 

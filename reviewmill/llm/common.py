@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from reviewmill.sources import files
 from reviewmill.sources.ship import ship
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return files.read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
@@ -28,6 +29,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return files.stage(df, name)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, made longer until no column of the table has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
     """Arrow batches of at most so many rows, for what is run inside; texts can be long."""

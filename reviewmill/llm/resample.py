@@ -1,11 +1,11 @@
 """Quality classifier by importance resampling.
 
-Texts are bags of hashed n-grams: words, word beginnings, and runs of word shapes
+Texts are bags of hashed n-grams: words, pairs of words, word beginnings, and runs of word shapes
 (capitals, digits, marks, a word said again).  Two generative models give each
 bucket the share of documents it occurs in, one for target documents and one for
-all documents; the target model follows the raw one wherever the target documents
-do not speak clearly against it.  The importance weight of a text is the logarithm of
-the ratio of its likelihoods.  Documents are drawn without replacement in proportion
+all documents.  Their ratio is smoothed by one document and drawn towards 1 by as much as
+it is in doubt.  The importance weight of a text is the sum of the logarithms of the ratios of its
+buckets.  Documents are drawn without replacement in proportion
 to their weights by Gumbel top-k: a Gumbel number is added to the logarithm of the
 weight and the largest sums are taken.
 """
@@ -25,16 +25,18 @@ from reviewmill.sources.ship import ship
 
 #: Labelled rows that the target model and the cut are learned from, at most; drawn by hash.
 SAMPLE_ROWS = 40_000
-#: Share of the held-out target documents that the draw is to reach.
-TARGET_SHARE = 0.997
-#: How many standard deviations below expectation a bucket has to be to count as rare in the target.
-CLEAR = 4.0
+#: What losing all held-out target documents costs, where keeping all others costs 1.
+LOSS = 25.0
+#: Weights of the doubt about a ratio: its logarithm shrinks by so many of its variances over its size.
+#: The one that tells held-out labels apart best is taken.
+DOUBTS = (6.0, 9.0, 14.0, 20.0)
 PREFIX = 6
-_WORD_BITS, _SHAPE_BITS = 17, 14
-#: Buckets of words, of word beginnings and of shapes, one after the other.
-BUCKETS = 2 * (1 << _WORD_BITS) + (1 << _SHAPE_BITS)
+_WORD_BITS, _SHAPE_BITS, _PAIR_BITS = 17, 14, 18
+#: Where the buckets of words, word beginnings, shapes and pairs begin.
+_STARTS, _SHAPES, _PAIRS = 1 << _WORD_BITS, 2 << _WORD_BITS, (2 << _WORD_BITS) + (1 << _SHAPE_BITS)
+BUCKETS = _PAIRS + (1 << _PAIR_BITS)
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MOST_CACHED = 300_000
 _AGAIN = np.uint64(5)
 
@@ -80,9 +82,11 @@ class Buckets:
         present = np.unique(numbers)
         words, starts = self._rows[0][present], self._rows[1][present]
         shift = np.uint64(64 - _WORD_BITS)
-        found = [words * _MIX >> shift, (starts * _MIX >> shift) + np.uint64(1 << _WORD_BITS)]
+        found = [words * _MIX >> shift, (starts * _MIX >> shift) + np.uint64(_STARTS)]
         shapes = self._rows[2][numbers]
         every_word = self._rows[0][numbers]
+        pairs = (every_word[:-1] * _MIX ^ every_word[1:] * _SECOND) * _MIX
+        found.append((pairs >> np.uint64(64 - _PAIR_BITS)) + np.uint64(_PAIRS))
         shapes[1:][every_word[1:] == every_word[:-1]] = _AGAIN
         for size in (3, 5):
             if len(shapes) >= size:
@@ -90,28 +94,42 @@ class Buckets:
                 for i in range(size):
                     run = run * _MIX + shapes[i:len(shapes) - size + 1 + i]
                 run ^= run >> np.uint64(29)
-                found.append((run * _MIX >> np.uint64(64 - _SHAPE_BITS)) + np.uint64(2 << _WORD_BITS))
+                found.append((run * _MIX >> np.uint64(64 - _SHAPE_BITS)) + np.uint64(_SHAPES))
         return np.unique(np.concatenate(found)).astype(np.int64)
 
 
-def _counts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+def bucketed(docs: DataFrame, keep: list[str], text_col: str, out: str) -> DataFrame:
+    """The columns `keep` of all rows and in `out` the buckets of their texts, as unsigned 32-bit numbers.
+
+    Every text is read whole, once; the rows are written to the shared folder.
+    """
+    ship(docs.sparkSession)
+
+    @F.arrow_udf("binary")
+    def buckets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = Buckets()
+        for texts in batches:
+            yield pa.array([own.of(t).astype(np.uint32).tobytes() for t in texts.to_pylist()], pa.binary())
+
+    return common.staged(docs.select(*keep, buckets(F.col(text_col)).alias(out)), "bucketed-documents")
+
+
+def _counts(rows: DataFrame, chosen: DataFrame, id_col: str, buckets: str) -> np.ndarray:
     """Documents, and target documents, with each bucket, and in the last place all of them.
 
-    Every text is read.  Each task gives one row for each bucket it has met, so
+    Each task gives one row for each bucket it has met, so
     that what is shuffled and what the driver gets is bounded by the buckets.
     """
-    marked = docs.select(id_col, text_col).join(
-        F.broadcast(chosen.select(F.col(id_col).alias("_id"), F.lit(1).alias("_target"))),
-        F.col(id_col) == F.col("_id"), "left")
+    marked = rows.select(F.col(id_col).alias("id"), F.col(buckets).alias("buckets")).join(
+        F.broadcast(chosen.select(F.col(id_col).alias("target"))), F.col("id") == F.col("target"), "left")
     schema = common.struct(("bucket", "int"), ("all_docs", "bigint"), ("target_docs", "bigint"))
-    ship(docs.sparkSession)
 
     def count(batches):
-        buckets, seen = Buckets(), np.zeros((2, BUCKETS + 1), np.int64)
+        seen = np.zeros((2, BUCKETS + 1), np.int64)
         for batch in batches:
             targets = batch.column(1).is_valid().to_pylist()
-            for text, target in zip(batch.column(0).to_pylist(), targets):
-                met = buckets.of(text)
+            for raw, target in zip(batch.column(0).to_pylist(), targets):
+                met = np.frombuffer(raw, np.uint32)
                 seen[0, met] += 1
                 seen[0, BUCKETS] += 1
                 if target:
@@ -122,26 +140,32 @@ def _counts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> n
             [pa.array(met.astype(np.int32)), pa.array(seen[0, met]), pa.array(seen[1, met])],
             schema.names)
 
-    counted = marked.select(text_col, "_target").mapInArrow(count, schema)
-    rows = counted.groupBy("bucket").agg(
+    counted = marked.select("buckets", "target").mapInArrow(count, schema)
+    found = counted.groupBy("bucket").agg(
         F.sum("all_docs").alias("all_docs"), F.sum("target_docs").alias("target_docs")).toPandas()
     out = np.zeros((2, BUCKETS + 1))
-    out[0, rows["bucket"]], out[1, rows["bucket"]] = rows["all_docs"], rows["target_docs"]
+    out[0, found["bucket"]], out[1, found["bucket"]] = found["all_docs"], found["target_docs"]
     return out
 
 
-def log_ratios(counts: np.ndarray, clear: float = CLEAR) -> np.ndarray:
-    """Logarithm of target share over raw share of each bucket, 0 where the target is not clearly rarer.
+def ratios(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each bucket the logarithm of target share over raw share, and how sure it is.
 
-    Without target documents all are 0.
+    With e target documents expected to have the bucket and t that have it, the ratio is
+    (t + 1) / (e + 1), and its logarithm has a variance of about 1 / (e + 1); the second number is its
+    square over that variance.  Without target documents all ratios are 1.
     """
     total, target = counts[:, BUCKETS]
     if not total or not target:
-        return np.zeros(BUCKETS)
-    expected = counts[0, :BUCKETS] * (target / total)
-    seen = counts[1, :BUCKETS]
-    rare = seen - expected < -clear * np.sqrt(expected)
-    return np.where(rare, np.log((seen + 1) / (expected + 1)), 0.0)
+        return np.zeros(BUCKETS), np.zeros(BUCKETS)
+    expected = counts[0, :BUCKETS] * (target / total) + 1
+    ratio = np.log((counts[1, :BUCKETS] + 1) / expected)
+    return ratio, ratio * ratio * expected
+
+
+def shrunk(ratio: np.ndarray, sure: np.ndarray, doubt: float) -> np.ndarray:
+    """The logarithms drawn towards 0 by their doubt; those in which there is more doubt than proof are 0."""
+    return ratio * np.maximum(0.0, 1 - doubt / np.maximum(sure, 1e-12))
 
 
 def gumbel(id_col: str, seed: int) -> Column:
@@ -150,49 +174,72 @@ def gumbel(id_col: str, seed: int) -> Column:
     return -F.log(-F.log((bits.cast("double") + 0.5) * F.lit(2.0 ** -53)))
 
 
-def target_sample(labels: DataFrame, sample_rows: int, id_col: str) -> DataFrame:
-    """(id, fit) of the target documents among the labelled rows with the smallest hashes.
+def labelled_sample(labels: DataFrame, sample_rows: int, id_col: str) -> DataFrame:
+    """(id, target, fit) of the labelled rows with the smallest hashes.
 
     Target documents are of good quality and not toxic in all of their labels; two thirds
-    are to fit the model and the others to place the cut.
+    of them are to fit the model.  The others, and all that are no target, place the cut.
     """
     one = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(
         F.min(F.col("quality")).alias("_quality"), F.max(F.col("toxic")).alias("_toxic"))
     draw = F.xxhash64(id_col)
     drawn = one.withColumn("_draw", draw).orderBy("_draw", id_col).limit(sample_rows)
-    return drawn.where("_quality = 1 AND _toxic = 0").select(
-        id_col, (F.pmod(F.shiftrightunsigned("_draw", 7), F.lit(3)) < 2).alias("fit"))
-
+    target = F.expr("_quality = 1 AND _toxic = 0")
+    fit = F.pmod(F.shiftrightunsigned("_draw", 7), F.lit(3)) < 2
+    return drawn.where("_quality IS NOT NULL AND _toxic IS NOT NULL").select(
+        id_col, target.alias("target"), (target & fit).alias("fit"))
 
-def scored(docs: DataFrame, labels: DataFrame, keep: list[str], sample_rows: int = SAMPLE_ROWS,
-           seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The columns `keep` of all rows with `_weight` and `_key`, and the sample of target ids.
 
-    `_weight` is the logarithm of the importance weight, `_key` that and a Gumbel
-    number.  A missing or empty text has weight 0.  The rows are written to the
-    shared folder, so that texts are scored once.
-    """
-    sample = common.staged(target_sample(labels, sample_rows, id_col), "target-sample")
-    counts = _counts(docs, sample.where("fit"), id_col, text_col)
-    context = docs.sparkSession.sparkContext
-    ratios = context.broadcast(log_ratios(counts).astype(np.float32))
+def _weighed(rows: DataFrame, table: np.ndarray, buckets: str, seed: int, id_col: str,
+             weight_col: str, key_col: str) -> DataFrame:
+    """The rows with the logarithm of the weight, and that and a Gumbel number, in place of the buckets."""
+    shared = rows.sparkSession.sparkContext.broadcast(table)
 
     @F.arrow_udf("double")
     def weight(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        buckets, table = Buckets(), ratios.value
-        for texts in batches:
-            yield pa.array([float(table[buckets.of(t)].sum()) for t in texts.to_pylist()], pa.float64())
+        table = shared.value
+        for raws in batches:
+            yield pa.array([float(table[np.frombuffer(r, np.uint32)].sum()) for r in raws.to_pylist()],
+                           pa.float64())
+
+    weighed = rows.withColumn(weight_col, weight(F.col(buckets))).drop(buckets)
+    return weighed.withColumn(key_col, F.col(weight_col) + gumbel(id_col, seed))
 
-    rows = docs.select(*keep, weight(F.col(text_col)).alias("_weight"))
-    rows = rows.withColumn("_key", F.col("_weight") + gumbel(id_col, seed))
-    return common.staged(rows, "weighted-documents"), sample
 
+def best_cut(target: np.ndarray, others: np.ndarray, loss: float = LOSS) -> tuple[float, float]:
+    """The least key to keep, by the keys of held-out target documents and of others, and its cost.
 
-def cut(keys: DataFrame, sample: DataFrame, target_share: float, id_col: str) -> float:
-    """The key that `target_share` of the held-out target documents reach; all reach it without any."""
-    held = keys.join(F.broadcast(sample.where("NOT fit")), id_col, "left_semi")
-    row = held.agg(F.percentile("_key", 1 - target_share)).first()
-    return float("-inf") if row[0] is None else row[0]
+    The cost is `loss` times the share of targets below it and the share
+    of others from it on; of cuts of equal cost it is the lowest.  Without targets or others all are kept.
+    """
+    if not len(target) or not len(others):
+        return float("-inf"), 1.0
+    target, others = np.sort(target), np.sort(others)
+    cuts = np.concatenate([[-np.inf], target])
+    lost = np.searchsorted(target, cuts) / len(target)
+    kept = 1 - np.searchsorted(others, cuts) / len(others)
+    costs = loss * lost + kept
+    return float(cuts[np.argmin(costs)]), float(costs.min())
+
+
+def _chosen(rows: DataFrame, sample: DataFrame, ratio: np.ndarray, sure: np.ndarray, buckets: str,
+            seed: int, id_col: str, loss: float) -> tuple[np.ndarray, float]:
+    """The shrunk ratios that tell held-out documents apart best, and the cut; of equals the most shrunk.
+
+    The sample bounds what the driver sees.
+    """
+    held = rows.select(F.col(id_col).alias("id"), F.col(buckets).alias("buckets")).join(
+        F.broadcast(sample.where("NOT fit").withColumnRenamed(id_col, "id")), "id")
+    held = common.staged(held, "held-out")
+    best = None
+    for doubt in sorted(DOUBTS, reverse=True):
+        table = shrunk(ratio, sure, doubt)
+        keys = _weighed(held, table, "buckets", seed, "id", "_weight", "_key").select("_key", "target").toPandas()
+        target, key = keys["target"].to_numpy(bool), keys["_key"].to_numpy()
+        least, cost = best_cut(key[target], key[~target], loss)
+        if best is None or cost < best[0]:
+            best = cost, table, least
+    return best[1:]
 
 
 def kth_largest(keys: DataFrame, k: int, bins: int = 1000, most: int = 10_000) -> float:
@@ -223,21 +270,30 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 1000, most: int = 10_000) -
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None,
-             target_share: float = TARGET_SHARE, sample_rows: int = SAMPLE_ROWS, seed: int = 7,
-             id_col: str = "doc_id", text_col: str = "text",
-             keep: list[str] | None = None) -> DataFrame:
-    """All rows of `docs`, with the columns `keep` or all, and `_weight`, `_key` and `_kept`.
-
-    The k rows with the largest keys are kept.  Without `k` it is as many as are
-    needed to reach `target_share` of target documents that the model has not seen.
-    Rows whose key equals the smallest one kept are kept too, so repeated rows share
+             loss: float = LOSS, sample_rows: int = SAMPLE_ROWS, seed: int = 7,
+             id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None,
+             names: tuple[str, str, str] = ("_weight", "_key", "_kept")) -> DataFrame:
+    """All rows of `docs`, with the columns `keep` or all, and weight, key and whether drawn, called `names`.
+
+    The k rows with the largest keys are drawn.  Without `k` it is as many as have the key that
+    parts target documents the model has not seen best from other labelled ones (`best_cut`).
+    Rows whose key equals the smallest one drawn are drawn too, so repeated rows share
     their fate.  Rows without a text have weight 0, rows without an id share one
-    Gumbel number.  Without labels nothing is rare in the target and all rows are
-    kept.  Columns of `docs` called like the three results are replaced.
+    Gumbel number.  Without labels all weights are 0 and all rows are drawn.
+    Kept columns must not be called like the results.
     """
-    docs = docs.drop("_weight", "_key", "_kept")
     keep = list(dict.fromkeys([id_col, *keep])) if keep is not None else docs.columns
-    rows, sample = scored(docs, labels, keep, sample_rows, seed, id_col, text_col)
-    keys = rows.select(id_col, "_key")
-    least = cut(keys, sample, target_share, id_col) if k is None else kth_largest(keys, k)
-    return rows.withColumn("_kept", F.col("_key") >= F.lit(least))
+    if clash := set(names) & set(keep):
+        raise ValueError(f"columns {sorted(clash)} are names of the result")
+    weight_col, key_col, kept_col = names
+    buckets = common.free(docs, "_buckets")
+    sample = common.staged(labelled_sample(labels, sample_rows, id_col), "labelled-sample")
+    rows = bucketed(docs, keep, text_col, buckets)
+    ratio, sure = ratios(_counts(rows, sample.where("fit"), id_col, buckets))
+    table, least = _chosen(rows, sample, ratio, sure, buckets, seed, id_col, loss)
+    narrow = rows.select(F.col(id_col).alias("id"), F.col(buckets).alias("buckets"))
+    keys = common.staged(_weighed(narrow, table, "buckets", seed, "id", "_weight", "_key"), "document-keys")
+    if k is None:
+        k = keys.where(F.col("_key") >= F.lit(least)).count()
+    drawn = _weighed(rows, table, buckets, seed, id_col, weight_col, key_col)
+    return drawn.withColumn(kept_col, F.col(key_col) >= F.lit(kth_largest(keys, k)))

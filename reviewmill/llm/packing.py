@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,18 +112,25 @@ def plan(counts: dict[int, int], capacity: int) -> list[Slot]:
 
 
 class Encoder:
-    """Ids of byte_bpe_50k; special tokens in a text are ordinary text."""
+    """Ids of byte_bpe_50k, as the tokenizer file gives them without special tokens around a text.
+
+    Texts that hold the string of an added token go through the tokenizer itself, which gives that token's id.
+    """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        with open(json_path, encoding="utf-8") as file:
+            self._added = [t["content"] for t in json.load(file)["added_tokens"]]
         self._json_path = json_path
         self._fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._plain = None
 
     def ids(self, text: str) -> list[int]:
+        if any(token in text for token in self._added):
+            return self._slow(text)
         try:
             return self._fast.encode_ordinary(text)
         except BaseException as error:  # a panic of the extension, on texts it cannot split
@@ -139,7 +147,6 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self._plain = Tokenizer.from_file(self._json_path)
-            self._plain.encode_special_tokens = True
         return self._plain.encode(text, add_special_tokens=False).ids
 
 

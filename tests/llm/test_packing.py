@@ -15,7 +15,6 @@ SF = "/root/testdata/sf0.01"
 @pytest.fixture(scope="module")
 def plain():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -83,11 +82,12 @@ def test_query_equals_the_plain_tokenizer(spark, plain):
 
 
 def test_odd_texts(spark, plain, tmp_path):
-    odd = [None, "", "a", "<|endoftext|> x", " " * 5000, "é\U0001F600\n\n\t don't", "z" * 9000, "12 34 ... !!"]
+    odd = [None, "", "a", "a <|endoftext|> b<|endoftext|>", "<|endoftext|", "<|ENDOFTEXT|>", " " * 5000, "é\U0001F600\n\n\t don't", "z" * 9000, "12 34 ... !!"]
     docs = spark.createDataFrame([(i, t, 3, "x") for i, t in enumerate(odd)],
                                  "doc_id long, text string, length int, chunk string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     check(queries.op9_best_fit_packing(spark, str(tmp_path)).collect(), dict(enumerate(odd)), plain, 2048)
+    assert plain(odd[3])[:3] == [64, 220, 50256]
     twice = packing.pack(docs.unionAll(docs), 16).collect()
     filled([(r.sequence_id, r.offset, r.length) for r in twice], 16)
     ids = defaultdict(list)

@@ -174,25 +174,30 @@ def without_secrets(docs: DataFrame, reach: int = REACH, mask: str = "[secret]",
                     text_col: str = "text") -> DataFrame:
     """All rows and columns of `docs`, every span in a text replaced by `mask`.
 
-    Overlapping spans become one mask.  Only rows that may hold a span are moved;
-    they find their spans by their text, so equal texts are searched once.  A
-    missing text stays missing.
+    Overlapping spans become one mask.  Only rows that may hold a span are written, with a number
+    by which they find their spans, so copies of a text are dealt out like all others.  A
+    missing text stays missing; other columns can have any name.
     """
     suspect = _suspect(F.col(text_col))
-    some = docs.where(suspect)
-    found = scan(some.select(F.col(text_col).alias("_text")).distinct(), reach, "_text", "_text")
-    found = common.staged(
-        found.where("size(spans) > 0").withColumnRenamed("spans", "_spans"), "secret-spans")
-    cut = F.expr(
-        "aggregate(_spans, named_struct('out', array(''), 'at', 0L), (s, x) -> named_struct("
-        "'out', CASE WHEN x.end <= s.at THEN s.out WHEN x.start < s.at THEN s.out ELSE s.out || array("
-        "substring(_text, CAST(s.at + 1 AS INT), CAST(x.start - s.at AS INT))) END, "
-        "'at', greatest(s.at, x.end)))")
-    tail = F.expr("substring(_text, CAST(_cut.at + 1 AS INT))")
-    clean = found.withColumn("_cut", cut).select(
-        "_text", F.concat(F.array_join(F.slice("_cut.out", 2, F.size("_cut.out")), mask),
-                          F.lit(mask), tail).alias("_clean"))
-    joined = some.join(clean, F.col(text_col) == F.col("_text"), "left").select(*(
-        F.coalesce("_clean", text_col).alias(c) if c == text_col else F.col(c)
+    row, spans_col, cut_col = (common.free(docs, name) for name in ("_row", "_spans", "_cut"))
+    some = common.staged(
+        docs.where(suspect).withColumn(row, F.monotonically_increasing_id()), "suspect-texts")
+    found = scan(some.select(row, text_col), reach, row, text_col).where("size(spans) > 0")
+    found = common.staged(found.withColumnRenamed("spans", spans_col), "secret-spans")
+    text, at = F.col(text_col), F.lit(0).cast("bigint")
+
+    def step(state: Column, span: Column) -> Column:
+        piece = F.substring(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
+        known = (span["end"] <= state["at"]) | (span["start"] < state["at"])
+        return F.struct(
+            F.when(known, state["out"]).otherwise(F.concat(state["out"], F.array(piece))).alias("out"),
+            F.greatest(state["at"], span["end"]).alias("at"))
+
+    begin = F.struct(F.array().cast("array<string>").alias("out"), at.alias("at"))
+    cut = F.aggregate(F.col(spans_col), begin, step)
+    tail = F.substring(text, (F.col(cut_col)["at"] + 1).cast("int"), F.length(text))
+    clean = F.concat(F.array_join(F.col(cut_col)["out"], mask), F.lit(mask), tail)
+    joined = some.join(found, row, "left").withColumn(cut_col, cut).select(*(
+        F.when(F.col(cut_col).isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(c)
         for c in docs.columns))
     return docs.where(~suspect).unionByName(joined)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewmill.llm import common
 from reviewmill.llm.components import components
+from reviewmill.operators import duplicates
 
 GROUPS = 8
 SEED = 42
@@ -62,6 +63,11 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id",
     return common.map_rows(docs.select(*names, text_col), schema, run)
 
 
+def _bytes(fp: Column) -> Column:
+    """The fingerprint as eight bytes."""
+    return F.unhex(F.lpad(F.hex(fp), 16, "0"))
+
+
 def embed(fp: Column) -> Column:
     """Bit counts of the 32 two-bit segments, each again in two bits."""
     low = F.lit(_EVEN_BITS)
@@ -134,18 +140,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, groups
     give repeated results; a missing id never is the smallest.  Other columns of
     `docs` are left out.  An empty table gives an empty table.
     """
-    every = common.staged(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = common.staged(
-        every.groupBy("fingerprint").agg(F.min(id_col).alias("_first")), "fingerprint-classes")
+    prints = fingerprints(docs, shingle, id_col, text_col)
+    every = common.staged(prints.withColumn("_row", F.monotonically_increasing_id()), "fingerprints")
+    classes = common.staged(every.groupBy("fingerprint").agg(
+        F.min(id_col).alias("_first"), F.count("*").alias("copies")), "fingerprint-classes")
     roots = components(links(classes.select("fingerprint"), distance, groups))
     linked = classes.join(roots, F.col("fingerprint") == F.col("node"))
     firsts = linked.groupBy("root").agg(F.min("_first").alias("_least"))
-    joined = linked.join(firsts, "root").select("fingerprint", "_least")
-    least = classes.join(joined, "fingerprint", "left").select(
-        F.col("fingerprint"),
-        F.when(F.col("_least").isNull(), F.col("_first")).otherwise(F.col("_least"))
-        .alias("component_id"))
-    return every.join(least, "fingerprint").select(id_col, "fingerprint", "component_id")
+    joined = linked.join(firsts, "root").select(F.col("fingerprint").alias("_linked"), "_least")
+    least = classes.join(joined, F.col("fingerprint") == F.col("_linked"), "left").select(
+        _bytes(F.col("fingerprint")).alias("dup_key"),
+        F.when(F.col("_linked").isNull(), F.col("_first")).otherwise(F.col("_least")).alias("first_id"),
+        "copies")
+    # Fingerprints of most rows are broadcast, so that their rows are dealt out.
+    found = duplicates.attach_groups(
+        every.withColumn("_key", _bytes(F.col("fingerprint"))), common.staged(least, "fingerprint-groups"),
+        "_key", row_id="_row")
+    return found.select(id_col, "fingerprint", F.col("_first_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: int = GROUPS,
@@ -156,9 +167,7 @@ def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: in
     The leaders grow with the documents, so they are never broadcast: rows meet them
     in one shuffle, whatever the size.
     """
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
+    row = common.free(docs, "_row")
     # Written with their numbers, so that they are the same whenever rows are read.
     rows = common.staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
     own = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(row).alias("row"))
@@ -168,6 +177,5 @@ def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: in
     roots = components(links(classes.select("fingerprint"), distance, groups))
     leaders = classes.join(roots, F.col("fingerprint") == F.col("node"), "left").groupBy(
         F.coalesce("root", "fingerprint").alias("_group")).agg(F.min("_first").alias("_least"))
-    leaders = common.staged(leaders.select(F.col("_least.row").alias("_leader")), "leaders")
-    led = rows.join(leaders.hint("shuffle_hash"), F.col(row) == F.col("_leader"))
-    return led.select(*docs.columns)
+    leaders = common.staged(leaders.select(F.col("_least.row").alias(row)), "leaders")
+    return rows.join(leaders.hint("shuffle_hash"), row, "left_semi").select(*docs.columns)

@@ -140,7 +140,8 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url_col: st
     found = _sweep(asked.select("key").distinct(), given, blocks)
     longest = F.max(F.struct(F.length("rule").alias("size"), F.length("key").alias("deep"),
                              "rule", "verdict"))
-    best = asked.join(found, "key").groupBy("host", "path").agg(longest.alias("best"))
+    name = common.free(read, "best")
+    best = asked.join(found, "key").groupBy("host", "path").agg(longest.alias(name))
     return read.join(best, ["host", "path"], "left").select(
-        *keep, "host", "path", F.col("best.rule").alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+        *keep, "host", "path", F.col(name)["rule"].alias("rule"),
+        F.coalesce(F.col(name)["verdict"], F.lit(default)).alias("verdict"))

@@ -97,3 +97,16 @@ def test_masking(spark):
                     (5, "[secret]", "k"), (5, "[secret]", "k"), (6, "[secret] end", "k"),
                     (7, "token=ab AKIA", "k")]
     assert got.where(F.col("text").isNull()).count() == 1
+
+
+def test_columns_of_any_name_and_copies_of_a_text(spark):
+    text = "password=abcdefgh1 and more"
+    rows = [(i, text if i % 3 else None, "t", "c", 1, 2, 3) for i in range(12)] + [(99, "nothing", "t", "c", 1, 2, 3)]
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string, _text string, _clean string, _row int, _Spans int, _cut int")
+    out = secrets.without_secrets(docs.repartition(4))
+    assert out.columns == docs.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == 13 and {tuple(r[2:]) for r in got.values()} == {("t", "c", 1, 2, 3)}
+    assert {r.text for i, r in got.items() if i % 3 and i < 99} == {"[secret] and more"}
+    assert got[0].text is None and got[99].text == "nothing"

@@ -3,6 +3,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from reviewmill.llm import components, queries, simhash
 
@@ -95,3 +96,30 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components.components(
         spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(50)}}
+
+
+def test_columns_of_any_name(spark):
+    rows = [(i, "one two three four five", i, i, "x") for i in range(5)] + [(9, "other words altogether", 9, 9, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row long, _leader long, _First string")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert {(r.doc_id, r._row, r._leader, r._First) for r in kept.collect()} == {(0, 0, 0, "x"), (9, 9, 9, "x")}
+
+
+def test_copies_are_dealt_out(spark):
+    """A third of the rows share a fingerprint; no task of the last join has many more rows than the others."""
+    docs = spark.range(3000).selectExpr(
+        "id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'copy' ELSE concat_ws(' ', 'text', id, id * 7, id * 13, 'end') END AS text")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = simhash.near_duplicates(docs, distance=0, groups=4)
+        sizes = sorted(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect())
+        assert len(sizes) == 16 and sizes[-1] < 2 * sizes[8]
+        assert found.where("doc_id % 3 = 0 AND component_id = 0").count() == 1000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -56,3 +56,10 @@ def test_empty_tables(spark):
     assert urls.judge(pages.limit(0), rules).collect() == []
     with pytest.raises(ValueError):
         urls.judge(pages, rules, keep=("host",))
+
+
+def test_kept_columns_of_any_name(spark):
+    pages = spark.createDataFrame([("http://a.net/x", 7, 8)], "url string, best int, Best_ int")
+    rules = spark.createDataFrame([("net", "/", "block")], "host string, path string, verdict string")
+    got = urls.judge(pages, rules, keep=("best", "Best_")).first()
+    assert (got["best"], got["Best_"], got["rule"], got["verdict"]) == (7, 8, "net/", "block")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewmill.llm import decontaminate, packing, resample, secrets, simhash
-from reviewmill.llm.common import staged, table
+from reviewmill.llm.common import free, staged, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling does not draw go."""
-    found = resample.resample(docs, table(spark, sf_dir, "labels"))
-    return found.where("_kept").select(*docs.columns)
+    names = tuple(free(docs, name) for name in ("_weight", "_key", "_kept"))
+    found = resample.resample(docs, table(spark, sf_dir, "labels"), names=names)
+    return found.where(F.col(names[2])).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

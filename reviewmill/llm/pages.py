@@ -13,15 +13,15 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewmill.llm import common
 from reviewmill.llm.urls import host
+from reviewmill.operators import duplicates
 
-#: A subtree is a template if it stands on so many pages of its host, and on such a share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.2
-#: A page that would lose more of its text may be a copy: all pages with the same rest count as one.
-MOST_DELETED = 0.5
+#: A subtree is a template if it frames so many different pages of a host or of a section of it, and such a
+#: share of them; the second share is for containers inside an article.
+LEAST_PAGES, LEAST_SHARE, INSIDE_SHARE = 5, 0.05, 0.2
 
 _TOKEN = re.compile(
     r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)"
@@ -213,7 +213,9 @@ class Page:
             inner.hash.update(digest)
         loose = not element.main and element.tag not in ("html", "body", "")
         if loose or element.tag in _CONTAINERS and inner.main:
-            self.hashes[element.number] = int.from_bytes(digest, "big", signed=True) or 1
+            # The last bit says whether the element stands inside an article; 0 is no hash.
+            number = int.from_bytes(digest, "big", signed=True) >> 1 << 1 or 2
+            self.hashes[element.number] = number + (not loose)
 
     def _close(self, tag: str) -> None:
         """Close up to the nearest open element of this name; a stray end is passed over."""
@@ -272,15 +274,15 @@ def _signed(columns: list) -> pa.Array:
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
            html_col: str = "html") -> DataFrame:
-    """(id, url, host, texts, chains): per block its text and the hashes of the subtrees it is in."""
+    """(id, url, host, section, texts, around, hashes, parents): blocks with their element, elements with hash and parent."""
     schema = common.struct(
-        (id_col, common.id_type(pages, id_col)), (url_col, "string"), ("host", "string"),
+        (id_col, common.id_type(pages, id_col)), (url_col, "string"), ("host", "string"), ("section", "string"),
         ("texts", "array<string>"), ("around", "array<int>"), ("hashes", "array<bigint>"),
         ("parents", "array<int>"))
 
     def run(batch: pa.RecordBatch) -> dict:
         texts, around, hashes, parents = [], [], [], []
-        for source in batch.column(3).to_pylist():
+        for source in batch.column(4).to_pylist():
             page = Page(source or "")
             chosen = page.main_blocks()
             texts.append([page.texts[i].encode("utf-8", "replace").decode() for i in chosen])
@@ -288,23 +290,37 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             hashes.append(page.hashes)
             parents.append(page.parents)
         return {id_col: batch.column(0), url_col: batch.column(1), "host": batch.column(2),
-                "texts": pa.array(texts, pa.list_(pa.string())),
+                "section": batch.column(3), "texts": pa.array(texts, pa.list_(pa.string())),
                 "around": pa.array(around, pa.list_(pa.int32())),
                 "hashes": _signed(hashes), "parents": pa.array(parents, pa.list_(pa.int32()))}
 
-    read = pages.select(id_col, url_col, host(F.col(url_col)).alias("host"), html_col)
+    section = F.coalesce(F.regexp_extract(url_col, "://[^/?#]*/([^/?#]*)/", 1), F.lit(""))
+    read = pages.select(F.col(id_col), F.col(url_col), host(F.col(url_col)).alias("host"),
+                        section.alias("section"), F.col(html_col))
     return common.map_rows(read, schema, run)
 
 
-def templates(blocks: DataFrame, least_pages: int, least_share: float) -> DataFrame:
-    """(host, hash, pages) of the subtrees that recur across many pages of their host."""
-    known = blocks.where("host <> ''")
-    pages = known.groupBy("host").agg(F.count("*").alias("all_pages"))
-    seen = known.select("host", F.explode(F.array_distinct("hashes")).alias("hash")).where("hash <> 0")
-    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("pages"))
-    counts = counts.where(F.col("pages") >= least_pages)
-    return counts.join(pages, "host").where(F.col("pages") >= least_share * F.col("all_pages")).select(
-        "host", "hash", "pages")
+def recurring(blocks: DataFrame, least_pages: int) -> DataFrame:
+    """(row, host, section, hash) of the subtrees that stand on several pages of their host, copies or not.
+
+    Counts are combined before the shuffle; subtrees on very many pages find them by broadcast (`attach_groups`).
+    """
+    on_page = blocks.where("host <> ''").select(
+        "row", "host", "section", F.explode(F.array_distinct("hashes")).alias("hash")).where("hash <> 0")
+    return _marked(on_page, on_page.groupBy("host", "hash").agg(F.count("*").alias("copies"))
+                   .where(F.col("copies") >= least_pages))
+
+
+def _key() -> Column:
+    return F.encode(F.concat_ws(" ", "hash", "host"), "utf-8")
+
+
+def _marked(on_page: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of `on_page` whose (host, hash) is among those of `chosen`, which says how many rows that are."""
+    groups = common.staged(chosen.select(
+        _key().alias("dup_key"), F.lit(0).cast("bigint").alias("first_id"), "copies"), "page-subtrees")
+    found = duplicates.attach_groups(on_page.withColumn("_key", _key()), groups, "_key", row_id="row")
+    return found.where("_copies IS NOT NULL").drop("_first_id", "_copies")
 
 
 def _kept(texts: list[str], around: list[int], hashes: list[int], parents: list[int],
@@ -317,57 +333,63 @@ def _kept(texts: list[str], around: list[int], hashes: list[int], parents: list[
     return [t for t, i in zip(texts, around) if not gone[i]]
 
 
-def _rest(row: int, texts: list[str], kept: list[str]) -> str | None:
-    """What a page counts as for its templates; None if nothing is left of it."""
-    if not kept:
-        return None
-    if sum(map(len, kept)) >= (1 - MOST_DELETED) * sum(map(len, texts)):
-        return str(row)
-    return "rest " + xxhash.xxh3_128_hexdigest("\n".join(kept).encode("utf-8", "surrogatepass"))
+def framing(blocks: DataFrame, found: DataFrame, least_pages: int, least_share: float,
+            inside_share: float) -> DataFrame:
+    """(host, hash, copies) of the templates among the recurring subtrees `found`.
 
-
-def framing(blocks: DataFrame, candidates: DataFrame, least_pages: int) -> DataFrame:
-    """(host, hash) of the `candidates`, by row, that frame enough pages whose rest differs."""
-    schema = common.struct(("host", "string"), ("candidates", "array<bigint>"), ("rest", "string"))
+    What is left of a page without any of them is its rest.  Pages with one rest are
+    copies and count once, as do repeated rows; pages without a rest say nothing.  A template has enough
+    rests, and enough of all rests of its host or of one of the host's sections.
+    """
+    schema = common.struct(("row", "bigint"), ("host", "string"), ("section", "string"), ("rest", "binary"))
 
     def run(batch: pa.RecordBatch) -> dict:
-        columns = [c.to_pylist() for c in batch.columns[1:]]
-        rests = [_rest(row, t, _kept(t, a, h, p, set(d))) for row, t, a, h, p, d in zip(*columns)]
-        return {"host": batch.column(0), "candidates": batch.column(6), "rest": rests}
+        columns = [c.to_pylist() for c in batch.columns[3:]]
+        left = ["\n".join(_kept(t, a, h, p, set(d or ()))) for t, a, h, p, d in zip(*columns)]
+        return {"row": batch.column(0), "host": batch.column(1), "section": batch.column(2), "rest": [
+            xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) if x else None for x in left]}
+
+    candidates = found.groupBy("row").agg(F.collect_list("hash").alias("candidates"))
+    joined = blocks.where("host <> ''").join(candidates, "row", "left").select(
+        "row", "host", "section", "texts", "around", "hashes", "parents", "candidates")
+    rests = common.staged(common.map_rows(joined, schema, run).where("rest IS NOT NULL"), "page-rests")
+    votes = found.select("row", "hash").join(rests, "row")
+
+    def shares(*of: str) -> DataFrame:
+        """(host, hash, copies) by hosts or by sections."""
+        sizes = rests.select(*of, "rest").distinct().groupBy(*of).agg(F.count("*").alias("size"))
+        cast = votes.groupBy(*of, "hash", "rest").agg(F.count("*").alias("rows")).groupBy(*of, "hash").agg(
+            F.count("*").alias("rests"), F.sum("rows").alias("copies")).where(F.col("rests") >= least_pages)
+        share = F.when(F.pmod("hash", F.lit(2)) == 1, inside_share).otherwise(least_share)
+        return cast.join(sizes, [*of]).where(F.col("rests") >= share * F.col("size")).select(
+            "host", "hash", "copies")
 
-    joined = blocks.join(candidates, "row").select(
-        "host", "row", "texts", "around", "hashes", "parents", "candidates")
-    seen = common.map_rows(joined, schema, run).where("rest IS NOT NULL")
-    return seen.select("host", F.explode("candidates").alias("hash"), "rest").groupBy("host", "hash").agg(
-        F.countDistinct("rest").alias("rests")).where(F.col("rests") >= least_pages).select("host", "hash")
+    return shares("host").unionByName(shares("host", "section")).groupBy("host", "hash").agg(
+        F.max("copies").alias("copies"))
 
 
 def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE,
-              id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+              inside_share: float = INSIDE_SHARE, id_col: str = "page_id", url_col: str = "url",
+              html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every row of `pages`, from the whole page.
 
     The text is the article if one is marked, else the page without the parts that
-    name themselves something else; in both, subtrees that stand on at least
-    `least_pages` pages and `least_share` of the pages of their host are deleted. In an
-    article only containers can be templates; prose stays.  Copies of an article are told
-    from templates by what is left of the pages without any recurring subtree: a template
-    needs `least_pages` different rests.  A page that keeps half of its text counts as
-    different from all others, one that keeps nothing does not count.  Blocks are joined
+    name themselves something else; in both, templates are deleted: subtrees that frame at least
+    `least_pages` different pages of their host, or of a section of it (by the first part of the path), and
+    `least_share` of them; `inside_share` in an article, where only containers can be templates and prose
+    stays.  Pages that are equal but for recurring subtrees are copies and count once, so a
+    page alone and the same page many times have the same text.  Blocks are joined
     by a line feed, white space in a block is one space, character references are
     decoded.  Missing or empty pages have an empty text; a page without a host
-    has no templates.  Repeated rows give repeated results and count as pages.
+    has no templates.  Repeated rows give repeated results.
     Other columns are left out.  Broken markup never fails: stray ends are passed
     over, open elements end with the page.
     """
     blocks = common.staged(
         parsed(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id()),
         "page-blocks")
-    recurring = templates(blocks, least_pages, least_share)
-    on_page = blocks.select("row", "host", F.explode(F.array_distinct("hashes")).alias("hash"))
-    found = common.staged(
-        on_page.where("hash <> 0 AND host <> ''").join(recurring, ["host", "hash"], "left_semi"), "page-recurring")
-    candidates = found.groupBy("row").agg(F.collect_list("hash").alias("candidates"))
-    deleted = found.join(framing(blocks, candidates, least_pages), ["host", "hash"], "left_semi")
+    found = common.staged(recurring(blocks, least_pages), "page-recurring")
+    deleted = _marked(found, framing(blocks, found, least_pages, least_share, inside_share))
     deleted = common.staged(
         deleted.groupBy("row").agg(F.collect_list("hash").alias("deleted")), "page-templates")
     schema = common.struct((id_col, common.id_type(pages, id_col)), (url_col, "string"),

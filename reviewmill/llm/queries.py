@@ -72,6 +72,15 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages"))
 
 
+def site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles of the pages with no mark around them, under a menu and a notice of their host."""
+    body = F.regexp_extract("html", "(?s)<article>(.*?)(?:</article>|$)", 1)
+    where = urls.host(F.col("url"))
+    framed = F.concat(F.lit("<main><div><p>Welcome to "), where, F.lit("</p><ul><li>Home</li><li>Help</li></ul></div>"
+                      "<section>All rights with "), where, F.lit("</section><p></p>"), body)
+    return pages.main_text(table(spark, sf_dir, "pages").withColumn("html", framed))
+
+
 def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = langid.held_out(F.col("doc_id"), folds=5)
@@ -91,7 +100,7 @@ QUERIES = {q.__name__: q for q in (
     op1_quality_rules, op2_url_filters, op3_benchmark_decontamination,
     op4_lm_scoring, op5_secret_scans, op6_simhash_near_dedup,
     op7_importance_resampling, op8_chat_formatting, op9_best_fit_packing, op10_html_extraction,
-    op11_language_id, op12_target_resampling, op13_centroid_clustering,
+    site_templates, op11_language_id, op12_target_resampling, op13_centroid_clustering,
 )}
 
 def _clustering_sql(clusters: int = 40, rounds: int = 5, size: int = 64, scale: int = 256, seed: int = 2) -> str:
@@ -146,6 +155,18 @@ _TARGET_SQL = r"""
     SELECT doc_id, n_words, n_words AS n_features, weight, score,
         CASE WHEN n_words >= 20 AND place_in <= fitting * 10 // 100 THEN place_in END AS rank FROM ranked"""
 
+#: The tables mark every article, and hold few kinds of elements and references.
+_ARTICLES = r"""
+        WITH bodies AS (SELECT page_id, url,
+            regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages),
+        blocks AS (SELECT page_id, url, list_filter(list_transform(
+            string_split_regex(body, '</?(?:p|h1|div|ul|li)>'), lambda b: trim(regexp_replace(
+                regexp_replace(replace(replace(replace(replace(
+                    regexp_replace(b, '<[^>]*>?', ' ', 'g'),
+                    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;?', '&', 'g'),
+                '\s+', ' ', 'g'))), lambda b: b <> '') AS parts FROM bodies),
+        articles AS (SELECT page_id, url, array_to_string(parts, chr(10)) AS text FROM blocks)"""
+
 SQL = {
     "op12_target_resampling": _TARGET_SQL,
     "op13_centroid_clustering": _clustering_sql(),
@@ -170,16 +191,14 @@ SQL = {
     # The tables give every row its role and hold no marker inside a text.
     "op8_chat_formatting": """SELECT conv_id, turn, CAST(0 AS INT) AS piece, role, text,
         concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)) AS rendered FROM conversations""",
-    # The tables mark every article, and hold few kinds of elements and references.
-    "op10_html_extraction": r"""
-        WITH bodies AS (SELECT page_id, url,
-            regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages),
-        blocks AS (SELECT page_id, url, list_filter(list_transform(
-            string_split_regex(body, '</?(?:p|h1|div|ul|li)>'), lambda b: trim(regexp_replace(
-                regexp_replace(replace(replace(replace(replace(
-                    regexp_replace(b, '<[^>]*>?', ' ', 'g'),
-                    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;?', '&', 'g'),
-                '\s+', ' ', 'g'))), lambda b: b <> '') AS parts FROM bodies)
-        SELECT page_id, url, array_to_string(parts, chr(10)) AS text,
-            CAST(length(array_to_string(parts, chr(10))) AS BIGINT) AS n_chars FROM blocks""",
+    "op10_html_extraction": f"""{_ARTICLES}
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM articles""",
+    # The menu and the notice stay where fewer than five articles are different.
+    "site_templates": f"""{_ARTICLES},
+        hosts AS (SELECT *, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM articles),
+        many AS (SELECT host FROM hosts WHERE text <> '' GROUP BY host HAVING count(DISTINCT text) >= 5),
+        framed AS (SELECT page_id, url, CASE WHEN host IN (SELECT host FROM many) THEN text ELSE concat('Welcome to ',
+            host, chr(10), 'Home', chr(10), 'Help', chr(10), 'All rights with ', host, chr(10), text) END AS text FROM hosts)
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM framed""",
 }

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from reviewmill.llm import pages, queries
 
@@ -72,9 +73,9 @@ def test_templates_of_a_site_go(spark):
 
 def test_prose_of_articles_stays_where_it_recurs(spark):
     box = "<div>Share this</div>"
-    rows = [(i, "http://a.example/x", f"<article><p>same words</p>{box}</article>", "x") for i in range(9)]
-    got = pages.main_text(frame(spark, rows)).collect()
-    assert [r.text for r in got] == ["same words"] * 9
+    rows = [(i, "http://a.example/x", f"<article><p>same words</p><p>tale {i}</p>{box}</article>", "x") for i in range(9)]
+    got = {r.page_id: r.text for r in pages.main_text(frame(spark, rows)).collect()}
+    assert got == {i: f"same words\ntale {i}" for i in range(9)}
 
 
 def test_copies_of_a_page_are_no_template(spark):
@@ -98,6 +99,56 @@ def test_large_templates_go_and_large_parts_of_copies_stay(spark):
     assert got[114] == "tale 14"
 
 
+PAGE = ("<article><h1>T</h1><p>the story</p><ul><li>a</li><li>b</li></ul><table><tr><td>1</td></tr></table>"
+        "<div><p>most of the text of this page</p></div></article>")
+
+
+@pytest.mark.parametrize("source", [PAGE, PAGE.replace("article", "div"), "<p>a</p><div>b</div>"])
+@pytest.mark.parametrize("times", [6, 60])
+def test_a_page_told_many_times_equals_itself(spark, source, times):
+    alone = pages.main_text(frame(spark, [(0, "http://a.example/x", source, "x")])).first().text
+    rows = [(i, f"http://a.example/{i}", source, "x") for i in range(times)]
+    other = [(100 + i, f"http://a.example/o{i}", f"<article><p>other {i}</p></article>", "x") for i in range(9)]
+    got = {r.page_id: r.text for r in pages.main_text(frame(spark, rows + other)).collect()}
+    assert {got[i] for i in range(times)} == {alone} and alone.count("\n") >= 1
+    assert got[104] == "other 4"
+
+
+def test_menus_of_sections_and_of_some_pages_go(spark):
+    menu = "<div><p>section menu</p><p>more of it</p></div>"
+    advert = "<section>Buy now</section>"
+    rows = [(i, f"http://a.example/{'en' if i < 12 else 'de'}/{i}",
+             f"{menu if i < 6 else ''}{advert if i % 10 == 3 else ''}<p>story {i}</p>", "x") for i in range(80)]
+    quoted = [(200 + i, f"http://b.example/{i}", f"<article><p>tale {i}</p>"
+               + ("<ul><li>quoted here and there</li></ul>" if i < 6 else "") + "</article>", "x") for i in range(80)]
+    got = {r.page_id: r.text for r in pages.main_text(frame(spark, rows + quoted)).collect()}
+    assert all(got[i] == f"story {i}" for i in range(80))
+    # Inside an article it takes a larger share.
+    assert got[203] == "tale 3\nquoted here and there"
+
+
+def test_switching_templates_off_changes_the_result(spark):
+    found = queries.site_templates(spark, SF).where("text LIKE 'Welcome%'").count()
+    source = spark.read.parquet(f"{SF}/pages.parquet")
+    assert 0 < found < source.count() / 2
+
+
+def test_a_menu_on_every_page_is_dealt_out(spark):
+    rows = [(i, f"http://a.example/{i}", f"<div>menu</div><p>story {i}</p>", "x") for i in range(2000)]
+    blocks = pages.parsed(frame(spark, rows), "page_id").withColumn("row", F.col("page_id"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        sizes = [r["count"] for r in pages.recurring(blocks, 5).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 2000 and max(sizes) < 400
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_deep_and_empty(spark):
     rows = [(1, "u://h", "<div>" * 5000 + "deep", "x"), (1, "u://h", "<div>" * 5000 + "deep", "x")]
     assert [r.text for r in pages.main_text(frame(spark, rows)).collect()] == ["deep", "deep"]

@@ -8,7 +8,9 @@ algorithm finds the least edit distance of the item to any part of the text.
 
 from __future__ import annotations
 
+import functools
 import re
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,8 +23,9 @@ from reviewmill.sources.ship import ship
 
 #: Edits allowed, as a share of the words of an item: a similarity of 0.8.
 BUDGET = 0.2
-#: Characters of items that are searched for in one pass over the documents.
-BLOCK_CHARS = 32_000_000
+#: Characters of items that are searched for in one pass over the documents; a worker's automaton takes
+#: about 100 bytes for each.
+BLOCK_CHARS = 2_500_000
 _WORD = re.compile(r"\w+")
 LEAK = "array<struct<item:bigint,edits:int,words:int,start_word:int,end_word:int>>"
 
@@ -97,7 +100,7 @@ class Pattern:
 
 @dataclass
 class Matcher:
-    """Finds a block of items in texts; made once in each Python worker."""
+    """Finds a block of items in texts."""
 
     items: list[tuple[int, list[str]]]
     share: float
@@ -160,6 +163,18 @@ class Matcher:
         return sorted(out)
 
 
+#: The matcher that this Python worker used last, by the name of its block.
+_MADE: dict[str, Matcher] = {}
+
+
+def _matcher(block: str, items, share: float) -> Matcher:
+    """The matcher of a block; tasks of one worker that search for the same block share it."""
+    if block not in _MADE:
+        _MADE.clear()
+        _MADE[block] = Matcher(items.value, share)
+    return _MADE[block]
+
+
 def _texts(benchmark: DataFrame, item_text: str) -> DataFrame:
     """(text, number) of the distinct texts of the items."""
     texts = benchmark.where(F.length(item_text) > 0).select(F.col(item_text).alias("text")).distinct()
@@ -175,16 +190,16 @@ def _blocks(texts: DataFrame, block_chars: int) -> Iterator[list[tuple[int, list
         yield [(r.number, w) for r in sorted(rows, key=lambda r: r.number) if (w := words_of(r.text))]
 
 
-def _finder(docs: DataFrame, items: list[tuple[int, list[str]]], share: float):
-    """An Arrow function from texts to the leaks of this block, by number of the item's text."""
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    names = ("item", "edits", "words", "start_word", "end_word")
+def _finder(shared, share: float):
+    """An Arrow function from texts to the leaks of a broadcast block, by number of the item's text."""
+    names, block = ("item", "edits", "words", "start_word", "end_word"), uuid.uuid4().hex
     kind = pa.list_(pa.struct([(n, pa.int64() if n == "item" else pa.int32()) for n in names]))
 
     @F.arrow_udf(LEAK)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = Matcher(shared.value, share)
+        from reviewmill.llm import decontaminate
+
+        matcher = decontaminate._matcher(block, shared, share)
         for column in batches:
             yield pa.array(
                 [[dict(zip(names, leak)) for leak in matcher.leaks(t)] for t in column.to_pylist()], kind)
@@ -192,6 +207,27 @@ def _finder(docs: DataFrame, items: list[tuple[int, list[str]]], share: float):
     return find
 
 
+def _found(docs: DataFrame, texts: DataFrame, share: float, block_chars: int, key: str,
+           text_col: str) -> DataFrame | None:
+    """(key, leak fields) of all documents and blocks; none without items.
+
+    Of several blocks only one is broadcast at a time: its leaks are written before the next.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    made, blocks = [], _blocks(texts, block_chars)
+    block = next(blocks, None)
+    while block is not None:
+        shared = spark.sparkContext.broadcast(block)
+        found = docs.select(F.col(key).alias("_key"), F.inline(_finder(shared, share)(F.col(text_col))))
+        block = next(blocks, None)
+        if made or block is not None:
+            found = common.staged(found, "leaks")
+            shared.destroy()
+        made.append(found)
+    return functools.reduce(DataFrame.unionByName, made) if made else None
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = BUDGET,
           block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -205,11 +241,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = BUDGET,
     nothing.  Repeated rows give repeated results, items of equal text each their own.
     Every text is read whole, once for each block of `block_chars` characters of items.
     """
-    texts, out = _texts(benchmark, item_text), None
-    for block in _blocks(texts, block_chars):
-        find = _finder(docs, block, share)
-        found = docs.select(F.col(id_col).alias("_id"), F.inline(find(F.col(text_col))))
-        out = found if out is None else out.unionByName(found)
+    texts = _texts(benchmark, item_text)
+    out = _found(docs, texts, share, block_chars, id_col, text_col)
     if out is None:
         empty = common.struct((id_col, common.id_type(docs, id_col)),
                               (item_col, common.id_type(benchmark, item_col)), ("edits", "int"),
@@ -218,7 +251,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = BUDGET,
     named = benchmark.select(F.col(item_col).alias("_item_id"), F.col(item_text).alias("text")).join(
         texts, "text").select("_item_id", "number")
     return out.join(named, F.col("item") == F.col("number")).select(
-        F.col("_id").alias(id_col), F.col("_item_id").alias(item_col), "edits", "words",
+        F.col("_key").alias(id_col), F.col("_item_id").alias(item_col), "edits", "words",
         "start_word", "end_word")
 
 
@@ -227,9 +260,19 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = BUDGET,
                   item_text: str = "text") -> DataFrame:
     """The rows of `docs`, with all columns, whose text holds no item within the budget.
 
-    Rows are judged where they are, so nothing is shuffled.  Missing and empty texts stay.
+    With one block of items rows are judged where they are and nothing is shuffled; with more, rows are
+    numbered, and the numbers of leaky ones collected block by block.  Missing and empty texts stay.
     """
-    for block in _blocks(_texts(benchmark, item_text), block_chars):
-        find: Column = _finder(docs, block, share)(F.col(text_col))
-        docs = docs.where(F.size(find) == 0)
-    return docs
+    texts = _texts(benchmark, item_text)
+    blocks = _blocks(texts, block_chars)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        ship(docs.sparkSession)
+        find: Column = _finder(docs.sparkSession.sparkContext.broadcast(first), share)(F.col(text_col))
+        return docs.where(F.size(find) == 0)
+    row = common.free(docs, "_row")
+    rows = common.staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+    bad = _found(rows, texts, share, block_chars, row, text_col).select(F.col("_key").alias(row)).distinct()
+    return rows.join(bad, row, "left_anti").select(*docs.columns)

@@ -1,4 +1,7 @@
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -94,3 +97,46 @@ def test_empty_tables(spark):
     assert d.leaks(docs, bench).collect() == []
     assert d.without_leaks(docs, bench).count() == 1
     assert d.leaks(docs.limit(0), docs.withColumnRenamed("doc_id", "item_id")).collect() == []
+
+
+def test_blocks_of_items_give_the_same_documents(spark):
+    rng = random.Random(8)
+    items = [" ".join(rng.choices([f"v{i}" for i in range(90)], k=10)) for _ in range(40)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, f"before {items[i % 40]} behind" if i % 3 else f"clean {i}", "x") for i in range(90)]
+    rows += [(5, None, "y"), (5, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(3)
+    kept = [sorted((r.doc_id, r._row) for r in d.without_leaks(docs, bench, block_chars=n).collect())
+            for n in (10**6, 200)]
+    assert kept[0] == kept[1] == sorted([(i, "x") for i in range(0, 90, 3)] + [(5, "y")] * 2)
+    one, many = (sorted(map(tuple, d.leaks(docs, bench, block_chars=n).collect())) for n in (10**6, 200))
+    assert one == many and {r[0] for r in one} == {i for i in range(90) if i % 3}
+    assert d.without_leaks(docs, bench.limit(0)).count() == 92
+
+
+def test_fifty_thousand_items_take_bounded_memory():
+    """The automata of all blocks, one after the other as in a worker, in a process of their own."""
+    code = """
+import random, resource
+from reviewmill.llm import decontaminate as d
+rng = random.Random(1)
+words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(5000)]
+items = [(i, rng.choices(words, k=15)) for i in range(50_000)]
+size = lambda part: sum(len(w) + 1 for _, ws in part for w in ws)
+count = -(-size(items) // d.BLOCK_CHARS)
+class Held:
+    value = None
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = 0
+for block in range(count):
+    Held.value = items[block::count]
+    assert size(Held.value) < 1.1 * d.BLOCK_CHARS
+    matcher = d._matcher(str(block), Held, 0.2)
+    assert d._matcher(str(block), Held, 0.2) is matcher
+    found += sum(len(matcher.leaks("x " + " ".join(ws) + " y")) for _, ws in Held.value[:50])
+assert count > 1 and found >= 50 * count
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    root = Path(__file__).resolve().parents[2]
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, check=True, capture_output=True, text=True, timeout=300)
+    assert int(out.stdout) < 1000

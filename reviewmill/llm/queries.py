@@ -61,6 +61,12 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.parse(table(spark, sf_dir, "conversations"))
 
 
+def recovered_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations with every other role taken away; the model finds them again."""
+    rows = table(spark, sf_dir, "conversations")
+    return chat.parse(rows.withColumn("role", F.when(F.pmod("turn", F.lit(2)) == F.pmod("conv_id", F.lit(2)), F.col("role"))))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenized(table(spark, sf_dir, "documents"))
     digested = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -99,7 +105,7 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {q.__name__: q for q in (
     op1_quality_rules, op2_url_filters, op3_benchmark_decontamination,
     op4_lm_scoring, op5_secret_scans, op6_simhash_near_dedup,
-    op7_importance_resampling, op8_chat_formatting, op9_best_fit_packing, op10_html_extraction,
+    op7_importance_resampling, op8_chat_formatting, recovered_roles, op9_best_fit_packing, op10_html_extraction,
     site_templates, op11_language_id, op12_target_resampling, op13_centroid_clustering,
 )}
 

@@ -34,6 +34,47 @@ def test_roles_that_are_missing_are_recovered(spark):
     assert right > 0.8
 
 
+def test_every_other_role_is_recovered(spark):
+    truth = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    got = queries.recovered_roles(spark, SF).collect()
+    assert {(r.conv_id, r.turn): r.text for r in got} == {k: r.text for k, r in truth.items()}
+    blank = [r for r in got if r.turn % 2 != r.conv_id % 2]
+    right = np.mean([truth[r.conv_id, r.turn].role == r.role for r in blank])
+    plain = np.mean([truth[r.conv_id, r.turn].role == "user" for r in blank])  # the most frequent role
+    assert len(blank) > 200 and right > 0.9 > plain + 0.3
+    assert all(truth[r.conv_id, r.turn].role == r.role for r in got if r.turn % 2 == r.conv_id % 2)
+
+
+def test_a_given_role_wins_over_the_text(spark):
+    rows = [(1, 0, "user", "Model: X200 will not start"), (1, 1, "assistant", "Assistant: try again"),
+            (1, 2, "user", "A: or B?"), (1, 3, None, "Assistant: B"), (1, 4, "user", "User: thanks\nAssistant: bye")]
+    assert [(r.turn, r.role, r.text) for r in parsed(spark, rows)] == [
+        (0, "user", "Model: X200 will not start"), (1, "assistant", "try again"), (2, "user", "A: or B?"),
+        (3, "assistant", "B"), (4, "user", "thanks"), (4, "assistant", "bye")]
+
+
+def test_markers_are_learned_from_rows_with_a_role():
+    counts = np.zeros((chat.STATES, chat.CODES))
+    roles, none = len(chat.ROLES), np.zeros((3, 4))
+    odd = none.copy()
+    odd[0, 1] = 500  # texts of users that start with the marker of the assistant
+    codes = [chat.line_code("AI: hello there", True, chat.NONE)]
+    for markers, want in ((none, 1), (odd, 0)):
+        m = chat.model(counts, np.zeros(roles), np.zeros((roles, roles)), markers)
+        assert chat.decode(m, bytes(codes), None, None)[0] == want
+
+
+def test_parts_follow_the_size_of_the_texts(spark, monkeypatch):
+    rows = [(c, t, None if t == 2 else ("user", "assistant")[t % 2], f"text {c} {t} " + "word " * 30)
+            for c in range(30) for t in range(4)]
+    want = sorted(map(tuple, chat.parse(frame(spark, rows)).collect()))
+    monkeypatch.setattr(chat, "PART_CHARS", 1000)
+    seen = []
+    ordered = chat._ordered
+    monkeypatch.setattr(chat, "_ordered", lambda *a: seen.append(a[-1]) or ordered(*a))
+    assert sorted(map(tuple, chat.parse(frame(spark, rows)).collect())) == want and seen[0] >= 18
+
+
 def test_markers_inside_a_text_begin_turns(spark):
     text = "User: how are you?\nstill me\nAssistant: fine\n### Human: good\n<|assistant|> bye"
     got = parsed(spark, [(1, 0, None, text), (2, 0, "human", "hi"), (2, 1, "AI", "Note: colons\nare text")])

@@ -38,6 +38,7 @@ BUCKETS = _PAIRS + (1 << _PAIR_BITS)
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MIX, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MOST_CACHED = 300_000
+_FAR = 0xFFFF
 _AGAIN = np.uint64(5)
 
 
@@ -98,8 +99,22 @@ class Buckets:
         return np.unique(np.concatenate(found)).astype(np.int64)
 
 
+def packed(buckets: np.ndarray) -> bytes:
+    """Buckets in order as their gaps in 16 bits; a gap of _FAR or more has a mark for each _FAR before its rest."""
+    gaps = np.diff(buckets, prepend=0)
+    marks, rest = gaps // _FAR, gaps % _FAR
+    out = np.full(len(gaps) + int(marks.sum()), _FAR, "<u2")
+    out[np.arange(len(gaps)) + np.cumsum(marks)] = rest
+    return out.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    gaps = np.frombuffer(raw, "<u2")
+    return np.cumsum(gaps, dtype=np.int64)[gaps != _FAR]
+
+
 def bucketed(docs: DataFrame, keep: list[str], text_col: str, out: str) -> DataFrame:
-    """The columns `keep` of all rows and in `out` the buckets of their texts, as unsigned 32-bit numbers.
+    """The columns `keep` of all rows and in `out` the `packed` buckets of their texts.
 
     Every text is read whole, once; the rows are written to the shared folder.
     """
@@ -109,9 +124,10 @@ def bucketed(docs: DataFrame, keep: list[str], text_col: str, out: str) -> DataF
     def buckets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Buckets()
         for texts in batches:
-            yield pa.array([own.of(t).astype(np.uint32).tobytes() for t in texts.to_pylist()], pa.binary())
+            yield pa.array([packed(own.of(t)) for t in texts.to_pylist()], pa.binary())
 
-    return common.staged(docs.select(*keep, buckets(F.col(text_col)).alias(out)), "bucketed-documents")
+    with common.small_batches(docs.sparkSession, 2_000):
+        return common.staged(docs.select(*keep, buckets(F.col(text_col)).alias(out)), "bucketed-documents")
 
 
 def _counts(rows: DataFrame, chosen: DataFrame, id_col: str, buckets: str) -> np.ndarray:
@@ -129,7 +145,7 @@ def _counts(rows: DataFrame, chosen: DataFrame, id_col: str, buckets: str) -> np
         for batch in batches:
             targets = batch.column(1).is_valid().to_pylist()
             for raw, target in zip(batch.column(0).to_pylist(), targets):
-                met = np.frombuffer(raw, np.uint32)
+                met = unpacked(raw)
                 seen[0, met] += 1
                 seen[0, BUCKETS] += 1
                 if target:
@@ -199,7 +215,7 @@ def _weighed(rows: DataFrame, table: np.ndarray, buckets: str, seed: int, id_col
     def weight(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = shared.value
         for raws in batches:
-            yield pa.array([float(table[np.frombuffer(r, np.uint32)].sum()) for r in raws.to_pylist()],
+            yield pa.array([float(table[unpacked(r)].sum()) for r in raws.to_pylist()],
                            pa.float64())
 
     weighed = rows.withColumn(weight_col, weight(F.col(buckets))).drop(buckets)

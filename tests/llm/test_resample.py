@@ -101,6 +101,12 @@ def test_query_equals_brute_force(spark):
     assert {r.doc_id for r in best} == {r.doc_id for r in got.values() if r.kept}
 
 
+@pytest.mark.parametrize("buckets", [[], [0], [65534], [65535], [65536], [0, 65535, 131070, 540_671], [3, 4, 400_000]])
+def test_packed_buckets(buckets):
+    found = resample.unpacked(resample.packed(np.array(buckets, np.int64)))
+    assert found.tolist() == buckets
+
+
 def test_gumbel_numbers(spark):
     rows = spark.range(20000).select(resample.gumbel("id", 3).alias("g")).toPandas().g
     assert abs(rows.mean() - 0.5772) < 0.03 and abs(rows.var() - math.pi ** 2 / 6) < 0.08

@@ -38,7 +38,7 @@ BUCKETS = _PAIRS + (1 << _PAIR_BITS)
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MIX, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MOST_CACHED = 300_000
-_FAR = 0xFFFF
+_FAR = 0xFFF
 _AGAIN = np.uint64(5)
 
 
@@ -100,17 +100,20 @@ class Buckets:
 
 
 def packed(buckets: np.ndarray) -> bytes:
-    """Buckets in order as their gaps in 16 bits; a gap of _FAR or more has a mark for each _FAR before its rest."""
+    """Buckets in order as their gaps in 12 bits; a gap of _FAR or more has a mark for each _FAR before its rest."""
     gaps = np.diff(buckets, prepend=0)
     marks, rest = gaps // _FAR, gaps % _FAR
-    out = np.full(len(gaps) + int(marks.sum()), _FAR, "<u2")
-    out[np.arange(len(gaps)) + np.cumsum(marks)] = rest
-    return out.tobytes()
+    size = len(gaps) + int(marks.sum())
+    codes = np.full(size + size % 2, _FAR, np.uint16)
+    codes[np.arange(len(gaps)) + np.cumsum(marks)] = rest
+    first, second = codes[::2], codes[1::2]
+    return np.stack([first & 255, first >> 8 | (second & 15) << 4, second >> 4], axis=1).astype(np.uint8).tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    gaps = np.frombuffer(raw, "<u2")
-    return np.cumsum(gaps, dtype=np.int64)[gaps != _FAR]
+    low, middle, high = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int64).T
+    gaps = np.stack([low | (middle & 15) << 8, middle >> 4 | high << 4], axis=1).ravel()
+    return np.cumsum(gaps)[gaps != _FAR]
 
 
 def bucketed(docs: DataFrame, keep: list[str], text_col: str, out: str) -> DataFrame:

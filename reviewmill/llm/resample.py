@@ -37,7 +37,7 @@ _STARTS, _SHAPES, _PAIRS = 1 << _WORD_BITS, 2 << _WORD_BITS, (2 << _WORD_BITS) +
 BUCKETS = _PAIRS + (1 << _PAIR_BITS)
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MIX, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_MOST_CACHED = 300_000
+_MOST_CACHED = 60_000
 _FAR = 0xFFF
 _AGAIN = np.uint64(5)
 
@@ -129,7 +129,7 @@ def bucketed(docs: DataFrame, keep: list[str], text_col: str, out: str) -> DataF
         for texts in batches:
             yield pa.array([packed(own.of(t)) for t in texts.to_pylist()], pa.binary())
 
-    with common.small_batches(docs.sparkSession, 2_000):
+    with common.small_batches(docs.sparkSession, 500):
         return common.staged(docs.select(*keep, buckets(F.col(text_col)).alias(out)), "bucketed-documents")
 
 
@@ -212,13 +212,13 @@ def labelled_sample(labels: DataFrame, sample_rows: int, id_col: str) -> DataFra
 def _weighed(rows: DataFrame, table: np.ndarray, buckets: str, seed: int, id_col: str,
              weight_col: str, key_col: str) -> DataFrame:
     """The rows with the logarithm of the weight, and that and a Gumbel number, in place of the buckets."""
-    shared = rows.sparkSession.sparkContext.broadcast(table)
+    shared = rows.sparkSession.sparkContext.broadcast(table.astype(np.float32))
 
     @F.arrow_udf("double")
     def weight(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = shared.value
         for raws in batches:
-            yield pa.array([float(table[unpacked(r)].sum()) for r in raws.to_pylist()],
+            yield pa.array([float(table[unpacked(r)].sum(dtype=np.float64)) for r in raws.to_pylist()],
                            pa.float64())
 
     weighed = rows.withColumn(weight_col, weight(F.col(buckets))).drop(buckets)
@@ -249,15 +249,26 @@ def _chosen(rows: DataFrame, sample: DataFrame, ratio: np.ndarray, sure: np.ndar
     """
     held = rows.select(F.col(id_col).alias("id"), F.col(buckets).alias("buckets")).join(
         F.broadcast(sample.where("NOT fit").withColumnRenamed(id_col, "id")), "id")
-    held = common.staged(held, "held-out")
-    best = None
-    for doubt in sorted(DOUBTS, reverse=True):
-        table = shrunk(ratio, sure, doubt)
-        keys = _weighed(held, table, "buckets", seed, "id", "_weight", "_key").select("_key", "target").toPandas()
-        target, key = keys["target"].to_numpy(bool), keys["_key"].to_numpy()
+    doubts = sorted(DOUBTS, reverse=True)
+    shared = rows.sparkSession.sparkContext.broadcast((ratio, sure))
+
+    @F.arrow_udf("array<double>")
+    def weights(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tables = [shrunk(*shared.value, d).astype(np.float32) for d in doubts]
+        for raws in batches:
+            met = [unpacked(r) for r in raws.to_pylist()]
+            yield pa.array([[float(t[m].sum(dtype=np.float64)) for t in tables] for m in met],
+                           pa.list_(pa.float64()))
+
+    found = held.select("target", gumbel("id", seed).alias("gumbel"), weights("buckets").alias("weights")).toPandas()
+    shared.destroy()
+    target, best = found["target"].to_numpy(bool), None
+    each = np.array(found["weights"].tolist()).reshape(len(found), len(doubts))
+    for doubt, weight in zip(doubts, each.T):
+        key = weight + found["gumbel"].to_numpy()
         least, cost = best_cut(key[target], key[~target], loss)
         if best is None or cost < best[0]:
-            best = cost, table, least
+            best = cost, shrunk(ratio, sure, doubt), least
     return best[1:]
 
 

@@ -10,7 +10,7 @@ from decimal import Decimal
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from reviewmill import fixed
 from reviewmill.functions import keys, vectors
@@ -19,6 +19,8 @@ from reviewmill.sources import files
 
 # A cell of the split histogram holds about so many rows.
 CELL_ROWS = 5_000
+# Labels that are put in order on the driver; more are put in order by ranges.
+FEW_LABELS = 1_000
 
 
 def class_names(df: DataFrame, label: str = "label") -> DataFrame:
@@ -46,6 +48,29 @@ def _mark(validation: Column) -> Column:
     return F.when(validation, F.lit("validation")).otherwise(F.lit("train"))
 
 
+def _shared_out(spark: SparkSession, schema: StructType, counts: list, share: float) -> DataFrame:
+    """(_cut_label, wanted) from the rows of each of a few labels."""
+    exact = [Decimal(str(share)) * r["n"] for r in counts]
+    more = math.ceil(sum(exact)) - sum(map(math.floor, exact))
+    order = sorted(range(len(counts)), key=lambda i: (
+        -(exact[i] - math.floor(exact[i])), counts[i]["_label"] is not None, counts[i]["_label"]))
+    rows = [(counts[i]["_label"], math.floor(exact[i]) + (place < more)) for place, i in enumerate(order)]
+    return spark.createDataFrame(rows, StructType([
+        StructField("_cut_label", schema["_label"].dataType), StructField("wanted", LongType())]))
+
+
+def _shared_out_by_ranges(counts: DataFrame, share: float) -> tuple[int, DataFrame]:
+    """All rows, and (_cut_label, wanted), for any number of labels."""
+    exact = F.lit(Decimal(str(share))) * F.col("n")
+    counts = counts.withColumns({"floor": F.floor(exact).cast("bigint"), "rest": exact - F.floor(exact)})
+    total, floors = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("floor"), F.lit(0))).first()
+    more = math.ceil(Decimal(str(share)) * total) - floors
+    by_rest = numbering.numbered(counts, F.col("rest").desc(), F.col("_label").asc_nulls_first())
+    return total, files.stage(by_rest.select(
+        F.col("_label").alias("_cut_label"),
+        (F.col("floor") + (F.col("number") < more).cast("bigint")).alias("wanted")), "split-sizes")
+
+
 def stratified_split(
     df: DataFrame, label: str = "label", row_id: str = "review_id",
     share: float = fixed.VALIDATION_SHARE, seed: int = fixed.SPLIT_SEED,
@@ -62,15 +87,12 @@ def stratified_split(
     rows = files.stage(df.select(
         F.col(label).alias("_label"), F.col(row_id).alias("_id"), _split_hash(row_id, seed).alias("_hash")),
         "split-hashes")
-    exact = F.lit(Decimal(str(share))) * F.col("n")
-    counts = rows.groupBy("_label").agg(F.count("*").alias("n")).withColumns({
-        "floor": F.floor(exact).cast("bigint"), "rest": exact - F.floor(exact)})
-    total, floors = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("floor"), F.lit(0))).first()
-    more = math.ceil(Decimal(str(share)) * total) - floors
-    by_rest = numbering.numbered(counts, F.col("rest").desc(), F.col("_label").asc_nulls_first())
-    wanted = files.stage(by_rest.select(
-        F.col("_label").alias("_cut_label"),
-        (F.col("floor") + (F.col("number") < more).cast("bigint")).alias("wanted")), "split-sizes")
+    counts = rows.groupBy("_label").agg(F.count("*").alias("n"))
+    few = counts.limit(FEW_LABELS + 1).collect() if FEW_LABELS else []
+    if few and len(few) <= FEW_LABELS:
+        total, wanted = sum(r["n"] for r in few), _shared_out(df.sparkSession, counts.schema, few, share)
+    else:
+        total, wanted = _shared_out_by_ranges(counts, share)
 
     digits = max(1, math.ceil(math.log(max(total / CELL_ROWS, 1), 16)))
     cells = rows.withColumn("_cell", F.substring("_hash", 1, digits))

@@ -21,9 +21,11 @@ def labelled(spark):
               "label int, review_date string").repartition(4, "review_id")
 
 
+@pytest.mark.parametrize("few", [0, 2, 1000])
 @pytest.mark.parametrize("cell_rows", [1, 30, 5000])
-def test_stratified_split_is_exact(spark, cell_rows, monkeypatch):
+def test_stratified_split_is_exact(spark, cell_rows, few, monkeypatch):
     monkeypatch.setattr(modelling, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(modelling, "FEW_LABELS", few)
     rows = [(i, 0 if i % 10 else i % 3) for i in range(1003)] + [(5000, None), (6000, 7)]
     df = spark.createDataFrame(rows, "review_id bigint, label int")
     out = modelling.stratified_split(df).collect()
@@ -63,7 +65,9 @@ def test_many_classes_are_encoded(spark):
     assert got == {name: i for i, name in enumerate(sorted(map(str, range(3000))))}
 
 
-def test_shares_add_up_by_largest_remainder(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_shares_add_up_by_largest_remainder(spark, few, monkeypatch):
+    monkeypatch.setattr(modelling, "FEW_LABELS", few)
     rows = [(i, "abc"[min(i // 14, 2)]) for i in range(33)] + [(99, None)]
     df = spark.createDataFrame(rows, "review_id bigint, label string")
     split = modelling.stratified_split(df).where("split = 'validation'").collect()

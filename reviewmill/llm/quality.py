@@ -223,7 +223,9 @@ def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
 
     `base_failed`: fewer than 10 words, or more than a fifth of the words in
     repeated windows of five.  `kept` is false for those and for rows on which a
-    learned rule holds; `rule` is the number of that rule, 0 if none does.
+    learned rule holds; `rule` is the number of that rule, 0 if none does.  A list has at most 16
+    rules of 4 conditions, whose thresholds are among 64 quantiles of the labelled rows (`learn`); that
+    bounds the model, not the rows.
     A missing or empty text has no words and fails.  Repeated rows give repeated
     results.  Without usable labels the list is empty and only the base counts.
     """

@@ -82,6 +82,11 @@ def id_type(df: DataFrame, column: str) -> T.DataType:
     return df.schema[column].dataType
 
 
+def literal_long(value: int):
+    """A 64-bit word, given as an unsigned number."""
+    return F.lit(value - (1 << 64) if value >> 63 else value).cast("long")
+
+
 def literal_longs(values: list[int]):
     """An array column of 64-bit words, each given as an unsigned number."""
-    return F.array(*(F.lit(v - (1 << 64) if v >> 63 else v).cast("long") for v in values))
+    return F.array(*map(literal_long, values))

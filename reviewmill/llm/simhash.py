@@ -6,12 +6,14 @@ count vectors is never above the Hamming distance of the fingerprints.  Vectors
 within a distance of r differ in at most r of the G groups their coordinates
 are dealt into, so they share a cell of the grid in one of the projections onto
 G - r groups.  The join runs cell by cell on distinct fingerprints; a pair is
-compared in the first of its shared projections only.
+compared in the first of its shared projections only.  G grows with the number of
+fingerprints, so that cells stay small.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,11 @@ from reviewmill.llm import common
 from reviewmill.llm.components import components
 from reviewmill.operators import duplicates
 
-GROUPS = 8
+SEGMENTS = 32
+#: Groups of segments, at least and at most, where none are asked for.
+FEWEST, MOST = 8, 16
+#: Comparisons that cost as much as a row sent to its cell, about.
+_PER_ROW = 20
 SEED = 42
 _EVEN_BITS = 0x5555555555555555
 #: Shingles whose bits are counted at once; bounds the memory a long text takes.
@@ -86,27 +92,44 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(by_one) + 2 * F.bit_count(by_two)
 
 
+def _dealt(groups: int) -> list[int]:
+    """Mask of the bits of each group: the segments in order, as evenly as can be."""
+    cuts = [g * SEGMENTS // groups for g in range(groups + 1)]
+    return [(1 << 2 * b) - (1 << 2 * a) for a, b in zip(cuts, cuts[1:])]
+
+
 def _projections(groups: int, distance: int) -> list[tuple[int, int]]:
     """Of each choice of groups: its mask, and flags of the skipped groups before its last."""
-    width = 64 // groups
-    block = (1 << width) - 1
+    masks = _dealt(groups)
     chosen = itertools.combinations(range(groups), groups - distance)
     return [
-        (sum(block << width * g for g in own),
-         sum(1 << width * g for g in range(max(own)) if g not in own))
+        (sum(masks[g] for g in own), sum(1 << g for g in range(max(own)) if g not in own))
         for own in chosen
     ]
 
 
-def links(distinct: DataFrame, distance: int, groups: int = GROUPS) -> DataFrame:
+def groups_for(rows: int, distance: int) -> int:
+    """The number of groups with the least work for so many distinct fingerprints.
+
+    Counts of a segment of even bits agree with a chance of 3/8.  More groups send a
+    fingerprint to more cells, each of which it shares with fewer others.
+    """
+    def work(groups: int) -> float:
+        shared = SEGMENTS * (groups - distance) // groups
+        return math.comb(groups, distance) * (1 + rows * (3 / 8) ** shared / _PER_ROW)
+
+    return min(range(max(FEWEST, distance + 1), max(MOST, distance + 1) + 1), key=work)
+
+
+def links(distinct: DataFrame, distance: int, groups: int | None = None) -> DataFrame:
     """(a, b) with a < b for all pairs of the distinct fingerprints within the distance.
 
-    More groups make smaller cells and more of them: choose `groups` so that
-    64 * (groups - distance) / groups bits exceed the logarithm of the number of
-    fingerprints.  The result is the same for every choice.
+    More groups make smaller cells and more of them; by default their number follows
+    that of the fingerprints, which are counted.  The result is the same for every choice.
     """
-    if 64 % groups or groups <= distance:
-        raise ValueError("groups must divide 64 and exceed the distance")
+    groups = groups or groups_for(distinct.count(), distance)
+    if not distance < groups <= SEGMENTS:
+        raise ValueError("groups must exceed the distance and not the number of segments")
     masks, skipped = zip(*_projections(groups, distance))
     e = embed(F.col("fingerprint"))
     cells = distinct.select(
@@ -115,13 +138,12 @@ def links(distinct: DataFrame, distance: int, groups: int = GROUPS) -> DataFrame
     a, b = cells.alias("a"), cells.alias("b")
     x, y = F.col("a.fingerprint"), F.col("b.fingerprint")
     differ = embed(x).bitwiseXOR(embed(y))
-    width = 64 // groups
-    step = width // 2
-    while step:  # gather each group's bits in its lowest one
-        differ = differ.bitwiseOR(F.shiftrightunsigned(differ, step))
-        step //= 2
     before = F.element_at(common.literal_longs(skipped), F.col("a.projection") + 1)
-    first_shared = differ.bitwiseAND(before) == before
+    # The first shared projection: each group that it skips before its last one differs.
+    first_shared = F.lit(True)
+    for g, mask in enumerate(_dealt(groups)):
+        own = common.literal_long(mask)
+        first_shared &= (before.bitwiseAND(F.lit(1 << g)) == 0) | (differ.bitwiseAND(own) != 0)
     return a.join(
         b,
         (F.col("a.projection") == F.col("b.projection")) & (F.col("a.cell") == F.col("b.cell"))
@@ -130,7 +152,7 @@ def links(distinct: DataFrame, distance: int, groups: int = GROUPS) -> DataFrame
     ).select(x.alias("a"), y.alias("b"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: int = GROUPS,
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: int | None = None,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for every row of `docs`.
 
@@ -159,7 +181,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, groups
     return found.select(id_col, "fingerprint", F.col("_first_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: int = GROUPS,
+def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: int | None = None,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of `docs` for each group: the first with the smallest id; without any id, the first.
 

@@ -69,7 +69,7 @@ def test_one_of_each_group_whatever_the_ids(spark):
             [(None, a), (None, b), (5, c), (1, d), (6, "")], docs.schema).collect())
 
 
-@pytest.mark.parametrize("groups", [8, 16])
+@pytest.mark.parametrize("groups", [5, 8, 9, 12, None])
 def test_links_lose_no_pair(spark, groups):
     rng = random.Random(5)
     prints = {rng.getrandbits(64) for _ in range(40)}
@@ -85,6 +85,17 @@ def test_links_lose_no_pair(spark, groups):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_cells_stay_small_as_tables_grow():
+    """A fingerprint is compared with few others of its cell, whatever the number of fingerprints."""
+    chosen = [simhash.groups_for(10 ** n, 4) for n in range(13)]
+    assert chosen == sorted(chosen) and chosen[0] == 8 and chosen[-1] > 10
+    for n, groups in enumerate(chosen[:11]):
+        assert 10 ** n * (3 / 8) ** (32 * (groups - 4) // groups) < 200
+    for groups in range(5, 17):
+        masks = simhash._dealt(groups)
+        assert sum(masks) == 2 ** 64 - 1 and sum(m.bit_count() for m in masks) == 64
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == []

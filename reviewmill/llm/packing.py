@@ -207,17 +207,21 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = common.staged(
         pieces.groupBy("length", "chunk").agg(F.max("nth").alias("most")), "piece-counts")
     lengths = counts.groupBy("length").agg(F.sum(F.col("most") + 1).alias("n")).collect()
-    slots = plan({r.length: r.n for r in lengths}, capacity)
-    slots = spark.createDataFrame(
-        [(s.length, s.first, s.last, s.sequence, s.copies, s.offset) for s in slots],
-        "length long, first long, last long, sequence long, copies long, offset long")
+    by_length: dict[int, list[tuple]] = {}
+    for s in plan({r.length: r.n for r in lengths}, capacity):
+        by_length.setdefault(s.length, []).append((s.first, s.last, s.sequence, s.copies, s.offset))
+    # How many slots there are depends on the lengths there can be, not on the number of pieces.
+    slots = F.broadcast(spark.createDataFrame(
+        list(by_length.items()), "length long, "
+        "slots array<struct<first:long,last:long,sequence:long,copies:long,offset:long>>"))
     # Places of a chunk are one range of numbers; each slot that meets it becomes a row.
     in_order = F.expr("sum(most + 1) OVER (PARTITION BY length ORDER BY chunk "
                       "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - most - 1")
     ranges = counts.withColumn("base", in_order)
-    met = ranges.join(slots, "length").where("first <= base + most AND last > base").select(
-        F.col("length").alias("_length"), F.col("chunk").alias("_chunk"), "base", "first", "last",
-        "sequence", "copies", F.col("offset").alias("_offset"))
+    met = ranges.join(slots, "length").select(
+        F.col("length").alias("_length"), F.col("chunk").alias("_chunk"), "base", F.expr(
+            "inline(filter(slots, s -> s.first <= base + most AND s.last > base))"
+        )).withColumnRenamed("offset", "_offset")
     met = common.staged(met, "piece-places")
     number = F.col("base") + F.col("nth") - F.col("first")
     joined = pieces.join(

@@ -120,6 +120,15 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
+def _tightest(rule: Rule) -> Rule:
+    """The rule without conditions that another one of it implies."""
+    def implied(c: Condition) -> bool:
+        return any(c.feature == o.feature and c.above == o.above and c != o
+                   and (o.threshold > c.threshold) == c.above for o in rule)
+
+    return tuple(c for c in dict.fromkeys(rule) if not implied(c))
+
+
 def _covers(rule: Rule, columns: dict[str, np.ndarray], size: int) -> np.ndarray:
     held = np.ones(size, bool)
     for condition in rule:
@@ -185,7 +194,7 @@ def learn(columns: dict[str, np.ndarray], bad: np.ndarray, folds: np.ndarray,
         _, p, n = worth[pick]
         if p < 2 or p / (p + n) < least_precision:
             break
-        rules.append(tails[pick])
+        rules.append(_tightest(tails[pick]))
         left &= ~_covers(tails[pick], columns, len(bad))
     return rules
 

@@ -69,3 +69,13 @@ def test_rules_cover_a_planted_conjunction(spark):
     numbers = [r.n for r in frame.select(quality.expression(rules).alias("n")).collect()]
     assert [n > 0 for n in numbers] == held[:300].tolist()
     assert quality.learn({"x": x}, np.zeros(3000, bool), np.arange(3000) % 3) == []
+
+
+def test_implied_conditions_are_left_out():
+    c = quality.Condition
+    rule = (c("x", False, 0.62), c("y", True, 3.0), c("x", False, 0.53), c("y", True, 2.0), c("x", True, 0.1),
+            c("x", False, 0.53))
+    assert quality._tightest(rule) == (c("y", True, 3.0), c("x", False, 0.53), c("x", True, 0.1))
+    rng = np.random.default_rng(2)
+    columns = {"x": rng.random(500), "y": rng.random(500) * 5}
+    assert (quality._covers(rule, columns, 500) == quality._covers(quality._tightest(rule), columns, 500)).all()

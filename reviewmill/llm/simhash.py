@@ -135,7 +135,8 @@ def links(distinct: DataFrame, distance: int, groups: int | None = None) -> Data
     cells = distinct.select(
         "fingerprint", F.posexplode(F.transform(common.literal_longs(masks), e.bitwiseAND))
         .alias("projection", "cell"))
-    a, b = cells.alias("a"), cells.alias("b")
+    # Many rows for each fingerprint, which the planner does not count: it would broadcast them.
+    a, b = cells.alias("a"), cells.hint("merge").alias("b")
     x, y = F.col("a.fingerprint"), F.col("b.fingerprint")
     differ = embed(x).bitwiseXOR(embed(y))
     before = F.element_at(common.literal_longs(skipped), F.col("a.projection") + 1)

@@ -134,3 +134,12 @@ def test_copies_are_dealt_out(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_cells_are_not_broadcast(spark, capsys):
+    """A fingerprint has many cells, which the planner takes for one."""
+    few = spark.range(50).toDF("fingerprint")  # of a known size
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) > 0
+    simhash.links(few, 4).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

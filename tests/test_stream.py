@@ -3,6 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from checks import spam
 from reviewmill.operators import spam_reasons
 from reviewmill.streaming import earlier, moderation
 
@@ -119,3 +120,23 @@ def test_one_group_of_a_batch_is_one_row_of_state(spark, live):
     df = spark.createDataFrame(rows, TIMED).repartition(8)
     earlier.with_earlier(spam_reasons.group_facts(df, seen_at=F.max("written")), live.copies, 0)
     assert spark.read.parquet(f"{live.copies.path}/groups").count() == 1
+
+
+def test_a_part_of_a_stream_comes_in_many_files_and_is_one_batch(spark, tmp_path, monkeypatch):
+    """The documents of a part are written by all tasks, not by one."""
+    rows = [(i, f"{TEXT} {i % 10}", "en", "web", 80) for i in [*range(200), -3]] + [(None, TEXT, "en", "web", 80)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    documents.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(spam.files, "staging_path", lambda spark, name: f"{tmp_path}/shared/{name}")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task for each file
+    try:
+        flagged = spam.stream_spam_b(spark, str(tmp_path))
+        got = sorted((r.review_id is None, r.review_id or 0, r.spam_reasons) for r in flagged.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    files_of = [len(list(p.glob("*.parquet"))) for p in tmp_path.glob("shared/stream-documents/part=*")]
+    assert len(files_of) == 7 and max(files_of) == 3
+    assert len(list(tmp_path.glob("shared/moderated/batch=*"))) == 7
+    assert len(got) == 202
+    named = {i: reasons for _, i, reasons in got}
+    assert "Duplicate" not in named[5] and "Duplicate of review #6" in named[25]  # copies in their part

@@ -243,7 +243,9 @@ def saved_pipeline(spark, sf_dir):
     """Classes by one saved object that holds the features, both models and the names."""
     path = files.staging_path(spark, "pipeline")
     serving.save_pipeline(serving.train_pipeline(view(spark, sf_dir, "telling"), "checks.model:toy_model"), path)
-    return _classes(serving.classify(serving.load_pipeline(path), view(spark, sf_dir, "messy")))
+    classes = _classes(serving.classify(serving.load_pipeline(path), view(spark, sf_dir, "messy")))
+    with files.small_batches(spark):  # a Python worker holds a batch of texts, and texts can be long
+        return files.stage(classes, "classified")
 
 
 def evaluate_meta(spark, sf_dir):

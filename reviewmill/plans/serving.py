@@ -25,9 +25,10 @@ def train_pipeline(reviews: DataFrame, factory: str, max_iter: int = fixed.META_
     quality.require_columns(reviews, fixed.TRAINING_COLUMNS)
     made = PipelineModel(feature_stages(factory))
     encoded = modelling.class_encode(reviews.where("label IS NOT NULL"))
-    table = files.stage(made.transform(encoded).select(
-        "features", F.col("label_id").cast("double").alias("label_id"), F.col("label").cast("string").alias("label")),
-        "pipeline-training")
+    with files.small_batches(reviews.sparkSession):
+        table = files.stage(made.transform(encoded).select(
+            "features", F.col("label_id").cast("double").alias("label_id"),
+            F.col("label").cast("string").alias("label")), "pipeline-training")
     meta = LogisticRegression(
         featuresCol="features", labelCol="label_id", family="multinomial", maxIter=max_iter,
         regParam=1.0 / max(table.count(), 1), elasticNetParam=0.0, standardization=False).fit(table)

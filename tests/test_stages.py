@@ -1,3 +1,4 @@
+import functools
 import math
 import subprocess
 import sys
@@ -7,10 +8,12 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from checks import model
 from checks.model import toy_model
 from reviewmill import fixed
 from reviewmill.operators import stages
 from reviewmill.plans import serving, training
+from reviewmill.sources import files
 
 WORDS = ["crypto discount code www", "weather friend heard", "great food nice staff"]
 DDL = ("review_id bigint, company_name string, text string, stars int, category string, "
@@ -104,3 +107,22 @@ def test_tfidf(spark, tmp_path, words):
 def test_learned_vocabulary(spark):
     df = spark.createDataFrame([("b a b",), ("c, a!",), (None,), ("d d d",)], "text string")
     assert stages.learned_vocabulary(df, 3) == ["a", "b", "d"]
+
+
+def test_python_workers_get_small_batches_of_texts(spark, tmp_path, monkeypatch):
+    """What is written while a model scores texts is cut into batches of a thousand rows at most."""
+    rows = [(i, f"Great food {i}" if i % 3 else "Good", "en", "web", 80) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    seen, stage, key = {}, files.stage, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def watched(df, name):
+        seen[name] = int(spark.conf.get(key))
+        return stage(df, name)
+
+    monkeypatch.setattr(files, "stage", watched)
+    monkeypatch.setattr(serving, "train_pipeline", functools.partial(serving.train_pipeline, max_iter=2))
+    before = spark.conf.get(key)
+    assert model.saved_pipeline(spark, str(tmp_path)).count() == 60 + 23  # and the extra rows of the view
+    assert seen["pipeline-training"] <= 1000 and seen["classified"] <= 1000
+    assert spark.conf.get(key) == before

@@ -20,15 +20,16 @@ def vocabulary_hits(col: Column, vocabulary=fixed.VOCABULARY) -> Column:
 
 
 def presence(hits: Column, vocabulary=fixed.VOCABULARY) -> Column:
-    """Binary vector over the vocabulary from a `vocabulary_hits` column.
+    """Binary vector over the vocabulary from the words of `vocabulary_hits`.
 
-    `hits` must be a column of its own, not the expression.  It is used twice
-    here, which keeps the optimiser from moving the expression into the lambda,
-    where it would be computed again for every word.
+    The hits are bound to a variable, so they are computed once for each row, also where the
+    optimiser puts their expression here; in the inner lambda it would run again for every word.
     """
-    found = F.transform(
-        literal_array(vocabulary), lambda w: F.array_contains(hits, w).cast("double"))
-    return F.when(F.array_size(hits) == 0, F.array_repeat(F.lit(0.0), len(vocabulary))).otherwise(found)
+    def found(own: Column) -> Column:
+        ones = F.transform(literal_array(vocabulary), lambda w: F.array_contains(own, w).cast("double"))
+        return F.when(F.array_size(own) == 0, F.array_repeat(F.lit(0.0), len(vocabulary))).otherwise(ones)
+
+    return F.get(F.transform(F.array(hits), found), F.lit(0))
 
 
 def softmax(logits: Column) -> Column:

@@ -12,10 +12,14 @@ from reviewmill import fixed
 
 
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction"):
-    """Long form: (label, prediction, n); rows without a label or a prediction are left out."""
-    return df.where(F.col(label).isNotNull() & F.col(prediction).isNotNull()).groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
-        F.count("*").alias("n")
-    )
+    """Long form: (label, prediction, n); rows without a label or a prediction are left out.
+
+    They are left out by their count: a filter on the prediction would be moved in front of it, and compute it twice.
+    """
+    known = F.col(label).isNotNull() & F.col(prediction).isNotNull()
+    return df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
+        F.count(F.when(known, 1)).alias("n")
+    ).where("n > 0")
 
 
 def _ratio(top, bottom):

@@ -50,8 +50,12 @@ def fit(table: DataFrame) -> modelling.MetaModel:
 
 
 def evaluate(scored: DataFrame) -> DataFrame:
-    """Classification report of scored reviews."""
-    return metrics.classification_report(metrics.confusion_matrix(scored, "label_id"))
+    """Classification report of scored reviews.
+
+    The counts are written: the rows of the report read them several times, and the reviews are scored once.
+    """
+    counts = files.stage(metrics.confusion_matrix(scored, "label_id"), "confusion")
+    return metrics.classification_report(counts)
 
 
 def infer(reviews: DataFrame, make_predict: Callable, meta: modelling.MetaModel) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,20 @@ def test_missing_labels_are_no_class(spark):
     assert tuple(got) == (1.0, 1.0, 1.0, 1.0)
 
 
+def test_the_report_scores_the_reviews_once(spark):
+    @F.pandas_udf("int")
+    def scored(label: pd.Series) -> pd.Series:
+        return label
+
+    pairs = spark.createDataFrame([(0,), (1,), (1,), (None,)], "label_id int").withColumn("prediction", scored("label_id"))
+    counts = metrics.confusion_matrix(pairs, "label_id")
+    assert {tuple(r) for r in counts.collect()} == {(0, 0, 1), (1, 1, 2)}
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    report = training.evaluate(pairs)
+    assert "scored" not in report._jdf.queryExecution().toString()
+    assert {r.row: r.support for r in report.collect()}["accuracy"] == 3
+
+
 def test_names_come_from_training(labelled, tmp_path, spark):
     """Names in another order than the ids of the fixed list, and one class absent."""
     named = labelled.withColumn("label", F.element_at(F.lit(["spam", "irrelevant", "relevant"]), F.col("label") + 1))

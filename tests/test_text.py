@@ -70,6 +70,14 @@ def test_presence_computes_the_hits_once(spark):
     assert plan.count("array_intersect") == 1
 
 
+def test_a_filter_on_presence_does_not_search_for_every_word_again(spark):
+    df = spark.createDataFrame([("the",), ("qq zz",), (None,)], "text string")
+    kept = features.with_presence(df).where(F.array_max("presence") > 0)
+    assert [r.text for r in kept.collect()] == ["the"]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in plan and "array_contains(array_intersect" not in plan
+
+
 def test_document_frequency_keeps_absent_words(spark):
     df = spark.createDataFrame([("The the food",), ("food!",), (None,)], "text string")
     got = {r.word: r.n_reviews for r in features.document_frequency(df).collect()}
